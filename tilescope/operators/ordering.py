@@ -126,3 +126,23 @@ def hash_sample(df: DataFrame, n: int, seed, ids: list[str], keys: list[str] = (
         return h.orderBy("_h", *ids).limit(n).drop("_h")
     w = Window.partitionBy(*keys).orderBy("_h", *ids)
     return h.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_h", "_r")
+
+
+def with_previous(df: DataFrame, keys: list[str], order: str, cols: list[str],
+                  descending: bool = False) -> DataFrame:
+    """Add ``prev``: a struct of the preceding row's ``cols`` in key order, NULL on the first row.
+
+    Lag runs inside buckets; only each bucket's last row crosses bucket edges.
+    """
+    rows, _ = bucketed(df.withColumn("_one", F.lit(1)), keys, order, ["_one"], descending)
+    by = [*keys, "_b"]
+    what = F.struct(*cols)
+    edge = F.col(order).desc() if descending else F.col(order).asc()
+    last = F.min_by(what, order) if descending else F.max_by(what, order)
+    step = F.col("_b").desc() if descending else F.col("_b").asc()
+    lasts = rows.groupBy(*by).agg(last.alias("_last"))
+    lasts = lasts.select(*by, F.lag("_last").over(
+        Window.partitionBy(*keys).orderBy(step)).alias("_before"))
+    inside = F.lag(what).over(Window.partitionBy(*by).orderBy(edge))
+    return (rows.join(lasts, by).withColumn("prev", F.coalesce(inside, F.col("_before")))
+            .drop("_b", "_one", "_before"))

@@ -4,36 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tilescope.functions.scalars import as_bigint as bi
-from tilescope.functions.scalars import hash_unit, round6, seeded_hash
+from tilescope.functions.scalars import hash_unit, seeded_hash
 from tilescope.operators import metrics as M
 from tilescope.plans.fixtures import DENSE, K, PRED, predictions
 from tilescope.plans.registry import query
+from tilescope.plans.shape import B, R, keyed
 
 CELL = ["model", "fold", "seed"]
 
 
-def keyed(df, keys, ints=(), floats=()):
-    """Project to plain types: text keys stay, whole numbers become bigint, doubles six decimals."""
-    out = []
-    for c in keys:
-        out.append(F.col(c) if dict(df.dtypes)[c] == "string" else bi(c).alias(c))
-    out += [bi(c).alias(c) for c in ints]
-    out += [round6(c).alias(c) for c in floats]
-    return df.select(*out)
-
-
 CK = "model, fold::BIGINT AS fold, seed::BIGINT AS seed"
 
 
-def R(x, name=None):
-    return f"round({x}, 6) + 0.0 AS {name or x}"
-
-
-def B(x, name=None):
-    return f"CAST({x} AS BIGINT) AS {name or x}"
-
-
 @query("a01_class_counts", f"""WITH {PRED}, d AS (SELECT DISTINCT model, fold FROM pred)
 SELECT d.model, d.fold::BIGINT AS fold, k.i AS class, count(p.label) AS n
 FROM d CROSS JOIN range(6) k(i) LEFT JOIN pred p ON p.model = d.model AND p.fold = d.fold AND p.label = k.i
