@@ -184,8 +184,8 @@ def _(spark, sf):
 
 
 COEF = [[((c * 31 + d * 17) % 13 - 6) / 10.0 for d in range(64)] for c in range(6)]
-LOGITS = f"""WITH {ELEM}, z AS (SELECT vec_id, k AS cls, sum(v * (((k * 31 + i * 17) % 13 - 6) / 10.0)) + k / 10.0 AS z FROM elem CROSS JOIN range(6) t(k) GROUP BY ALL),
-sm AS (SELECT vec_id, cls, z, exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id) AS p FROM z)"""
+LOGITS = f"""WITH {ELEM}, z AS (SELECT vec_id, k AS cls, sum(v * (((k * 31 + i * 17) % 13 - 6) / 10.0)) + k / 10.0 AS z FROM elem CROSS JOIN range(6) t(k) GROUP BY vec_id, k),
+sm AS (SELECT vec_id, cls, z, exp(z) / sum(exp(z)) OVER w AS p, max(z) OVER w AS top FROM z WINDOW w AS (PARTITION BY vec_id))"""
 
 
 def scored(spark, sf):
@@ -195,7 +195,7 @@ def scored(spark, sf):
         "prob", S.softmax("logits")).withColumn("pred", S.argmax("logits"))
 
 
-@query("p22_linear_scores", LOGITS + f""" SELECT vec_id, cls AS class, {R('z', 'logit')}, {R('p')}, z = max(z) OVER (PARTITION BY vec_id) AS chosen FROM sm""")
+@query("p22_linear_scores", LOGITS + f""" SELECT vec_id, cls AS class, {R('z', 'logit')}, {R('p')}, z = top AS chosen FROM sm""")
 def _(spark, sf):
     s = scored(spark, sf).select("vec_id", "pred", F.posexplode(F.arrays_zip("logits", "prob")).alias("class", "s"))
     return s.select("vec_id", bi("class").alias("class"), round6("s.logits").alias("logit"), round6("s.prob").alias("p"), (F.col("class") == F.col("pred")).alias("chosen"))
