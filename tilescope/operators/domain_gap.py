@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tilescope.operators.blocks import block_pairs, matrix, pack, unpack
 from tilescope.operators.embedding import standardize, vector_stats
+from tilescope.operators.fit import few_partitions
 from tilescope.operators.ordering import hash_rank, hash_sample
 
 MAX_SAMPLES = 2000
@@ -242,7 +243,7 @@ def proxy_a_distance(df: DataFrame, domain: str, a, b, id_col: str, seed: int =
     vec = lambda d: standardize(d, train, (), "f").select("label", array_to_vector("f").alias("features"))
     half = vec(train).persist()
     try:
-        model = LinearSVC(maxIter=100, regParam=1e-4, standardization=False).fit(half)
+        model = LinearSVC(maxIter=50, regParam=1e-4, tol=1e-3, standardization=False).fit(few_partitions(half, n))
     finally:
         half.unpersist()
     error = F.avg(F.when(F.col("label") == 0, (F.col("prediction") != 0).cast("double"))), F.avg(

@@ -216,7 +216,7 @@ def _(spark, sf):
 @query("e17_fit_grid")
 def _(spark, sf):
     f = folds(spark, sf).withColumn("label", F.pmod("label", F.lit(6)))
-    g = L.fit_grid(f, K, list(range(5)), [False, True], [0.1, 1.0], parallel=4, max_iter=50)
+    g = L.fit_grid(f, K, list(range(5)), [False, True], [0.1, 1.0], max_iter=50)
     return g.select("fold", "scaled", "penalty", bi("n").alias("n"), F.round("balanced_accuracy", 3).alias("balanced_accuracy"))
 
 
