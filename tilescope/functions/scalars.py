@@ -152,14 +152,19 @@ def norm(c) -> Column:
                               lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def bind(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``fn``; lambdas do not hoist what they repeat."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def l2norm(c, eps: float = 1e-8) -> Column:
-    c = _c(c)
-    return F.transform(c, lambda x: x.cast("double") / (norm(c) + F.lit(eps)))
+    return bind(_c(c), lambda v: bind(norm(v), lambda n: F.transform(
+        v, lambda x: x.cast("double") / (n + F.lit(eps)))))
 
 
 def argmax(c) -> Column:
     """0-based position of the first maximum."""
-    return (F.array_position(_c(c), F.array_max(_c(c))) - 1).cast("int")
+    return bind(_c(c), lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def entropy(c) -> Column:
@@ -170,9 +175,10 @@ def entropy(c) -> Column:
 
 
 def softmax(c) -> Column:
-    c = _c(c)
-    shifted = F.transform(c, lambda x: F.exp(x - F.array_max(c)))
-    return F.transform(shifted, lambda e: e / F.aggregate(shifted, F.lit(0.0), lambda s, x: s + x))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+    shifted = lambda v: bind(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+    return bind(_c(c), lambda v: bind(shifted(v), lambda e: bind(
+        total(e), lambda t: F.transform(e, lambda x: x / t))))
 
 
 def linear_logits(f, coef, intercept) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilescope.functions.scalars import as_doubles, dot, is_finite, l2norm
+from tilescope.functions.scalars import as_doubles, bind, dot, is_finite, l2norm
 from tilescope.operators.blocks import block_pairs, matrix, pack, unpack
 
 OPEN_BLOCKS = 32
@@ -149,7 +149,8 @@ def silhouette(df: DataFrame, f: str = "f", label: str = "label") -> DataFrame:
     cls = unit.groupBy("_y").agg(sums.alias("_s")).select(
         "_y", F.col("_s.count").alias("n"), vector_to_array("_s.sum").alias("s"))
     table = cls.agg(F.collect_list(F.struct("_y", "n", "s")).alias("t"))  # one entry per class
-    prod = F.transform("_t", lambda c: F.struct(c["_y"].alias("y"), c["n"].alias("n"), dot("_u", c["s"]).alias("p")))
+    prod = bind(F.col("_u"), lambda u: F.transform("_t", lambda c: F.struct(
+        c["_y"].alias("y"), c["n"].alias("n"), dot(u, c["s"]).alias("p"))))
     rows = unit.withColumn("_t", table.scalar()).select("_y", prod.alias("_p"))
     own = F.filter("_p", lambda c: c["y"] == F.col("_y"))[0]
     other = F.array_min(F.transform(F.filter("_p", lambda c: c["y"] != F.col("_y")), lambda c: 1.0 - c["p"] / c["n"]))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tilescope.functions.scalars import entropy, is_finite, ratio, wrap_lon
 from tilescope.operators import metrics as M
 from tilescope.operators.ordering import exact_quantiles, hash_rank
+from tilescope.session import cut_lineage
 
 
 
@@ -88,8 +89,9 @@ def safe_corr(x, y) -> Column:
 
 
 def _edges(rows: DataFrame, x: str, n: int) -> DataFrame:
-    return exact_quantiles(rows, [], x, [i / n for i in range(n + 1)]).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("q", "value"))), lambda s: s["value"]).alias("edges"))
+    """One row of n + 1 edges, computed once and kept: several expressions read it."""
+    return cut_lineage(exact_quantiles(rows, [], x, [i / n for i in range(n + 1)]).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("q", "value"))), lambda s: s["value"]).alias("edges")))
 
 
 def binned_accuracy(pred: DataFrame, x: str, n: int) -> DataFrame:

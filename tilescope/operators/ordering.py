@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilescope.functions.scalars import seeded_hash
-from tilescope.session import cut_lineage
+from tilescope.session import cut_lineage, is_small
 
 _STEP = 32
+# Up to this many pre-aggregated rows in total, a plain window per key is bounded and cheaper.
+SMALL_ROWS = 1_000_000
 
 
 def _bucket_count(df: DataFrame) -> int:
@@ -21,12 +23,16 @@ def _bucket_count(df: DataFrame) -> int:
 
 
 def bucketed(df: DataFrame, keys: list[str], order: str, sums: list[str],
-             descending: bool = False) -> tuple[DataFrame, DataFrame]:
+             descending: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """(rows with ``_b``, one row per (keys, _b) with totals ``_t_*`` and exclusive offsets ``_o_*``).
 
-    Cut points are approximate quantiles. They are checkpointed so that both branches and any
-    re-run task use the same ones; results do not depend on where the cuts lie.
+    Cut points are approximate quantiles. They are checkpointed so that every branch and any re-run
+    task use the same ones; results do not depend on where the cuts lie. Offsets (keys x buckets
+    rows) are checkpointed too, as several branches read them. A table that is small in total stays
+    in one bucket per key and has no offsets.
     """
+    if is_small(df, SMALL_ROWS):
+        return df.withColumn("_b", F.lit(0)), None
     n = _bucket_count(df)
     cuts = cut_lineage(
         df.groupBy(*keys).agg(F.sort_array(F.array_distinct(F.percentile_approx(
@@ -47,20 +53,23 @@ def bucketed(df: DataFrame, keys: list[str], order: str, sums: list[str],
     group = F.size(F.filter("_coarse", lambda s: s < value))
     first = F.greatest(group - 1, F.lit(0)) * _STEP
     inside = F.size(F.filter(F.slice("_cuts", first + 1, F.lit(_STEP)), lambda s: s < value))
-    rows = rows.withColumn("_b", first + inside).drop("_cuts", "_coarse")
+    # never NULL, so joins on it add no filter that would evaluate it twice
+    rows = rows.withColumn("_b", F.coalesce(first + inside, F.lit(0))).drop("_cuts", "_coarse")
     by = [*keys, "_b"]
     totals = rows.groupBy(*by).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     edge = F.col("_b").desc() if descending else F.col("_b").asc()
     before = Window.partitionBy(*keys).orderBy(edge).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("*", *[
         F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
-    return rows, offsets
+    return rows, cut_lineage(offsets)
 
 
 def _cumulate(rows, offsets, keys, order, sums, descending):
     by = [*keys, "_b"]
     edge = F.col(order).desc() if descending else F.col(order).asc()
     upto = Window.partitionBy(*by).orderBy(edge).rowsBetween(Window.unboundedPreceding, 0)
+    if offsets is None:
+        return rows.select("*", *[F.sum(s).over(upto).alias(f"cum_{s}") for s in sums])
     joined = rows.join(offsets.select(*by, *[f"_o_{s}" for s in sums]), by)
     return joined.select(*by, *[c for c in rows.columns if c not in by], *[
         (F.col(f"_o_{s}") + F.sum(s).over(upto)).alias(f"cum_{s}") for s in sums])
@@ -73,33 +82,56 @@ def running_totals(df: DataFrame, keys: list[str], order: str, sums: list[str],
     return _cumulate(rows, offsets, keys, order, sums, descending).drop("_b")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
-    """Linear-interpolation quantiles, one row per (keys, q): columns ``q``, ``value``, ``n``."""
+def _around_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], margin: int) -> DataFrame:
+    """(keys, q, _v, _core, _frac, _n): distinct values within ``margin`` rows of each quantile's
+    position; ``_core`` marks the one or two values it interpolates."""
     counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
               .agg(F.count(F.lit(1)).alias("n")))
     rows, offsets = bucketed(counts, keys, "_v", ["n"])
-    cum = _cumulate(rows, offsets, keys, "_v", ["n"], False)
+    if offsets is None:
+        offsets = rows.groupBy(*keys, "_b").agg(F.sum("n").alias("_t_n"), F.lit(0).alias("_o_n"))
+        cum = _cumulate(rows, None, keys, "_v", ["n"], False)
+    else:
+        cum = None
     totals = offsets.groupBy(*keys).agg(F.sum("_t_n").alias("_n"))
     pos = (totals.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
            .withColumn("_p", F.col("q") * (F.col("_n") - 1))
-           .withColumn("_frac", F.col("_p") - F.floor("_p"))
-           .withColumn("_i", F.explode(F.array_distinct(F.array(
-               F.floor("_p").cast("bigint"), F.ceil("_p").cast("bigint"))))))
+           .select(*keys, "q", "_n", (F.col("_p") - F.floor("_p")).alias("_frac"),
+                   F.floor("_p").alias("_lo"), F.ceil("_p").alias("_hi")))
     spans = offsets.select(*keys, "_b", F.col("_o_n").alias("_from"),
                            (F.col("_o_n") + F.col("_t_n")).alias("_to"))
-    hit = (F.col("_i") >= F.col("_from")) & (F.col("_i") < F.col("_to"))
-    if keys:
-        placed = pos.join(spans, keys).where(hit)
-    else:
-        placed = pos.join(spans, hit)
-    placed = placed.select(*keys, "_b", "q", "_frac", "_i", "_n")
-    found = cum.join(placed, [*keys, "_b"]).where(
-        (F.col("_i") >= F.col("cum_n") - F.col("n")) & (F.col("_i") < F.col("cum_n")))
+    meets = (F.col("_hi") + margin >= F.col("_from")) & (F.col("_lo") - margin < F.col("_to"))
+    # one row per quantile and bucket it touches: both sides are a few hundred rows per key
+    placed = (pos.join(spans, keys).where(meets) if keys else pos.join(spans, meets)).drop("_from", "_to")
+    # only buckets that hold a wanted position are sorted
+    if cum is None:
+        hit = rows.join(placed.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
+        cum = _cumulate(hit, offsets, keys, "_v", ["n"], False)
+    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
+    near = cum.join(placed, [*keys, "_b"]).where(
+        (first <= F.col("_hi") + margin) & (last >= F.col("_lo") - margin))
+    core = (first <= F.col("_hi")) & (last >= F.col("_lo"))
+    return near.select(*keys, "q", "_v", core.alias("_core"), "_frac", "_n")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
+    """Linear-interpolation quantiles, one row per (keys, q): columns ``q``, ``value``, ``n``."""
+    near = _around_quantiles(df, keys, value, qs, 0)
     lo, hi = F.min("_v"), F.max("_v")
-    return found.groupBy(*keys, "q").agg(
+    return near.groupBy(*keys, "q").agg(
         (lo + (hi - lo) * F.first("_frac")).cast("double").alias("value"), F.first("_n").alias("n"))
 
 
+def values_near_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], margin: int) -> DataFrame:
+    """(keys, q, mark, value): each quantile with every distinct value within ``margin`` rows of it."""
+    near = _around_quantiles(df, keys, value, qs, margin)
+    core = lambda f: f(F.when(F.col("_core"), F.col("_v")))
+    both = near.groupBy(*keys, "q").agg(
+        (core(F.min) + (core(F.max) - core(F.min)) * F.first("_frac")).cast("double").alias("mark"),
+        F.collect_set("_v").alias("_vs"))
+    return both.select(*keys, "q", "mark", F.explode("_vs").alias(value))
+
+
 def hash_rank(df: DataFrame, keys: list[str], seed, ids: list[str], out: str = "rank",
               digits: int = 2) -> DataFrame:
     """1-based rank in seeded md5 order within keys; md5 prefixes are even buckets for any key."""

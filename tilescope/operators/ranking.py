@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilescope.functions.scalars import ratio
-from tilescope.operators.ordering import exact_quantiles, hash_rank, hash_sample, running_totals
+from tilescope.operators.ordering import exact_quantiles, hash_rank, running_totals, values_near_quantiles
 
 
 def ranking_curve(df: DataFrame, keys: list[str], score: str, positive: Column,
@@ -103,11 +103,12 @@ def median_pick(df: DataFrame, keys: list[str], value: str, item: str) -> DataFr
 def quantile_picks(df: DataFrame, keys: list[str], value: str, item: str, qs: list[float]) -> DataFrame:
     """Nearest row to each linear quantile, ties by item, no row picked twice.
 
-    Each quantile keeps its ``len(qs)`` nearest rows (enough to survive every earlier pick); the
-    final assignment sees at most ``len(qs)**2`` rows per key.
+    Only values within ``len(qs)`` rows of a quantile's position can hold its ``len(qs)`` nearest
+    rows (enough to survive every earlier pick), so the data is joined to those few values; the final
+    assignment sees at most ``len(qs)**2`` rows per key.
     """
-    marks = exact_quantiles(df, keys, value, qs).select(*keys, "q", F.col("value").alias("mark"))
-    near = (df.select(*keys, item, value).join(marks, keys)
+    marks = values_near_quantiles(df.select(*keys, value), keys, value, qs, len(qs))
+    near = (df.select(*keys, item, value).join(marks, [*keys, value])
             .withColumn("gap", F.abs(F.col(value) - F.col("mark"))))
     w = Window.partitionBy(*keys, "q").orderBy("gap", item)
     near = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= len(qs)).drop("_r")

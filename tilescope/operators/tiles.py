@@ -9,12 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilescope.functions.scalars import SPHERE_RADIUS_M, is_finite, scale_clip
-
-
-def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times inside ``fn``."""
-    return F.transform(F.array(value), fn)[0]
+from tilescope.functions.scalars import SPHERE_RADIUS_M, bind, is_finite, scale_clip
 
 
 def array_sum(c) -> Column:
