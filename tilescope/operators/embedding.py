@@ -245,20 +245,19 @@ def mahalanobis(df: DataFrame, cols: list[str], cls: str, ridge: float = 1e-6) -
     """
     x, y, z = cols
     cov = lambda a, b: F.covar_samp(a, b) + (ridge if a == b else 0.0)
-    st = df.groupBy(cls).agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)],
-        cov(x, x).alias("a"), cov(x, y).alias("b"), cov(x, z).alias("c"), cov(y, y).alias("d"), cov(y, z).alias("e"),
-        cov(z, z).alias("g"))
-    few = F.col("n") < 2
+    entries = {"a": (x, x), "b": (x, y), "c": (x, z), "d": (y, y), "e": (y, z), "g": (z, z)}
+    st = df.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)],
+                             *[cov(*pair).alias(f"_{n}") for n, pair in entries.items()])
+    few = F.col("_n") < 2
     st = st.select(cls, *[F.when(few, 0.0).otherwise(F.col(f"_m{i}")).alias(f"_m{i}") for i in range(3)],
-                   *[F.when(few, 1.0 if c in "adg" else 0.0).otherwise(F.col(c)).alias(c) for c in "abcdeg"])
-    a, b, c, d, e, g = (F.col(n) for n in "abcdeg")
+                   *[F.when(few, 1.0 if n in "adg" else 0.0).otherwise(F.col(f"_{n}")).alias(f"_{n}") for n in entries])
+    a, b, c, d, e, g = (F.col(f"_{n}") for n in entries)
     det = a * (d * g - e * e) - b * (b * g - c * e) + c * (b * e - c * d)
     u, v, w = (F.col(n) - F.col(f"_m{i}") for i, n in enumerate(cols))
     quad = (u * u * (d * g - e * e) + v * v * (a * g - c * c) + w * w * (a * d - b * b)
             + 2 * u * v * (c * e - b * g) + 2 * u * w * (b * e - c * d) + 2 * v * w * (b * c - a * e))
     score = F.sqrt(F.coalesce(F.try_divide(quad, F.when(det != 0, det)), u * u + v * v + w * w))
-    return df.join(st, cls).withColumn("score", score).drop("n", *[f"_m{i}" for i in range(3)], *"abcdeg")
+    return df.join(st, cls).withColumn("score", score).drop(*[f"_m{i}" for i in range(3)], *[f"_{n}" for n in entries])
 
 
 # ---- inference ------------------------------------------------------------------------------------

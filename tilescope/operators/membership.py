@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilescope.operators.ordering import hash_rank
+from tilescope.operators.quality import assert_empty
 
 
 def apply_split(catalog: DataFrame, splits: DataFrame, key: str = "tile_id") -> DataFrame:
@@ -61,9 +62,8 @@ def replacement_draw(eligible: DataFrame, boundary: DataFrame, draws: int, label
     """
     need = boundary.groupBy(label).agg(F.count(F.lit(1)).alias("_need"))
     have = eligible.groupBy(label).agg(F.count(F.lit(1)).alias("_have"))
-    fail = F.raise_error(F.concat(F.lit("too few eligible rows in class "), F.col(label).cast("string")))
-    need = need.join(have, label, "left").where(
-        F.when(F.coalesce("_have", F.lit(0)) >= F.col("_need"), True).otherwise(fail.cast("boolean")))
+    short = need.join(have, label, "left").where(F.coalesce("_have", F.lit(0)) < F.col("_need"))
+    assert_empty(short, "too few eligible rows in a class")  # K rows; a lazy check could be optimised away
     pool = eligible.select(key, label).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     ranked = hash_rank(pool, ["draw", label], F.col("draw").cast("string"), [key])
     return ranked.join(need.select(label, "_need"), label).where("rank <= _need").select("draw", key, label)

@@ -56,7 +56,7 @@ def glcm(block: np.ndarray) -> np.ndarray:
     i, j = np.indices((LEVELS, LEVELS))
     measures = []
     for dr, dc in GLCM_OFFSETS:
-        a, b = q[:, : h - dr, : w - dc], q[:, dr:, dc:]
+        a, b = q[:, : max(h - dr, 0), : max(w - dc, 0)], q[:, dr:, dc:]
         code = np.arange(n)[:, None, None] * LEVELS ** 2 + a * LEVELS + b
         m = np.bincount(code.ravel(), minlength=n * LEVELS ** 2).reshape(n, LEVELS, LEVELS).astype(float)
         m += m.transpose(0, 2, 1)
