@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tilescope.functions.scalars import as_doubles, bind, dot, is_finite, l2norm
 from tilescope.operators.blocks import block_pairs, matrix, pack, unpack
+from tilescope.session import small_side
 
 OPEN_BLOCKS = 32
 
@@ -121,7 +122,7 @@ def standardize(df: DataFrame, train: DataFrame, keys: list[str] = (), f: str =
     st = vector_stats(train, keys, f)
     sd = F.transform("var", lambda v: F.sqrt(v * (F.col("n") - 1) / F.col("n")))
     st = st.select(*keys, F.struct("mean", F.transform(sd, lambda s: F.when(s > 0, s).otherwise(1.0)).alias("sd")).alias("_st"))
-    rows = df.join(st, keys) if keys else df.withColumn("_st", st.scalar())
+    rows = df.join(small_side(st), keys) if keys else df.withColumn("_st", st.scalar())
     centred = F.zip_with(f, F.col("_st.mean"), lambda x, m: x.cast("double") - m)
     return rows.withColumn(f, F.zip_with(centred, F.col("_st.sd"), lambda x, s: x / s)).drop("_st")
 
@@ -257,7 +258,7 @@ def mahalanobis(df: DataFrame, cols: list[str], cls: str, ridge: float = 1e-6) -
     quad = (u * u * (d * g - e * e) + v * v * (a * g - c * c) + w * w * (a * d - b * b)
             + 2 * u * v * (c * e - b * g) + 2 * u * w * (b * e - c * d) + 2 * v * w * (b * c - a * e))
     score = F.sqrt(F.coalesce(F.try_divide(quad, F.when(det != 0, det)), u * u + v * v + w * w))
-    return df.join(st, cls).withColumn("score", score).drop(*[f"_m{i}" for i in range(3)], *[f"_{n}" for n in entries])
+    return df.join(small_side(st), cls).withColumn("score", score).drop(*[f"_m{i}" for i in range(3)], *[f"_{n}" for n in entries])
 
 
 # ---- inference ------------------------------------------------------------------------------------

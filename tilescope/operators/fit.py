@@ -19,7 +19,7 @@ from tilescope.functions.scalars import argmax, as_doubles, hash_unit, linear_lo
 from tilescope.operators import metrics as M
 from tilescope.operators.blocks import matrix
 from tilescope.operators.embedding import standardize
-from tilescope.session import cut_lineage
+from tilescope.session import cut_lineage, small_side
 
 SHARD_ROWS = 100_000
 
@@ -60,7 +60,7 @@ def _with_weights(train: DataFrame, k: int, balanced: bool) -> DataFrame:
     counts = train.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n"))
     weights = counts.withColumn("_w", total.scalar() / (F.col("_n").cast("double") * k)).select("label", "_w")
-    return train.join(weights, "label")
+    return train.join(small_side(weights), "label")
 
 
 def few_partitions(rows: DataFrame, n: int) -> DataFrame:
@@ -175,7 +175,7 @@ def fit_sgd_probe(train: DataFrame, cells: list[str], k: int, dim: int, seeds: l
 
 def score_probes(test: DataFrame, probes: DataFrame, cells: list[str], f: str = "f") -> DataFrame:
     """Score test rows by every seed's probe of their cell; the probe table has one row per cell and seed."""
-    j = test.join(probes, cells)
+    j = test.join(small_side(probes), cells)
     return j.withColumn("logits", linear_logits(f, "coef", "intercept")).withColumn("pred", argmax("logits")).drop(
         "coef", "intercept")
 
@@ -229,7 +229,7 @@ def majority_baseline(train: DataFrame, test: DataFrame, keys: list[str]) -> Dat
     """Most frequent training class per key (lowest on ties) for every test row."""
     counts = train.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_n"))
     top = counts.groupBy(*keys).agg(F.max_by("label", F.struct(F.col("_n"), -F.col("label"))).alias("pred"))
-    return test.join(top, keys)
+    return test.join(small_side(top), keys)
 
 
 def prior_baseline(train: DataFrame, test: DataFrame, keys: list[str], seed, id_col: str) -> DataFrame:
@@ -239,5 +239,5 @@ def prior_baseline(train: DataFrame, test: DataFrame, keys: list[str], seed, id_
     steps = F.transform(F.sequence(F.lit(1), F.size("_c")), lambda i: F.struct(
         F.element_at("_c", i)["label"].alias("label"),
         (F.aggregate(F.slice("_c", F.lit(1), i), F.lit(0).cast("bigint"), lambda s, x: s + x["_n"]) / F.col("_t")).alias("cum")))
-    j = test.join(prior.select(*keys, steps.alias("_steps")), keys).withColumn("_u", hash_unit(seeded_hash(seed, id_col)))
+    j = test.join(small_side(prior.select(*keys, steps.alias("_steps"))), keys).withColumn("_u", hash_unit(seeded_hash(seed, id_col)))
     return j.withColumn("pred", F.filter("_steps", lambda s: F.col("_u") < s["cum"])[0]["label"]).drop("_steps", "_u")

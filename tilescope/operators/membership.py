@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilescope.operators.ordering import hash_rank
-from tilescope.operators.quality import assert_empty
+from tilescope.operators.quality import assert_empty, check_coverage
+from tilescope.session import small_side
 
 
 def apply_split(catalog: DataFrame, splits: DataFrame, key: str = "tile_id") -> DataFrame:
-    """Join roles by ID; a one-sided ID raises inside the job, so equality costs no extra pass."""
-    c = catalog.withColumn("_in_catalog", F.lit(True))
-    s = splits.select(key, "role").withColumn("_in_split", F.lit(True))
-    j = c.join(s, key, "full_outer")
-    ok = F.col("_in_catalog").isNotNull() & F.col("_in_split").isNotNull()
-    fail = F.raise_error(F.concat(F.lit("split and catalog IDs differ: "), F.col(key).cast("string")))
-    return j.where(F.when(ok, True).otherwise(fail.cast("boolean"))).drop("_in_catalog", "_in_split")
+    """Join roles by ID after checking that both sides hold exactly the same IDs.
+
+    The check runs on its own (ID columns only): inside the join, a later filter could prune the
+    rows that should fail.
+    """
+    assert_empty(check_coverage(catalog.select(key), splits.select(key), key), "split and catalog IDs differ")
+    return catalog.join(splits.select(key, "role"), key)
 
 
 def align(df: DataFrame, meta: DataFrame, key: str = "tile_id") -> DataFrame:
@@ -31,7 +32,7 @@ def join_scores(pred: DataFrame, truth: DataFrame, cohorts: DataFrame, key: str
 
 def restrict_to_source_classes(test: DataFrame, train: DataFrame, label: str = "label") -> DataFrame:
     """Keep test rows whose class occurs in training; the class list is at most K rows."""
-    return test.join(train.select(label).distinct(), label, "left_semi")
+    return test.join(small_side(train.select(label).distinct()), label, "left_semi")
 
 
 def class_overlap(a: DataFrame, b: DataFrame, label: str = "label") -> DataFrame:
@@ -66,7 +67,7 @@ def replacement_draw(eligible: DataFrame, boundary: DataFrame, draws: int, label
     assert_empty(short, "too few eligible rows in a class")  # K rows; a lazy check could be optimised away
     pool = eligible.select(key, label).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     ranked = hash_rank(pool, ["draw", label], F.col("draw").cast("string"), [key])
-    return ranked.join(need.select(label, "_need"), label).where("rank <= _need").select("draw", key, label)
+    return ranked.join(small_side(need.select(label, "_need")), label).where("rank <= _need").select("draw", key, label)
 
 
 def leave_one_group_out(df: DataFrame, group: str, product: str, groups: list, val_share: float,
@@ -83,7 +84,7 @@ def leave_one_group_out(df: DataFrame, group: str, product: str, groups: list, v
     size = others.groupBy("test_group").agg(F.ceil(F.count(F.lit(1)) * val_share).alias("_quota"))
     val = others.join(size, "test_group").where("rank <= _quota").select("test_group", group, product, F.lit("val").alias("_v"))
     rows = df.withColumn("test_group", F.explode(F.array(*[F.lit(g) for g in groups])))
-    return rows.join(val, ["test_group", group, product], "left").withColumn(
+    return rows.join(small_side(val), ["test_group", group, product], "left").withColumn(
         "role", F.when(F.col(group) == F.col("test_group"), "test").otherwise(F.coalesce("_v", F.lit("train")))).drop("_v")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilescope.functions.scalars import ratio
+from tilescope.session import small_side
 
 METRICS = ("precision", "recall", "f1")
 
@@ -172,7 +173,7 @@ def balanced_weights(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 def with_class_weight(df: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """Attach a class weight to every row; the weight table has K rows per key."""
-    return df.join(weights.select(*keys, F.col("class").alias("label"), "weight"), [*keys, "label"])
+    return df.join(small_side(weights.select(*keys, F.col("class").alias("label"), "weight")), [*keys, "label"])
 
 
 def population_weight(weights: DataFrame, keys: list[str] = ()) -> DataFrame:

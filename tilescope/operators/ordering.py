@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilescope.functions.scalars import seeded_hash
-from tilescope.session import cut_lineage, is_small
+from tilescope.session import cut_lineage, is_small, small_side
 
 _STEP = 32
 # Up to this many pre-aggregated rows in total, a plain window per key is bounded and cheaper.
@@ -34,7 +34,7 @@ def bucketed(df: DataFrame, keys: list[str], order: str, sums: list[str],
     if is_small(df, SMALL_ROWS):
         return df.withColumn("_b", F.lit(0)), None
     n = _bucket_count(df)
-    cuts = cut_lineage(
+    cuts = small_side(
         df.groupBy(*keys).agg(F.sort_array(F.array_distinct(F.percentile_approx(
             order, [i / n for i in range(1, n)], F.lit(10_000)))).alias("_cuts"))
         .withColumn("_coarse", F.transform(
@@ -59,8 +59,10 @@ def bucketed(df: DataFrame, keys: list[str], order: str, sums: list[str],
     totals = rows.groupBy(*by).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     edge = F.col("_b").desc() if descending else F.col("_b").asc()
     before = Window.partitionBy(*keys).orderBy(edge).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
     offsets = totals.select("*", *[
-        F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
+        F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums], *[
+        F.sum(f"_t_{s}").over(whole).alias(f"_a_{s}") for s in sums])
     return rows, cut_lineage(offsets)
 
 
@@ -69,15 +71,18 @@ def _cumulate(rows, offsets, keys, order, sums, descending):
     edge = F.col(order).desc() if descending else F.col(order).asc()
     upto = Window.partitionBy(*by).orderBy(edge).rowsBetween(Window.unboundedPreceding, 0)
     if offsets is None:
-        return rows.select("*", *[F.sum(s).over(upto).alias(f"cum_{s}") for s in sums])
-    joined = rows.join(offsets.select(*by, *[f"_o_{s}" for s in sums]), by)
+        whole = Window.partitionBy(*by)
+        return rows.select("*", *[F.sum(s).over(upto).alias(f"cum_{s}") for s in sums], *[
+            F.sum(s).over(whole).alias(f"all_{s}") for s in sums])
+    joined = rows.join(offsets.select(*by, *[f"_{p}_{s}" for s in sums for p in "oa"]), by)
     return joined.select(*by, *[c for c in rows.columns if c not in by], *[
-        (F.col(f"_o_{s}") + F.sum(s).over(upto)).alias(f"cum_{s}") for s in sums])
+        (F.col(f"_o_{s}") + F.sum(s).over(upto)).alias(f"cum_{s}") for s in sums], *[
+        F.col(f"_a_{s}").alias(f"all_{s}") for s in sums])
 
 
 def running_totals(df: DataFrame, keys: list[str], order: str, sums: list[str],
                    descending: bool = False) -> DataFrame:
-    """Add ``cum_<s>`` for each summed column. Rows must be unique on (keys, order)."""
+    """Add ``cum_<s>`` and the key's total ``all_<s>`` per summed column. Rows must be unique on (keys, order)."""
     rows, offsets = bucketed(df, keys, order, sums, descending)
     return _cumulate(rows, offsets, keys, order, sums, descending).drop("_b")
 
@@ -133,7 +138,7 @@ def values_near_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[f
 
 
 def hash_rank(df: DataFrame, keys: list[str], seed, ids: list[str], out: str = "rank",
-              digits: int = 2) -> DataFrame:
+              digits: int = 3) -> DataFrame:
     """1-based rank in seeded md5 order within keys; md5 prefixes are even buckets for any key."""
     h = df.withColumn("_h", seeded_hash(seed, *ids)).withColumn(
         "_b", F.substring("_h", 1, digits))

@@ -44,9 +44,10 @@ def check_labels(df: DataFrame, k: int, allow_unlabeled: bool = False, label: st
 
 def check_coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys present on one side only: ``side`` says where the key exists."""
-    a = left.join(right, key, "left_anti").select(key).distinct().withColumn("side", F.lit("left"))
-    b = right.join(left, key, "left_anti").select(key).distinct().withColumn("side", F.lit("right"))
-    return a.unionByName(b)
+    l, r = left.select(key).distinct(), right.select(key).distinct()  # repeats collapse before the join
+    both = l.withColumn("_l", F.lit(True)).join(r.withColumn("_r", F.lit(True)), key, "full_outer")
+    side = F.when(F.col("_r").isNull(), "left").when(F.col("_l").isNull(), "right")
+    return both.select(key, side.alias("side")).where("side is not null")
 
 
 def check_grid(df: DataFrame, dims: dict[str, list]) -> DataFrame:

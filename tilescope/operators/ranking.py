@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tilescope.functions.scalars import ratio
 from tilescope.operators.ordering import exact_quantiles, hash_rank, running_totals, values_near_quantiles
+from tilescope.session import small_side
 
 
 def ranking_curve(df: DataFrame, keys: list[str], score: str, positive: Column,
@@ -23,12 +24,8 @@ def ranking_curve(df: DataFrame, keys: list[str], score: str, positive: Column,
         aggs.append(F.max(F.when(hit == 1, F.col(item))).alias("hit_item"))
     groups = df.groupBy(*keys, F.col(score).alias("threshold")).agg(*aggs)
     curve = (running_totals(groups, keys, "threshold", ["size", "hits"], descending=True)
-             .withColumnRenamed("cum_size", "retrieved").withColumnRenamed("cum_hits", "tp"))
-    totals = groups.groupBy(*keys).agg(F.sum("hits").alias("positives"), F.sum("size").alias("n"))
-    joined = curve.join(totals, keys) if keys else curve.withColumn(
-        "_t", totals.select(F.struct("positives", "n")).scalar()).select(
-            "*", "_t.positives", "_t.n").drop("_t")
-    return (joined.withColumn("fp", F.col("retrieved") - F.col("tp"))
+             .withColumnsRenamed({"cum_size": "retrieved", "cum_hits": "tp", "all_size": "n", "all_hits": "positives"}))
+    return (curve.withColumn("fp", F.col("retrieved") - F.col("tp"))
             .withColumn("precision", ratio("tp", "retrieved"))
             .withColumn("recall", ratio("tp", "positives")))
 
@@ -94,7 +91,7 @@ def median_pick(df: DataFrame, keys: list[str], value: str, item: str) -> DataFr
     dec = df.select(*keys, item, F.col(value).cast("decimal(18,4)").alias("_x"))
     med = exact_quantiles(dec.select(*keys, F.col("_x").cast("double").alias("_d")), keys, "_d", [0.5])
     med = med.select(*keys, F.col("value").cast("decimal(19,5)").alias("median"), "n")
-    near = dec.join(med, keys).withColumn("_gap", F.abs(F.col("_x") - F.col("median")))
+    near = dec.join(small_side(med), keys).withColumn("_gap", F.abs(F.col("_x") - F.col("median")))
     return near.groupBy(*keys).agg(
         F.min_by(item, F.struct("_gap", item)).alias(item), F.first("median").cast("double").alias("median"),
         F.first("n").alias("candidates"))
@@ -108,7 +105,7 @@ def quantile_picks(df: DataFrame, keys: list[str], value: str, item: str, qs: li
     assignment sees at most ``len(qs)**2`` rows per key.
     """
     marks = values_near_quantiles(df.select(*keys, value), keys, value, qs, len(qs))
-    near = (df.select(*keys, item, value).join(marks, [*keys, value])
+    near = (df.select(*keys, item, value).join(small_side(marks), [*keys, value])
             .withColumn("gap", F.abs(F.col(value) - F.col("mark"))))
     w = Window.partitionBy(*keys, "q").orderBy("gap", item)
     near = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= len(qs)).drop("_r")
@@ -135,8 +132,8 @@ def subsample_train(df: DataFrame, n: int, seed, ids: list[str], label: str | No
         "_base", F.floor("_s"))
     spare = F.lit(n) - share.select(F.sum("_base")).scalar()
     by_rest = Window.orderBy(F.desc(F.col("_s") - F.col("_base")), label)  # one row per class
-    quota = share.withColumn("_extra", (F.row_number().over(by_rest) <= spare).cast("bigint")).select(
-        label, F.least(F.col("_base") + F.col("_extra"), F.col("_n")).alias("_quota"))
+    quota = small_side(share.withColumn("_extra", (F.row_number().over(by_rest) <= spare).cast("bigint")).select(
+        label, F.least(F.col("_base") + F.col("_extra"), F.col("_n")).alias("_quota")))
     return (hash_rank(df, [label], seed, ids).join(quota, label)
             .where(F.col("rank") <= F.col("_quota")).drop("rank", "_quota"))
 

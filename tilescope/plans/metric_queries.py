@@ -8,6 +8,7 @@ from tilescope.functions.scalars import hash_unit, seeded_hash
 from tilescope.operators import metrics as M
 from tilescope.plans.fixtures import DENSE, K, PRED, predictions
 from tilescope.plans.registry import query
+from tilescope.session import small_side
 from tilescope.plans.shape import B, R, keyed
 
 CELL = ["model", "fold", "seed"]
@@ -299,7 +300,7 @@ SELECT {CK}, {B('correct')}, {R('v', 'macro_recall')}, {R('v - correct / 6', 'if
 def _(spark, sf):
     p = predictions(spark, sf)
     rare = p.where("label = 5").groupBy(*CELL).agg(F.min("tile_id").alias("keep"))
-    sub = p.join(rare, CELL, "left").where((F.col("label") != 5) | (F.col("tile_id") == F.col("keep")))
+    sub = p.join(small_side(rare), CELL, "left").where((F.col("label") != 5) | (F.col("tile_id") == F.col("keep")))
     m = M.class_metrics(M.pair_counts(sub, CELL), CELL, K)
     return keyed(M.leverage(m, CELL, 5, K), CELL, ["correct"],
                  ["macro_recall", "if_incorrect", "if_correct", "leverage"])

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -39,6 +40,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 50_000
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Keep a summary table once and broadcast it when its counted rows stay under ``max_rows``.
+
+    For tables of one row per class, model or cell: without this, size estimates taken from the
+    scanned data make Spark shuffle the big side on a handful of hot keys. A larger table is
+    returned as it is and joins by shuffle, where adaptive execution splits skewed partitions.
+    """
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if is_small(kept, max_rows) else kept
+
+
 def is_small(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than that many plus one."""
     return df.limit(max_rows + 1).count() <= max_rows
