@@ -127,7 +127,14 @@ def _(spark, sf):
     return keyed(G.median_gamma(s, 0, "vec_id"), [], (), ["gamma"])
 
 
-@query("e07_mmd_repeated")
+@query("e07_mmd_repeated", f"""WITH n AS (SELECT least(200, min(c)) AS n FROM (SELECT count(*) AS c FROM embeddings GROUP BY vec_id % 2)),
+r AS (SELECT rep, vec_id, vec_id % 2 AS d, embedding AS f, row_number() OVER (PARTITION BY rep, vec_id % 2 ORDER BY md5(concat_ws(':', rep, vec_id)), vec_id) AS rn FROM embeddings CROSS JOIN range(20) t(rep)),
+s AS (SELECT rep, vec_id, d, list_transform(f, lambda x: CAST(x AS DOUBLE)) AS f FROM r, n WHERE rn <= n),
+p AS (SELECT a.rep, a.vec_id < b.vec_id AS half, a.d AS da, b.d AS db, pow(list_distance(a.f, b.f), 2) AS d2 FROM s a JOIN s b ON a.rep = b.rep),
+g AS (SELECT rep, 1 / median(d2) AS gamma FROM p WHERE half AND d2 > 0 GROUP BY rep),
+m AS (SELECT p.rep, greatest(avg(exp(-gamma * d2)) FILTER (WHERE da = 0 AND db = 0) + avg(exp(-gamma * d2)) FILTER (WHERE da = 1 AND db = 1)
+ - 2 * avg(exp(-gamma * d2)) FILTER (WHERE da = 0 AND db = 1), 0) AS v FROM p JOIN g ON g.rep = p.rep GROUP BY p.rep)
+SELECT count(*) AS repeats, {R('avg(v)', 'mean')}, {R('stddev_samp(v)', 'sd')}, {R('quantile_cont(v, 0.025)', 'low')}, {R('quantile_cont(v, 0.975)', 'high')} FROM m""")
 def _(spark, sf):
     r = G.mmd_repeated(features(spark, sf), "domain", 0, 1, "vec_id", repeats=20, max_samples=200)
     return keyed(G.resampling_summary(r), [], ["repeats"], ["mean", "sd", "low", "high"])
@@ -139,7 +146,16 @@ def _(spark, sf):
     return keyed(p, [], ["permutations", "n"], ["observed", "p_value", "gamma"])
 
 
-@query("e09_mmd_source_jackknife")
+@query("e09_mmd_source_jackknife", f"""WITH s AS (SELECT vec_id, vec_id % 2 AS d, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f FROM embeddings),
+few AS (SELECT f, row_number() OVER (ORDER BY md5(concat_ws(':', '0', vec_id)), vec_id) AS id FROM s ORDER BY id LIMIT 2000),
+g AS (SELECT 1 / median(d2) AS gamma FROM (SELECT pow(list_distance(a.f, b.f), 2) AS d2 FROM few a JOIN few b ON a.id < b.id) WHERE d2 > 0),
+k AS (SELECT a.d AS da, a.label AS la, b.d AS db, b.label AS lb, sum(exp(-gamma * pow(list_distance(a.f, b.f), 2))) AS t FROM s a CROSS JOIN s b CROSS JOIN g GROUP BY ALL),
+c AS (SELECT d, label, count(*) AS n FROM s GROUP BY ALL),
+gr AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS repeat FROM c WHERE d = 0),
+v AS (SELECT gr.repeat, (SELECT sum(n) FROM c WHERE d = 0 AND c.label <> gr.label) AS ns, (SELECT sum(n) FROM c WHERE d = 1) AS nt,
+ (SELECT sum(t) FROM k WHERE da = 0 AND db = 0 AND la <> gr.label AND lb <> gr.label) AS ss, (SELECT sum(t) FROM k WHERE da = 1 AND db = 1) AS tt,
+ (SELECT sum(t) FROM k WHERE da = 0 AND db = 1 AND la <> gr.label) AS st FROM gr)
+SELECT repeat, {R('greatest(ss / (ns * ns) + tt / (nt * nt) - 2 * st / (ns * nt), 0)', 'mmd2')} FROM v""")
 def _(spark, sf):
     return keyed(G.mmd_groups(features(spark, sf), "domain", 0, 1, "label", "vec_id", "source_jackknife"), ["repeat"], (), ["mmd2"])
 
@@ -294,10 +310,11 @@ def _(spark, sf):
         "fold", "method", "seed", "metric", F.round("value", 4).alias("value"))
 
 
-@query("f01_pluggable_encoder")
+@query("f01_pluggable_encoder", """WITH p AS (SELECT vec_id, (i - 1) // 16 AS br, (i - 1) % 8 // 2 AS bc, CAST(embedding[i] AS DOUBLE) * 255 AS v FROM embeddings CROSS JOIN range(1, 65) t(i)),
+m AS (SELECT vec_id, br, bc, avg(v) AS m FROM p GROUP BY ALL) SELECT vec_id AS tile_id, round(max(m), 2) + 0.0 AS top FROM m GROUP BY vec_id""")
 def _(spark, sf):
     """A second model through the same inference operator: block means of the tile."""
     def make():
         return lambda x: np.asarray(x).reshape(-1, 4, 2, 4, 2).mean(axis=(2, 4)).reshape(-1, 16).astype(np.float32)
     t = E.embed_tiles(tiles(spark, sf).withColumn("px", F.transform("px", lambda v: v.cast("float"))), make, 8, 8)
-    return t.select("tile_id", round6(F.array_max("f")).alias("top"))
+    return t.select("tile_id", (F.round(F.array_max("f").cast("double"), 2) + 0.0).alias("top"))
