@@ -49,8 +49,8 @@ def evaluate_probe(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
     acc = M.balanced_accuracy(M.class_metrics(counts, keys, k), keys)
     kap = M.kappa(counts, keys, k).select(*keys, "n", "kappa")
     if not keys:
-        acc, kap = acc.withColumn("_k", F.lit(1)), kap.withColumn("_k", F.lit(1))
-        return acc.join(kap, "_k").drop("_k")
+        both = acc.withColumn("_k", kap.select(F.struct("n", "kappa")).scalar())
+        return both.select(*acc.columns, "_k.n", "_k.kappa")
     return acc.join(kap, keys)
 
 

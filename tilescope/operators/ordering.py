@@ -15,6 +15,8 @@ from tilescope.session import cut_lineage, is_small, small_side
 _STEP = 32
 # Up to this many pre-aggregated rows in total, a plain window per key is bounded and cheaper.
 SMALL_ROWS = 1_000_000
+# Up to this many quantiles are compared with every row; more go through buckets.
+_FEW = 16
 
 
 def _bucket_count(df: DataFrame) -> int:
@@ -23,17 +25,17 @@ def _bucket_count(df: DataFrame) -> int:
 
 
 def bucketed(df: DataFrame, keys: list[str], order: str, sums: list[str],
-             descending: bool = False) -> tuple[DataFrame, DataFrame | None]:
+             descending: bool = False, at_least: int = 0) -> tuple[DataFrame, DataFrame | None]:
     """(rows with ``_b``, one row per (keys, _b) with totals ``_t_*`` and exclusive offsets ``_o_*``).
 
     Cut points are approximate quantiles. They are checkpointed so that every branch and any re-run
     task use the same ones; results do not depend on where the cuts lie. Offsets (keys x buckets
     rows) are checkpointed too, as several branches read them. A table that is small in total stays
-    in one bucket per key and has no offsets.
+    in one bucket per key and has no offsets, unless ``at_least`` asks for many buckets.
     """
-    if is_small(df, SMALL_ROWS):
+    if at_least <= _FEW and is_small(df, SMALL_ROWS):
         return df.withColumn("_b", F.lit(0)), None
-    n = _bucket_count(df)
+    n = min(1024, max(at_least, _bucket_count(df)))
     cuts = small_side(
         df.groupBy(*keys).agg(F.sort_array(F.array_distinct(F.percentile_approx(
             order, [i / n for i in range(1, n)], F.lit(10_000)))).alias("_cuts"))
@@ -92,12 +94,17 @@ def _around_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float
     position; ``_core`` marks the one or two values it interpolates."""
     counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
               .agg(F.count(F.lit(1)).alias("n")))
-    rows, offsets = bucketed(counts, keys, "_v", ["n"])
+    rows, offsets = bucketed(counts, keys, "_v", ["n"], at_least=len(qs))
+    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
+    overlaps = lambda lo, hi, m: (first <= hi + m) & (last >= lo - m)
     if offsets is None:
-        offsets = rows.groupBy(*keys, "_b").agg(F.sum("n").alias("_t_n"), F.lit(0).alias("_o_n"))
         cum = _cumulate(rows, None, keys, "_v", ["n"], False)
-    else:
-        cum = None
+        marks = F.transform(F.array(*[F.lit(float(q)) for q in qs]),
+                            lambda q: F.struct(q.alias("q"), (q * (F.col("all_n") - 1)).alias("_p")))
+        met = F.filter(marks, lambda s: overlaps(F.floor(s["_p"]), F.ceil(s["_p"]), margin))
+        near = cum.select(*keys, "_v", "n", "cum_n", F.col("all_n").alias("_n"), F.inline(met))
+        return near.select(*keys, "q", "_v", overlaps(F.floor("_p"), F.ceil("_p"), 0).alias("_core"),
+                           (F.col("_p") - F.floor("_p")).alias("_frac"), "_n")
     totals = offsets.groupBy(*keys).agg(F.sum("_t_n").alias("_n"))
     pos = (totals.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
            .withColumn("_p", F.col("q") * (F.col("_n") - 1))
@@ -109,14 +116,10 @@ def _around_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float
     # one row per quantile and bucket it touches: both sides are a few hundred rows per key
     placed = (pos.join(spans, keys).where(meets) if keys else pos.join(spans, meets)).drop("_from", "_to")
     # only buckets that hold a wanted position are sorted
-    if cum is None:
-        hit = rows.join(placed.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
-        cum = _cumulate(hit, offsets, keys, "_v", ["n"], False)
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
-    near = cum.join(placed, [*keys, "_b"]).where(
-        (first <= F.col("_hi") + margin) & (last >= F.col("_lo") - margin))
-    core = (first <= F.col("_hi")) & (last >= F.col("_lo"))
-    return near.select(*keys, "q", "_v", core.alias("_core"), "_frac", "_n")
+    hit = rows.join(placed.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
+    cum = _cumulate(hit, offsets, keys, "_v", ["n"], False)
+    near = cum.join(placed, [*keys, "_b"]).where(overlaps(F.col("_lo"), F.col("_hi"), margin))
+    return near.select(*keys, "q", "_v", overlaps(F.col("_lo"), F.col("_hi"), 0).alias("_core"), "_frac", "_n")
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:

@@ -214,7 +214,7 @@ def raster(spark, sf):
 @query("j10_bilinear_samples", RASTER + f""" SELECT tile_id, b AS band, {R('CASE b WHEN 0 THEN sum(w * v) ELSE sum(w * (v * 2 + 1)) END', 'value')}
 FROM hit CROSS JOIN range(2) t(b) GROUP BY tile_id, b HAVING count(v) = count(*)""")
 def _(spark, sf):
-    height = table(spark, sf, "embeddings").agg(F.count(F.lit(1)).cast("double")).scalar()
+    height = F.lit(float(table(spark, sf, "embeddings").count()))
     s = G.sample_bilinear(coordinates(spark, sf), raster(spark, sf), 0.0, 90.0, F.lit(5.625), F.lit(180.0) / height, F.lit(64), height, 2)
     return keyed(s, ["tile_id", "band"], (), ["value"])
 
@@ -227,7 +227,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY n DESC, code)
 
 @query("j11_zonal_mode", ZONES + """ SELECT w.tile_id, coalesce(code, -1) AS label, coalesce(round(n / t, 4), 0) + 0.0 AS confidence FROM w LEFT JOIN rk ON rk.tile_id = w.tile_id AND rn = 1""")
 def _(spark, sf):
-    height = table(spark, sf, "embeddings").agg(F.count(F.lit(1))).scalar()
+    height = F.lit(table(spark, sf, "embeddings").count())
     code = (F.pmod(F.floor(F.abs("v") * 1000), F.lit(8)) - 1).cast("int")
     labels = features(spark, sf).select(F.col("vec_id").alias("r"), F.posexplode(S.as_doubles("f")).alias("c", "v")).withColumn("code", code)
     t = coordinates(spark, sf).withColumn("row", F.floor((90 - F.col("lat")) * height / 180.0)).withColumn("col", F.floor(F.col("lon") * 64 / 360.0))

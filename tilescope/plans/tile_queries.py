@@ -157,7 +157,7 @@ t AS (SELECT vec_id // 8 AS tr, i // 8 AS tc, count(*) AS n, sum((v > 0)::INT) /
 
 def cut_tiles(spark, sf, min_valid=None):
     cells = features(spark, sf).select(F.col("vec_id").alias("r"), F.posexplode(S.as_doubles("f")).alias("c", "v"))
-    height = cells.agg(F.max("r") + 1).scalar()
+    height = F.lit(table(spark, sf, "embeddings").count())
     return T.tile_raster(cells, 8, height, F.lit(64), min_valid)
 
 
