@@ -18,6 +18,7 @@ from tilescope.functions.scalars import SPHERE_RADIUS_M, haversine, in_holdout,
 from tilescope.session import cut_lineage
 
 BLOCK = 1024
+CROWD = 512
 
 
 def _cube(edge: float) -> Column:
@@ -86,13 +87,21 @@ def _nearest_within(left: DataFrame, blocks: DataFrame, edge: float, radius: flo
 def nearest(left: DataFrame, right: DataFrame, radius: float = SPHERE_RADIUS_M) -> DataFrame:
     """(tile_id, distance_m) to the nearest right point, exact at any distance.
 
-    The search radius starts near the right side's mean spacing and grows fourfold for rows still
-    without an answer inside it, so most rows look at few blocks and far rows are still exact.
+    The search radius starts near the right side's mean spacing, or finer until no cube holds more
+    than a few blocks, and grows fourfold for rows still without an answer inside it: crowded places
+    settle in the fine rounds, far rows are still exact.
     """
     l = left.select("tile_id", "lat", "lon")
     r = right.select("lat", "lon").distinct().withColumn("_row", F.lit(0))
     n = max(r.count(), 1)
     reach = radius * math.sqrt(4.0 * math.pi / n) * 2.0
+
+    def crowd(metres):
+        cubes = r.groupBy(_cube(_chord(metres, radius)).alias("cube")).agg(F.count(F.lit(1)).alias("n"))
+        return cubes.agg(F.max("n")).first()[0] or 0
+
+    while reach > 1.0 and crowd(reach) > CROWD:
+        reach /= 4.0
     done: DataFrame | None = None
     while True:
         edge = _chord(reach, radius)

@@ -158,14 +158,22 @@ def hash_rank(df: DataFrame, keys: list[str], seed, ids: list[str], out: str = "
 def hash_sample(df: DataFrame, n: int, seed, ids: list[str], keys: list[str] = ()) -> DataFrame:
     """Fixed-size sample without replacement, per key when keys are given.
 
-    The keyed form plans as a group limit before the shuffle, so a hot key sends at most ``n``
-    rows per task; the global form is a top-n.
+    The global form is a top-n. The keyed form first counts md5 prefixes per key and keeps only the
+    prefixes that can hold the first ``n`` hashes, exactly; what is left plans as a group limit before
+    the shuffle, so a hot key sorts and sends little more than ``n`` rows.
     """
     h = df.withColumn("_h", seeded_hash(seed, *ids))
     if not keys:
         return h.orderBy("_h", *ids).limit(n).drop("_h")
+    h = h.withColumn("_p", F.substring("_h", 1, 3))
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    cut = (h.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"))
+           .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+           .where(F.col("_before") < n).groupBy(*keys).agg(F.max("_p").alias("_cut")))
+    h = h.join(small_side(cut), list(keys)).where(F.col("_p") <= F.col("_cut")).drop("_p", "_cut")
     w = Window.partitionBy(*keys).orderBy("_h", *ids)
-    return h.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_h", "_r")
+    return (h.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+            .select(*df.columns))
 
 
 def with_previous(df: DataFrame, keys: list[str], order: str, cols: list[str],
