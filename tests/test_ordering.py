@@ -14,7 +14,7 @@ from tilescope.operators import ranking as X
 @pytest.fixture(params=["small", "bucketed"])
 def path(request, monkeypatch):
     if request.param == "bucketed":
-        monkeypatch.setattr(O, "SMALL_ROWS", 0)
+        monkeypatch.setattr(O, "SMALL_ROWS", 0)  # every input takes the bucketed path
     return request.param
 
 

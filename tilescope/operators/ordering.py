@@ -15,8 +15,8 @@ from tilescope.session import cut_lineage, is_small, small_side
 _STEP = 32
 # Up to this many pre-aggregated rows in total, a plain window per key is bounded and cheaper.
 SMALL_ROWS = 1_000_000
-# Up to this many quantiles are compared with every row; more go through buckets.
-_FEW = 16
+# The plain path compares every quantile with every row; beyond this many comparisons buckets are used.
+_COMPARISONS = 20_000_000
 
 
 def _bucket_count(df: DataFrame) -> int:
@@ -31,9 +31,9 @@ def bucketed(df: DataFrame, keys: list[str], order: str, sums: list[str],
     Cut points are approximate quantiles. They are checkpointed so that every branch and any re-run
     task use the same ones; results do not depend on where the cuts lie. Offsets (keys x buckets
     rows) are checkpointed too, as several branches read them. A table that is small in total stays
-    in one bucket per key and has no offsets, unless ``at_least`` asks for many buckets.
+    in one bucket per key and has no offsets; ``at_least`` is how many quantiles will be looked up.
     """
-    if at_least <= _FEW and is_small(df, SMALL_ROWS):
+    if is_small(df, min(SMALL_ROWS, _COMPARISONS // max(at_least, 1))):
         return df.withColumn("_b", F.lit(0)), None
     n = min(1024, max(at_least, _bucket_count(df)))
     cuts = small_side(

@@ -10,6 +10,7 @@ from tilescope.functions.scalars import round6
 from tilescope.operators import pixels as N
 from tilescope.operators import textures as X
 from tilescope.operators import tiles as T
+from tilescope.operators.embedding import vector_stats
 from tilescope.plans.fixtures import COORD, ELEM, PIX, coordinates, features, grids, table, tiles
 from tilescope.plans.registry import query
 from tilescope.plans.shape import B, R, keyed
@@ -244,8 +245,10 @@ def _(spark, sf):
 
 
 def feature_summary(spark, sf, kind):
-    t = tiles(spark, sf).select("tile_id", F.posexplode(X.tile_features("px", 8, 8, kind)).alias("dim", "v"))
-    return keyed(t.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd")), ["dim"], ["n"], ["mean", "sd"])
+    t = tiles(spark, sf).select(X.tile_features("px", 8, 8, kind).alias("f"))
+    s = vector_stats(t, []).select("n", F.posexplode(F.arrays_zip("mean", "var")).alias("dim", "s"))
+    sd = F.sqrt(F.col("s.var") * (F.col("n") - 1) / F.col("n"))
+    return keyed(s.select("dim", "n", F.col("s.mean").alias("mean"), sd.alias("sd")), ["dim"], ["n"], ["mean", "sd"])
 
 
 @query("p27_local_binary_patterns")
