@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tilescope.functions import scalars as S
 from tilescope.functions.scalars import as_bigint as bi
 from tilescope.functions.scalars import round6
 from tilescope.operators import domain_gap as G
@@ -14,7 +13,7 @@ from tilescope.operators import fit as L
 from tilescope.operators import metrics as M
 from tilescope.operators import tiles as T
 from tilescope.plans import evaluate as V
-from tilescope.plans.fixtures import ELEM, FOLDS, K, features, folds, table, tiles
+from tilescope.plans.fixtures import ELEM, FOLDS, K, features, folds, tiles
 from tilescope.plans.registry import query
 from tilescope.plans.shape import B, R, keyed
 from tilescope.plans.tile_queries import COEF, LOGITS

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from tilescope.functions import scalars as S
 from tilescope.functions.scalars import as_bigint as bi
 from tilescope.operators import quality as Q
-from tilescope.plans.fixtures import (CENSUS, COORD, MEMBERS, PRED, K, coordinates, features, folds, members,
-                                      predictions, table)
+from tilescope.plans.fixtures import COORD, MEMBERS, K, coordinates, features, folds, members, table
 from tilescope.plans.ranking_queries import CURVE, score_curve
 from tilescope.plans.registry import query
 from tilescope.plans.shape import B, R, keyed

@@ -13,7 +13,7 @@ from tilescope.operators import tiles as T
 from tilescope.operators.embedding import vector_stats
 from tilescope.plans.fixtures import COORD, ELEM, PIX, coordinates, features, grids, table, tiles
 from tilescope.plans.registry import query
-from tilescope.plans.shape import B, R, keyed
+from tilescope.plans.shape import R, keyed
 
 
 @query("p01_to_db", f"SELECT event_id, {R('10 * log10(greatest(value, 1e-4))', 'db')} FROM events")
