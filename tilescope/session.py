@@ -3,14 +3,36 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once per application, so that they import it from anywhere."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, f"{os.path.basename(package)}.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for at, _, names in os.walk(package):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(at, name)
+                        z.write(full, os.path.relpath(full, root))
+        spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
 
 
 def scratch_root(spark: SparkSession) -> str:
