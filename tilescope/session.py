@@ -23,15 +23,16 @@ def ship_code(spark: SparkSession) -> None:
         return
     package = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(package)
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, f"{os.path.basename(package)}.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for at, _, names in os.walk(package):
-                for name in sorted(names):
-                    if name.endswith(".py"):
-                        full = os.path.join(at, name)
-                        z.write(full, os.path.relpath(full, root))
-        spark.sparkContext.addPyFile(path)
+    folder = tempfile.mkdtemp(prefix="spark-")  # the driver serves the file from here while the application runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"{os.path.basename(package)}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
 
 
