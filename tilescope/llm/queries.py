@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilescope.llm import embeddings, mixing, sharding, simhash
+from tilescope.llm import embeddings, lines, mixing, sharding, simhash
 from tilescope.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,21 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+LINE_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, '') AS site FROM documents),
+lines AS (SELECT r, site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM texts),
+shared AS (SELECT trim(line, ' ') AS line FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+           GROUP BY trim(line, ' ') HAVING count(DISTINCT site) >= 10),
+marked AS (SELECT l.r, l.line, l.pos, s.line IS NOT NULL AS gone FROM lines l LEFT JOIN shared s ON trim(l.line, ' ') = s.line),
+joined AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+                  coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text FROM marked GROUP BY r)
+SELECT t.doc_id, coalesce(j.n_lines, 0) AS n_lines, coalesce(j.n_removed, 0) AS n_removed,
+       coalesce(length(j.text), 0) AS n_chars, md5(j.text) AS text_md5
+FROM texts t LEFT JOIN joined j ON t.r = j.r"""
+
+
+@query("op5_line_dedup", LINE_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(read(spark, sf_dir, "documents"))
