@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilescope.llm import embeddings, lines, mixing, sharding, simhash
+from tilescope.llm import embeddings, language, lines, mixing, sharding, simhash
 from tilescope.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,8 @@ FROM texts t LEFT JOIN joined j ON t.r = j.r"""
 @query("op5_line_dedup", LINE_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(read(spark, sf_dir, "documents"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(read(spark, sf_dir, "documents"))
