@@ -114,7 +114,7 @@ def mix_counts(docs: DataFrame, cap: int = 2, **how) -> DataFrame:
                 _taken(F.col("start"), F.col("size"), F.col("goal")))
     at = F.when(taken > 0, F.round(_position(F.col("start")), 9))
     return (rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), at.alias("position"))
-            .orderBy(F.col("position").asc_nulls_last()))
+            .orderBy(F.col("position").asc_nulls_last(), "doc_id"))
 
 
 def mix_documents(docs: DataFrame, cap: int = 2, id_col: str = "doc_id", text_col: str = "text",
