@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilescope.llm import embeddings, language, lines, mixing, sharding, simhash
+from tilescope.llm import embeddings, language, lines, links, mixing, sharding, simhash
 from tilescope.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,37 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_language_id")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(read(spark, sf_dir, "documents"))
+
+
+#: (verdict, host, path) of the contract's rules.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+URL_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+q AS (SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS r FROM p),
+rules(verdict, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+fits AS (SELECT q.r, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+         FROM q JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY q.r),
+hrefs AS (SELECT host, unnest(regexp_extract_all(html, '(?i)href[\x20\x09-\x0D]*=[\x20\x09-\x0D]*["'']?([^"''>\x20\x09-\x0D]+)', 1)) AS link FROM q),
+links AS (SELECT host AS source, CASE WHEN starts_with(link, '//') THEN regexp_extract(substr(link, 3), '^([^/?#]*)', 1)
+            WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.\-]*://') THEN regexp_extract(substr(link, strpos(link, '://') + 3), '^([^/?#]*)', 1)
+            WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN '' ELSE host END AS target FROM hrefs),
+edges AS (SELECT source, translate(target, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS target, count(*) AS n FROM links
+          GROUP BY ALL HAVING source <> '' AND target <> '' AND source <> target),
+moves AS (SELECT 'trust' AS kind, source AS a, target AS b, n / sum(n) OVER (PARTITION BY source) * 0.85 AS share FROM edges
+          UNION ALL SELECT 'distrust', target, source, n / sum(n) OVER (PARTITION BY target) * 0.85 FROM edges),
+step AS (SELECT 0 AS k, CASE f.verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, q.host, CAST(count(*) AS DOUBLE) AS mass
+         FROM q JOIN fits f ON q.r = f.r WHERE q.host <> '' GROUP BY ALL
+         UNION ALL SELECT s.k + 1, m.kind, m.b, sum(s.mass * m.share) FROM step s JOIN moves m ON s.kind = m.kind AND s.host = m.a
+         WHERE s.k < 20 GROUP BY s.k, m.kind, m.b),
+hosts AS (SELECT host, coalesce(sum(mass) FILTER (WHERE kind = 'trust'), 0) * 0.15 AS t, coalesce(sum(mass) FILTER (WHERE kind = 'distrust'), 0) * 0.15 AS d
+          FROM step GROUP BY host)
+SELECT q.page_id, q.host, q.path, f.rule, coalesce(f.verdict, CASE WHEN round(h.d, 9) > round((h.t + h.d) * 0.5, 9) THEN 'block' ELSE 'allow' END) AS verdict
+FROM q LEFT JOIN fits f ON q.r = f.r LEFT JOIN hosts h ON q.host = h.host"""
+
+
+@query("op10_url_filter", URL_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
