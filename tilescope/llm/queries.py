@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilescope.llm import embeddings, language, lines, links, mixing, sharding, simhash
+from tilescope.llm import embeddings, language, lines, links, mixing, quality, sharding, simhash
 from tilescope.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,8 @@ FROM q LEFT JOIN fits f ON q.r = f.r LEFT JOIN hosts h ON q.host = h.host"""
 @query("op10_url_filter", URL_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
