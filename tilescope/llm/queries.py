@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilescope.llm import embeddings, language, lines, links, mixing, quality, sharding, simhash, toxicity
+from tilescope.llm import embeddings, language, lines, links, mixing, pieces, quality, sharding, simhash, toxicity
 from tilescope.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_toxicity")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op4_sentencepiece")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_report(read(spark, sf_dir, "documents"))
