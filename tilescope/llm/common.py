@@ -20,12 +20,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
-    Cuts lineage like a checkpoint, but in compressed columns and with a size that join planning
-    sees. Spark removes the folder when the application ends; ``drop`` removes it earlier.
+    Cuts lineage like a checkpoint, but in columns and with a size that join planning sees. Kept
+    tables are narrow numbers and digests, which codecs hardly shrink; without one, many small tasks
+    do not pile up the codec's buffers outside the heap. Spark removes the folder when the
+    application ends; ``drop`` removes it earlier.
     """
     spark = df.sparkSession
     path = new_scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "none").parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     out = spark.read.schema(df.schema).parquet(path)
@@ -45,6 +47,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), NOT_WORD), lambda w: w != "")
 
 
+def whole(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct ``_doc``, out of the way of an operator's own names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc")
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
