@@ -253,7 +253,7 @@ RESULT = T.StructType([
 
 def identify(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
              spans: bool = False, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
-    """All columns of ``docs`` plus ``_language``, a struct (lang, score, spans).
+    """All columns of ``docs`` plus ``_language``, a struct (lang, score, spans), in place of any column of that name.
 
     Learns from the rows that ``usable`` selects and that have a language and a text; predictions see
     the text only. Words are runs of letters; the scripts of a word narrow its candidates to languages
@@ -273,7 +273,7 @@ def identify(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col:
             rows = label_texts(shared.value, texts.tolist(), spans)
         return pd.DataFrame(rows, columns=["lang", "score", "spans"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], label(F.col(text_col)).alias("_language"))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "_language"], label(F.col(text_col)).alias("_language"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilescope.llm.common import keep
+from tilescope.llm.common import keep, whole
 
 MIN_SITES = 10
 LOG_K = 12
@@ -58,16 +58,17 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "te
             .where(F.trim("_line").rlike(r"[^\x20\x09-\x0D]")).select("_text", "_at", *_hashes(F.col("_line")))
             .join(shared, ["lh", "lc"], "left_semi"))
     removed = keep(hits.groupBy("_text").agg(F.sort_array(F.collect_set("_at")).alias("_removed")), "removed")
-    found = docs.withColumn("_text", F.md5(text)).join(removed, "_text", "left")
-    lines = F.concat(_lines(text), F.array().cast("array<string>"))
+    found = docs.select(whole(docs), F.md5(text).alias("_text")).join(removed, "_text", "left")
+    own = F.col(f"_doc.`{text_col}`")
     cut = F.col("_removed")
     start = lambda k: F.when(k == 0, 0).otherwise(F.get(cut, k - 1) + 1)
     end = lambda k: F.coalesce(F.get(cut, k), F.size("_lines"))
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(cut)), lambda k: F.slice(F.col("_lines"), start(k) + 1, F.greatest(end(k) - start(k), F.lit(0)))))
-    counted = found.withColumn("_lines", F.when(cut.isNotNull(), lines))
-    return counted.select(*[F.when(cut.isNotNull(), F.array_join(kept, "\n")).otherwise(text).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-                          F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1, F.lit(0)).cast("long").alias("_n_lines"),
-                          F.coalesce(F.when(cut.isNotNull(), F.size(cut)), F.lit(0)).cast("long").alias("_n_removed"))
+    split = found.withColumn("_lines", F.when(cut.isNotNull(), _lines(own)))
+    cleaned = F.when(cut.isNotNull(), F.array_join(kept, "\n")).otherwise(own)
+    n_lines = F.coalesce(F.length(own) - F.length(F.replace(own, F.lit("\n"))) + 1, F.lit(0)).cast("long")
+    n_removed = F.coalesce(F.when(cut.isNotNull(), F.size(cut)), F.lit(0)).cast("long")
+    return split.select(*[cleaned.alias(c) if c == text_col else F.col(f"_doc.`{c}`") for c in docs.columns], n_lines.alias("_n_lines"), n_removed.alias("_n_removed"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

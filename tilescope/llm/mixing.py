@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilescope.llm.common import before, keep, md5_key, n_words
+from tilescope.llm.common import before, keep, md5_key, n_words, whole
 
 EXPAND = 4096
 
@@ -130,7 +130,6 @@ def mix_documents(docs: DataFrame, cap: int = 2, id_col: str = "doc_id", text_co
     reads = _rows(plan.where("size > 0")).select("*", F.explode(F.array(*[F.lit(k) for k in range(cap)])).alias("_k"))
     starts = reads.withColumn("start", F.col("start") + F.col("_k") * F.col("source_size")).where("start + size / 2 <= goal")
     places = starts.select("h", _position(F.col("start")).alias("_position"))
-    distinct = docs.groupBy(*[F.col(f"`{c}`") for c in docs.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    key = md5_key(F.col(id_col), F.col(source_col), n_words(F.col(text_col)), F.md5(F.col(text_col)), others)
-    return (distinct.withColumn("_h", key).join(places, F.col("_h") == F.col("h"))
-            .orderBy("_position").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    key = md5_key(F.col(id_col), F.col(source_col), n_words(F.col(text_col)), F.md5(F.col(text_col)), others).alias("_key")
+    distinct = docs.select(whole(docs), key).groupBy("_doc", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    return distinct.join(places, F.col("_key") == F.col("h")).orderBy("_position").select("_doc.*")

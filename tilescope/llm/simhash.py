@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilescope.llm.common import components, drop, keep
+from tilescope.llm.common import components, drop, keep, whole
 
 SHINGLE = 4
 SEED = 42
@@ -145,5 +145,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     identity = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.coalesce(F.md5(F.col(text_col)), F.lit("")).alias("text"))
     rows = keep(docs.select(identity.alias("_identity"), fingerprint(F.col(text_col)).alias("fp")), "simhash")
     stays = component_of_fingerprints(rows, F.col("_identity")).select(F.md5(F.to_json("first")).alias("_stays")).distinct()
-    return (docs.withColumn("_stays", F.md5(F.to_json(identity))).join(stays, "_stays", "left_semi")
-            .dropDuplicates(["_stays"]).drop("_stays"))
+    return (docs.select(whole(docs), F.md5(F.to_json(identity)).alias("_stays")).join(stays, "_stays", "left_semi")
+            .dropDuplicates(["_stays"]).select("_doc.*"))
