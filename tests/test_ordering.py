@@ -110,13 +110,15 @@ def test_curve_faults_are_found(spark, path):
     assert {r.reason for r in Q.check_curve(good.where("threshold > 0"), ["k"]).collect()} == {"end"}
 
 
-def test_digest_is_plain_hash_for_short_groups_and_chunked_beyond(spark, path):
+@pytest.mark.parametrize("chunk", [2, 4, 10_000])
+def test_digest_takes_all_rounds_at_any_size(spark, chunk):
     df = spark.range(10).select(F.lit("g").alias("k"), F.col("id").alias("i"))
-    want = hashlib.sha256(b"[0,1,2,3,4,5,6,7,8,9]").hexdigest()
-    assert Q.digest_ids(df, ["k"], "i").first().digest == want
-    parts = [hashlib.sha256(s.encode()).hexdigest() for s in ("[0,1,2,3]", "[4,5,6,7]", "[8,9]")]
-    chained = hashlib.sha256(("[" + ",".join(f'"{p}"' for p in parts) + "]").encode()).hexdigest()
-    assert Q.digest_ids(df, ["k"], "i", chunk=4).first().digest == chained
+    listed = lambda parts, quote: [hashlib.sha256(("[" + ",".join(f"{quote}{p}{quote}" for p in parts[i:i + chunk]) + "]").encode()).hexdigest()
+                                   for i in range(0, len(parts), chunk)]
+    second = listed(listed(list(range(10)), ""), '"')
+    want = hashlib.sha256(("[" + ",".join(f'"{p}"' for p in second) + "]").encode()).hexdigest()
+    row = Q.digest_ids(df, ["k"], "i", chunk=chunk).first()
+    assert (row.n, row.digest) == (10, want)
 
 
 def test_stratified_subset_quotas(spark):

@@ -120,22 +120,22 @@ def check_hashes(actual: DataFrame, expected: DataFrame, name: str = "path") ->
             .where("status is not null").select(name, "status"))
 
 
-def digest_ids(df: DataFrame, keys: list[str], item: str, chunk: int = 100_000) -> DataFrame:
-    """SHA-256 of the compact JSON list of IDs per key, in ascending numeric ID order.
+def digest_ids(df: DataFrame, keys: list[str], item: str, chunk: int = 10_000, rounds: int = 3) -> DataFrame:
+    """SHA-256 tree over the IDs per key, in ascending numeric order: (keys, n, digest).
 
-    Groups up to ``chunk`` IDs give the plain digest of one list. Larger groups are hashed as a list
-    of digests of consecutive ``chunk``-sized runs, so no group is ever gathered in one task.
+    First each run of ``chunk`` consecutive IDs gives the digest of its compact JSON list; then, in every
+    further round, each run of ``chunk`` digests gives the digest of their list. All ``rounds`` are taken
+    for every key, whatever its size, so the digest has one definition; lists hold ``chunk`` entries at
+    most as long as a key has at most chunk ** rounds IDs.
     """
     ranked = running_totals(df.select(*keys, item).withColumn("_one", F.lit(1)), keys, item, ["_one"])
-    runs = ranked.withColumn("_run", F.floor((F.col("cum__one") - 1) / chunk))
-    part = runs.groupBy(*keys, "_run").agg(
-        F.sort_array(F.collect_list(item)).alias("_ids"))
-    part = part.select(*keys, "_run", F.size("_ids").alias("_n"), F.sha2(F.to_json("_ids"), 256).alias("_d"))
-    whole = part.groupBy(*keys).agg(
-        F.sum("_n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("_run", "_d"))),
-                                            lambda s: s["_d"]).alias("_ds"))
-    return whole.select(*keys, "n", F.when(F.size("_ds") == 1, F.col("_ds")[0])
-                        .otherwise(F.sha2(F.to_json("_ds"), 256)).alias("digest"))
+    part = ranked.select(*keys, (F.col("cum__one") - 1).cast("bigint").alias("_at"), F.col(item).alias("_d"), F.lit(1).cast("bigint").alias("n"))
+    for last in [False] * (rounds - 1) + [True]:
+        run = F.lit(0).cast("bigint") if last else F.floor(F.col("_at") / chunk).cast("bigint")
+        part = (part.groupBy(*keys, run.alias("_run")).agg(
+            F.sum("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("_at", "_d"))), lambda s: s["_d"]).alias("_ds"))
+            .select(*keys, F.col("_run").alias("_at"), F.sha2(F.to_json("_ds"), 256).alias("_d"), "n"))
+    return part.select(*keys, "n", F.col("_d").alias("digest"))
 
 
 def check_probs(df: DataFrame, keys: list[str], prob: str = "prob", pred: str = "pred",
@@ -190,101 +190,31 @@ def check_monotone(df: DataFrame, key: list[str], base: str, masked: str, known:
         F.col("masked_above") | F.col("total_differs"))
 
 
-# Fixed patterns for operational text: a URL, a numeric fraction between separators, an absolute
-# Unix path, a drive path, and user@host. They use no look-around so any engine can run them.
-URL = r"[A-Za-z][A-Za-z0-9+.-]*://[^\s<>\"']+"
-NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
-FRACTION = rf"(^|[^0-9A-Za-z_./]){NUMBER}\s*/\s*{NUMBER}([\s,;)\]}}]|$)"
-UNIX_PATH = r"(^|[^0-9A-Za-z_./~%+-])/[^\s]"
-DRIVE_OR_HOST = r"(^|[\s=(\[{:;,'\"])([A-Za-z]:\\|[0-9A-Za-z_.-]+@[0-9A-Za-z_.-]+:)"
+#: Characters that end a token in operational text: white space, quotes, brackets and list separators.
+TOKEN_ENDS = "[ \\t\\n\\r\\f\"'`()\\[\\]{}<>,;=|]+"
+
+
+def _marker(token: Column) -> Column:
+    """What a token shows: ``unix`` for an absolute path, ``drive_or_host`` for a drive path or user@host:, else null.
+
+    A token with ``://`` is a URL and shows nothing. A path may follow a ``name:``; a slash before
+    digits and points only is the end of a fraction. A drive is one letter, a colon and a backslash.
+    """
+    path = F.when(F.contains(token, F.lit(":/")), F.substring_index(token, ":", -1)).otherwise(token)
+    rest = F.substring(path, 2, 1 << 20)
+    unix = F.startswith(path, F.lit("/")) & (F.translate(rest, "0123456789.", "") != "")
+    letter = F.lower(F.substring(token, 1, 1)).between("a", "z")
+    drive = letter & (F.substring(token, 2, 2) == ":\\")
+    after = F.substring(token, F.locate("@", token) + 1, F.lit(1 << 20))
+    host = (F.locate("@", token) > 1) & (F.locate(":", after) > 1)
+    return F.when(F.contains(token, F.lit("://")), None).when(unix, "unix").when(drive | host, "drive_or_host")
 
 
 def find_private(df: DataFrame, key: list[str], cols: list[str] | None = None) -> DataFrame:
-    """(key, column, kind) for text holding absolute paths, drive paths or user@host."""
+    """(key, column, kind) for text columns that show an absolute path, a drive path or user@host: in some token."""
     cols = cols or [f.name for f in df.schema.fields
                     if isinstance(f.dataType, T.StringType) and f.name not in key]
-    found = []
-    for c in cols:
-        text = F.regexp_replace(F.col(c), URL, " ")
-        for _ in range(2):  # neighbours share a separator, so a second pass takes every other one
-            text = F.regexp_replace(text, FRACTION, "$1 $2")
-        found += [F.when(text.rlike(UNIX_PATH), F.struct(F.lit(c).alias("column"), F.lit("unix").alias("kind"))),
-                  F.when(F.col(c).rlike(DRIVE_OR_HOST),
-                         F.struct(F.lit(c).alias("column"), F.lit("drive_or_host").alias("kind")))]
-    return df.select(*key, F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
-
-
-def check_geometry(df: DataFrame, key: str, ring: str = "ring") -> DataFrame:
-    """(key, reason) for rings that are short, open, or out of coordinate range."""
-    r = F.col(ring)
-    inside = F.forall(r, lambda p: is_finite(p["lon"]) & is_finite(p["lat"]) &
-                      p["lon"].between(-180.0, 180.0) & p["lat"].between(-90.0, 90.0))
-    rules = {"short": F.size(r) >= 4,
-             "open": F.try_element_at(r, F.lit(1)).eqNullSafe(F.try_element_at(r, F.lit(-1))),
-             "range": inside}
-    return gate_catalog(df, key, rules)
-
-
-def check_sector_points(df: DataFrame, key: str, lon: str, sector: str, n: int) -> DataFrame:
-    """Points whose east longitude is outside [0, 360) or outside their declared sector."""
-    width = 360.0 / n
-    ok = ((F.col(lon) >= 0) & (F.col(lon) < 360.0) & (F.col(lon) >= F.col(sector) * width) &
-          (F.col(lon) < (F.col(sector) + 1) * width))
-    return df.where(~F.coalesce(ok, F.lit(False))).select(key)
-
-
-def check_curve(curve: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, threshold, reason) for curve points that break the counting rules.
-
-    Reads threshold, retrieved, tp, fp, precision, recall, positives, n.
-    """
-    rows = with_previous(curve, keys, "threshold", ["threshold", "retrieved", "tp", "fp"], descending=True)
-    c, p = F.col, lambda f: F.col(f"prev.{f}")
-    first = c("prev").isNull()
-    rules = {
-        "threshold": first | (c("threshold") < p("threshold")),
-        "retrieved": (c("retrieved") == c("tp") + c("fp")) & (first | (c("retrieved") > p("retrieved"))),
-        "monotone": first | ((c("tp") >= p("tp")) & (c("fp") >= p("fp"))),
-        "precision": F.abs(c("precision") * c("retrieved") - c("tp")) < 1e-9 * F.greatest(c("tp"), F.lit(1)),
-        "recall": F.abs(c("recall") * c("positives") - c("tp")) < 1e-9 * F.greatest(c("tp"), F.lit(1)),
-        "bounds": (c("tp") <= c("positives")) & (c("retrieved") <= c("n"))}
-    reasons = F.filter(F.array(*[F.when(F.coalesce(v, F.lit(False)), None).otherwise(F.lit(k))
-                                 for k, v in rules.items()]), lambda r: r.isNotNull())
-    points = rows.select(*keys, "threshold", F.explode(reasons).alias("reason"))
-    ends = rows.groupBy(*keys).agg(F.min("threshold").alias("threshold"), F.max("retrieved").alias("_r"),
-                                   F.max("tp").alias("_t"), F.max("n").alias("_n"), F.max("positives").alias("_p"))
-    ends = ends.where((F.col("_r") != F.col("_n")) | (F.col("_t") != F.col("_p"))).select(
-        *keys, "threshold", F.lit("end").alias("reason"))
-    return points.unionByName(ends)
-
-
-def check_feature_meta(meta: DataFrame, expected: DataFrame, key: str) -> DataFrame:
-    """Metadata fields that differ from the expectation, compared null-safe."""
-    return compare_tables(meta, expected, [key])
-
-
-def pick(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Project to exactly ``fields`` (struct paths allowed); a missing one fails at analysis."""
-    return df.select(*[F.col(f).alias(f.replace(".", "_")) for f in fields])
-
-
-def check_tiles(tiles: DataFrame, catalog: DataFrame, h: int, w: int) -> DataFrame:
-    """Catalog tiles that are absent, have another shape or dtype, or another content hash.
-
-    ``tiles`` holds (tile_id, h, w, dtype, sha256) as decoded; the catalog holds tile_sha256.
-    """
-    j = catalog.select("tile_id", "tile_sha256").join(
-        tiles.select("tile_id", "h", "w", "dtype", "sha256", F.lit(True).alias("_present")), "tile_id", "left")
-    status = (F.when(F.col("_present").isNull(), "missing")
-              .when((F.col("h") != h) | (F.col("w") != w), "shape")
-              .when(F.col("dtype") != "float32", "dtype")
-              .when(F.col("sha256") != F.col("tile_sha256"), "hash"))
-    return j.select("tile_id", status.alias("status")).where("status is not null")
-
-
-def check_optional(df: DataFrame, flag: str, value: str, n: int) -> DataFrame:
-    """Rows where the flag and a finite ``n``-vector do not go together."""
-    v = F.col(value)
-    present = v.isNotNull() & (F.size(v) == n) & F.forall(v, is_finite)
-    good = (F.col(flag) & F.coalesce(present, F.lit(False))) | (~F.col(flag) & v.isNull())
-    return df.where(~F.coalesce(good, F.lit(False)))
+    def shown(c):
+        kinds = F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), TOKEN_ENDS), _marker), lambda k: k.isNotNull())
+        return F.transform(F.array_distinct(kinds), lambda k: F.struct(F.lit(c).alias("column"), k.alias("kind")))
+    return df.select(*key, F.inline(F.flatten(F.array(*[shown(c) for c in cols]))))

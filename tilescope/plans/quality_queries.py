@@ -127,8 +127,12 @@ def _(spark, sf):
     return Q.hash_contents(files, "page_id").withColumn("bytes", bi("bytes"))
 
 
-@query("q10_id_digest", """SELECT o_orderstatus AS status, o_custkey % 20 AS grp, count(*) AS n,
- sha256('[' || string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) || ']') AS digest FROM orders GROUP BY ALL""")
+@query("q10_id_digest", """WITH a AS (SELECT o_orderstatus AS status, o_custkey % 20 AS grp, o_orderkey AS id,
+ row_number() OVER (PARTITION BY o_orderstatus, o_custkey % 20 ORDER BY o_orderkey) - 1 AS pos FROM orders),
+b AS (SELECT status, grp, pos // 10000 AS pos, count(*) AS n, sha256('[' || string_agg(id::VARCHAR, ',' ORDER BY pos) || ']') AS d
+ FROM a GROUP BY ALL),
+c AS (SELECT status, grp, pos // 10000 AS pos, sum(n) AS n, sha256('["' || string_agg(d, '","' ORDER BY pos) || '"]') AS d FROM b GROUP BY ALL)
+SELECT status, grp, CAST(sum(n) AS BIGINT) AS n, sha256('["' || string_agg(d, '","' ORDER BY pos) || '"]') AS digest FROM c GROUP BY ALL""")
 def _(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("status"),
                                           F.pmod("o_custkey", F.lit(20)).alias("grp"), "o_orderkey")
@@ -180,17 +184,22 @@ def _(spark, sf):
 
 
 @query("q15_private_text", f"""WITH t AS (SELECT doc_id, text FROM documents UNION ALL
- SELECT -1 - page_id, url || ' copied from /' || CASE WHEN page_id % 2 = 0 THEN 'srv/a' ELSE ' ' END || ' at 1/2 3/4' FROM pages),
-u AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, $p${Q.URL}$p$, ' ', 'g'),
- $p${Q.FRACTION}$p$, '\\1 \\2', 'g'), $p${Q.FRACTION}$p$, '\\1 \\2', 'g') AS s FROM t)
-SELECT doc_id, 'text' AS "column", 'unix' AS kind FROM u WHERE regexp_matches(s, $p${Q.UNIX_PATH}$p$)
-UNION ALL SELECT doc_id, 'text', 'drive_or_host' FROM u WHERE regexp_matches(text, $p${Q.DRIVE_OR_HOST}$p$)""")
+ SELECT -1 - page_id, url || ' copied from /' || CASE WHEN page_id % 2 = 0 THEN 'srv/a' ELSE ' ' END || ' at 1/2 3/4'
+  || CASE page_id % 3 WHEN 0 THEN ' on me@host:x' WHEN 1 THEN ' see C:{chr(92)}a or log:/var/x' ELSE ' me@host' END FROM pages),
+u AS (SELECT doc_id, unnest(regexp_split_to_array(text, $p${Q.TOKEN_ENDS}$p$)) AS k FROM t),
+v AS (SELECT doc_id, k, CASE WHEN contains(k, ':/') THEN list_extract(string_split(k, ':'), -1) ELSE k END AS path,
+  substr(k, strpos(k, '@') + 1) AS rest FROM u WHERE NOT contains(k, '://'))
+SELECT DISTINCT doc_id, 'text' AS "column", CASE WHEN starts_with(path, '/') AND translate(substr(path, 2), '0123456789.', '') <> '' THEN 'unix'
+ WHEN lower(substr(k, 1, 1)) BETWEEN 'a' AND 'z' AND substr(k, 2, 2) = ':' || chr(92)
+  OR strpos(k, '@') > 1 AND strpos(rest, ':') > 1 THEN 'drive_or_host' END AS kind
+FROM v WHERE kind IS NOT NULL""")
 def _(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     p = table(spark, sf, "pages").select(
         (-1 - F.col("page_id")).alias("doc_id"),
         F.concat(F.col("url"), F.lit(" copied from /"), F.when(F.col("page_id") % 2 == 0, "srv/a").otherwise(" "),
-                 F.lit(" at 1/2 3/4")).alias("text"))
+                 F.lit(" at 1/2 3/4"), F.when(F.col("page_id") % 3 == 0, " on me@host:x")
+                 .when(F.col("page_id") % 3 == 1, " see C:\\a or log:/var/x").otherwise(" me@host")).alias("text"))
     return Q.find_private(d.unionByName(p), ["doc_id"])
 
 
