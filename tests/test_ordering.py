@@ -1,4 +1,4 @@
-"""Bucketed ordered computations against NumPy and plain windows; both paths must agree."""
+"""Bucketed ordered computations against NumPy and plain windows; any number of buckets must agree."""
 
 import hashlib
 
@@ -11,10 +11,9 @@ from tilescope.operators import quality as Q
 from tilescope.operators import ranking as X
 
 
-@pytest.fixture(params=["small", "bucketed"])
+@pytest.fixture(params=[O.ROWS_PER_BUCKET, 50])
 def path(request, monkeypatch):
-    if request.param == "bucketed":
-        monkeypatch.setattr(O, "SMALL_ROWS", 0)  # every input takes the bucketed path
+    monkeypatch.setattr(O, "ROWS_PER_BUCKET", request.param)  # few and many buckets
     return request.param
 
 

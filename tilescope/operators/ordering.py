@@ -6,39 +6,31 @@ into order-preserving buckets, bucket totals give offsets, and windows run insid
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilescope.functions.scalars import seeded_hash
-from tilescope.session import cut_lineage, is_small, small_side
+from tilescope.session import cut_lineage, small_side
 
 _STEP = 32
-# Up to this many pre-aggregated rows in total, a plain window per key is bounded and cheaper.
-SMALL_ROWS = 1_000_000
-# The plain path compares every quantile with every row; beyond this many comparisons buckets are used.
-_COMPARISONS = 20_000_000
-
-
-def _bucket_count(df: DataFrame) -> int:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(1024, partitions))
+ROWS_PER_BUCKET = 200_000
 
 
 def bucketed(df: DataFrame, keys: list[str], order: str, sums: list[str],
-             descending: bool = False, at_least: int = 0) -> tuple[DataFrame, DataFrame | None]:
+             descending: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows with ``_b``, one row per (keys, _b) with totals ``_t_*`` and exclusive offsets ``_o_*``).
 
-    Cut points are approximate quantiles. They are checkpointed so that every branch and any re-run
-    task use the same ones; results do not depend on where the cuts lie. Offsets (keys x buckets
-    rows) are checkpointed too, as several branches read them. A table that is small in total stays
-    in one bucket per key and has no offsets; ``at_least`` is how many quantiles will be looked up.
+    The counted rows say how many buckets each key is cut into, as if all rows were one key's. Cut
+    points are approximate quantiles, checkpointed so that every branch and any re-run task use the
+    same ones; results do not depend on where the cuts lie. Offsets (keys x buckets rows) are
+    checkpointed too, as several branches read them.
     """
-    if is_small(df, min(SMALL_ROWS, _COMPARISONS // max(at_least, 1))):
-        return df.withColumn("_b", F.lit(0)), None
-    n = min(1024, max(at_least, _bucket_count(df)))
+    n = max(2, math.ceil(df.count() / ROWS_PER_BUCKET))
     cuts = small_side(
         df.groupBy(*keys).agg(F.sort_array(F.array_distinct(F.percentile_approx(
-            order, [i / n for i in range(1, n)], F.lit(10_000)))).alias("_cuts"))
+            order, [i / n for i in range(1, n)], F.lit(max(10_000, 10 * n))))).alias("_cuts"))
         .withColumn("_coarse", F.transform(
             F.sequence(F.lit(1), F.greatest(F.size("_cuts"), F.lit(1)), F.lit(_STEP)),
             lambda i: F.try_element_at("_cuts", i))))
@@ -72,10 +64,6 @@ def _cumulate(rows, offsets, keys, order, sums, descending):
     by = [*keys, "_b"]
     edge = F.col(order).desc() if descending else F.col(order).asc()
     upto = Window.partitionBy(*by).orderBy(edge).rowsBetween(Window.unboundedPreceding, 0)
-    if offsets is None:
-        whole = Window.partitionBy(*by)
-        return rows.select("*", *[F.sum(s).over(upto).alias(f"cum_{s}") for s in sums], *[
-            F.sum(s).over(whole).alias(f"all_{s}") for s in sums])
     joined = rows.join(offsets.select(*by, *[f"_{p}_{s}" for s in sums for p in "oa"]), by)
     return joined.select(*by, *[c for c in rows.columns if c not in by], *[
         (F.col(f"_o_{s}") + F.sum(s).over(upto)).alias(f"cum_{s}") for s in sums], *[
@@ -94,17 +82,9 @@ def _around_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float
     position; ``_core`` marks the one or two values it interpolates."""
     counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
               .agg(F.count(F.lit(1)).alias("n")))
-    rows, offsets = bucketed(counts, keys, "_v", ["n"], at_least=len(qs))
+    rows, offsets = bucketed(counts, keys, "_v", ["n"])
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
     overlaps = lambda lo, hi, m: (first <= hi + m) & (last >= lo - m)
-    if offsets is None:
-        cum = _cumulate(rows, None, keys, "_v", ["n"], False)
-        marks = F.transform(F.array(*[F.lit(float(q)) for q in qs]),
-                            lambda q: F.struct(q.alias("q"), (q * (F.col("all_n") - 1)).alias("_p")))
-        met = F.filter(marks, lambda s: overlaps(F.floor(s["_p"]), F.ceil(s["_p"]), margin))
-        near = cum.select(*keys, "_v", "n", "cum_n", F.col("all_n").alias("_n"), F.inline(met))
-        return near.select(*keys, "q", "_v", overlaps(F.floor("_p"), F.ceil("_p"), 0).alias("_core"),
-                           (F.col("_p") - F.floor("_p")).alias("_frac"), "_n")
     totals = offsets.groupBy(*keys).agg(F.sum("_t_n").alias("_n"))
     pos = (totals.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
            .withColumn("_p", F.col("q") * (F.col("_n") - 1))
