@@ -128,7 +128,7 @@ def test_permutation_test_separates(spark):
 
 
 def test_repeated_estimates_without_cap_are_equal(spark):
-    r = G.mmd_repeated(domains(spark, 1.0)[2], "domain", 0, 1, "vec_id", repeats=3).collect()
+    r = G.mmd_repeated(domains(spark, 1.0)[2], "domain", 0, 1, "vec_id", 50, repeats=3).collect()
     assert len(r) == 3 and max(v.mmd2 for v in r) - min(v.mmd2 for v in r) < 1e-12
 
 
@@ -177,11 +177,10 @@ def test_logistic_gradient_vanishes(spark):
     assert L.loss_gradient(df, moved, 3).first().loss > g.loss
 
 
-@pytest.mark.parametrize("shard", [100_000, 40])
-def test_sgd_probe_learns_in_one_or_many_shards(spark, monkeypatch, shard):
-    monkeypatch.setattr(L, "SHARD_ROWS", shard)
+@pytest.mark.parametrize("rows", [100_000, 60])
+def test_sgd_probe_learns_from_bounded_rows(spark, rows):
     df = classes(spark).withColumn("fold", F.lit(0))
-    p = L.fit_sgd_probe(df, ["fold"], 3, 3, [0, 1], "vec_id", lr=0.1, epochs=6, batch=16)
+    p = L.fit_sgd_probe(df, ["fold"], 3, 3, [0, 1], "vec_id", lr=0.1, epochs=6, batch=16, max_rows=rows)
     m = L.evaluate_probe(L.score_probes(df, p, ["fold"]), ["seed"], 3).collect()
     assert len(m) == 2 and all(r.balanced_accuracy > 0.85 for r in m)
 
@@ -198,3 +197,25 @@ def test_inference_loads_user_model(spark):
     df = spark.createDataFrame([(i, [float(i)] * 4) for i in range(10)], "tile_id bigint, px array<float>")
     out = E.embed_tiles(df, lambda: (lambda x: x.sum(axis=1, keepdims=True)), 2, 2).collect()
     assert [r.f for r in sorted(out, key=lambda r: r.tile_id)] == [[4.0 * i] for i in range(10)]
+
+
+def test_gap_refuses_bad_features_and_small_domains(spark):
+    rows = [(i, [float(i), 1.0 if i else float("nan")], i % 2) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id bigint, f array<double>, domain int")
+    with pytest.raises(Exception, match="NaN"):
+        G.mmd_rbf(df, "domain", 0, 1, "vec_id").collect()
+    with pytest.raises(Exception, match="2 or more rows"):
+        G.mmd_rbf(df.where("vec_id in (1, 2)"), "domain", 0, 1, "vec_id", estimator="unbiased").collect()
+
+
+def test_bandwidth_of_tiny_and_close_vectors(spark):
+    x = np.random.default_rng(3).normal(size=(40, 4)) * 1e-7 + 5.0
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, f array<double>")
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)[np.triu_indices(40, 1)]
+    assert G.median_gamma(df, 0, "vec_id").first().gamma == pytest.approx(1 / np.median(d), rel=1e-6)
+
+
+def test_groups_may_be_text(spark):
+    df = spark.createDataFrame([(i, [float(i % 5), float(i % 3)], i % 2, f"g{i % 4 // 2}") for i in range(40)],
+                               "vec_id bigint, f array<double>, domain int, g string")
+    assert G.mmd_groups(df, "domain", 0, 1, "g", "vec_id", "source_jackknife").count() == 2

@@ -257,3 +257,26 @@ def test_writers_never_overwrite_and_validate(spark, tmp_path):
     writers.write_result(df, str(tmp_path / "r"))
     with pytest.raises(Exception):
         writers.write_result(df, str(tmp_path / "r"))
+
+
+def test_nearest_keeps_every_left_row(spark):
+    left = spark.createDataFrame([("a", 1.0, 2.0), ("b", None, 2.0)], "tile_id string, lat double, lon double")
+    right = spark.createDataFrame([(1.0, 2.0), (None, 3.0)], "lat double, lon double")
+    assert {r.tile_id: r.distance_m for r in G.nearest(left, right).collect()} == {"a": 0.0, "b": None}
+    assert {r.tile_id: r.distance_m for r in G.nearest(left, right.where("false")).collect()} == {"a": None, "b": None}
+
+
+def test_unknown_site_raises(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "i int, site string")
+    sites = spark.createDataFrame([("x", 3)], "site string, label int")
+    assert T.label_by_site(rows.where("i = 1"), sites).first().label == 3
+    with pytest.raises(Exception, match="unknown site: y"):
+        T.label_by_site(rows, sites).collect()
+
+
+def test_ranking_refuses_unknown_scores(spark):
+    from tilescope.operators import ranking as X
+    df = spark.createDataFrame([(0.5, True), (float("nan"), False), (None, True)], "s double, y boolean")
+    for bad in ("isnan(s)", "s is null"):
+        with pytest.raises(Exception, match="finite scores"):
+            X.ranking_curve(df.where(f"s = 0.5 and not isnan(s) or {bad}"), [], "s", F.col("y")).collect()

@@ -1,7 +1,7 @@
 """Domain-gap statistics: maximum mean discrepancy in several forms and the proxy A-distance.
 
-Seeded subsamples (at most MAX_SAMPLES rows per domain) are part of the estimators. Whatever runs on
-a sample is bounded by it; kernel sums over whole tables go through the block grid.
+Estimates read every row unless the caller asks for a seeded sample; kernel sums over whole tables go
+through the block grid. Only the median bandwidth always comes from a sample, of BANDWIDTH_ROWS rows.
 """
 
 from __future__ import annotations
@@ -12,15 +12,17 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilescope.operators.blocks import block_pairs, matrix, pack, unpack
 from tilescope.operators.embedding import standardize, vector_stats
 from tilescope.operators.fit import few_partitions
 from tilescope.operators.ordering import hash_rank, hash_sample
+from tilescope.session import small_side
 
-MAX_SAMPLES = 2000
+#: Rows whose pairwise distances give the median bandwidth, a heuristic constant of the kernel.
+BANDWIDTH_ROWS = 2000
 
 
 def mmd_linear(df: DataFrame, domain: str, a, b, unbiased: bool = False, f: str = "f") -> DataFrame:
@@ -35,33 +37,46 @@ def mmd_linear(df: DataFrame, domain: str, a, b, unbiased: bool = False, f: str
     return both.select(value.alias("mmd2"))
 
 
-def equal_samples(df: DataFrame, domain: str, a, b, seed, id_col: str, max_samples: int = MAX_SAMPLES) -> DataFrame:
+def equal_samples(df: DataFrame, domain: str, a, b, seed, id_col: str, max_samples: int) -> DataFrame:
     """The same number of seeded rows from both domains; two counts that stop at ``max_samples``."""
     left, right = df.where(F.col(domain) == a), df.where(F.col(domain) == b)
     n = min(left.limit(max_samples).count(), right.limit(max_samples).count())
     if n < 1:
-        raise ValueError("both domains need rows")
+        raise ValueError(f"a sample of {a} and {b} needs at least one row of each")
     return hash_sample(left, n, seed, [id_col]).unionByName(hash_sample(right, n, seed, [id_col]))
 
 
+def _finite(x: np.ndarray) -> np.ndarray:
+    if not np.isfinite(x).all():
+        raise ValueError("a feature vector holds NULL, NaN or an infinite value")
+    return x
+
+
 def _squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products where they are accurate; pairs much closer than the cloud is wide are taken by direct differences."""
     centre = y.mean(axis=0)
     x, y = x - centre, y - centre
-    return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2.0 * x @ y.T, 0.0)
+    norms = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None]
+    d = np.maximum(norms - 2.0 * x @ y.T, 0.0)
+    i, j = np.nonzero(d < 1e-6 * norms)
+    for k in range(0, len(i), 1 << 14):
+        p, q = i[k:k + (1 << 14)], j[k:k + (1 << 14)]
+        d[p, q] = ((x[p] - y[q]) ** 2).sum(axis=1)
+    return d
 
 
 def _median_gamma(x: np.ndarray) -> float:
     upper = np.triu_indices(len(x), 1)
     d = _squared_distances(x, x)[upper]
-    d = d[d > 1e-12]
+    d = d[d > 0]
     return 1.0 / float(np.median(d)) if d.size else 1.0
 
 
-def median_gamma(sample: DataFrame, seed, id_col: str, f: str = "f") -> DataFrame:
-    """1 / median positive squared distance over at most MAX_SAMPLES seeded rows: one bounded group."""
-    rows = hash_sample(sample, MAX_SAMPLES, seed, [id_col]).select(f).withColumn("_all", F.lit(1))
+def median_gamma(sample: DataFrame, seed, id_col: str, f: str = "f", max_rows: int = BANDWIDTH_ROWS) -> DataFrame:
+    """1 / median positive squared distance over at most ``max_rows`` seeded rows: one bounded group."""
+    rows = hash_sample(sample, max_rows, seed, [id_col]).select(f).withColumn("_all", F.lit(1))
     return rows.groupBy("_all").applyInPandas(
-        lambda pdf: pd.DataFrame({"gamma": [_median_gamma(matrix(pdf[f]))]}), "gamma double")
+        lambda pdf: pd.DataFrame({"gamma": [_median_gamma(_finite(matrix(pdf[f])))]}), "gamma double")
 
 
 def kernel_sums(df: DataFrame, gamma: DataFrame, group: str, id_col: str, f: str = "f") -> DataFrame:
@@ -78,7 +93,7 @@ def kernel_sums(df: DataFrame, gamma: DataFrame, group: str, id_col: str, f: str
             for r in pdf.itertuples(index=False):
                 _, ga, x = unpack(r.n_l, r.ids_l, r.codes_l, r.mat_l)
                 _, gb, y = unpack(r.n_r, r.ids_r, r.codes_r, r.mat_r)
-                kern = np.exp(-r.gamma * _squared_distances(x, y))
+                kern = np.exp(-r.gamma * _squared_distances(_finite(x), _finite(y)))
                 ua, ia = np.unique(ga, return_inverse=True)
                 ub, ib = np.unique(gb, return_inverse=True)
                 sums = np.eye(len(ua))[ia].T @ kern @ np.eye(len(ub))[ib]
@@ -93,11 +108,13 @@ def kernel_sums(df: DataFrame, gamma: DataFrame, group: str, id_col: str, f: str
 
 
 def mmd_rbf(df: DataFrame, domain: str, a, b, id_col: str, gamma: DataFrame | None = None, estimator: str = "biased",
-            seed=0, max_samples: int | None = MAX_SAMPLES, f: str = "f") -> DataFrame:
-    """One row mmd2, gamma: V-statistic (clipped at zero) or U-statistic over equal seeded samples, or
-    over every row when ``max_samples`` is None."""
-    if estimator not in ("biased", "unbiased"):
-        raise ValueError("estimator must be 'biased' or 'unbiased'")
+            seed=0, max_samples: int | None = None, f: str = "f") -> DataFrame:
+    """One row mmd2, gamma: V-statistic (clipped at zero) or U-statistic over every row of both domains,
+    or over equal seeded samples of at most ``max_samples`` each. Non-finite features, a domain without
+    rows and a U-statistic of fewer than two raise inside the job."""
+    least = {"biased": 1, "unbiased": 2}.get(estimator)
+    if least is None:
+        raise ValueError(f"unknown estimator {estimator!r}; use biased or unbiased")
     rows = df.where(F.col(domain).isin(a, b)) if max_samples is None else equal_samples(df, domain, a, b, seed, id_col, max_samples)
     gamma = median_gamma(rows, seed, id_col, f) if gamma is None else gamma
     side = F.when(F.col(domain) == a, 0).otherwise(1)
@@ -109,40 +126,53 @@ def mmd_rbf(df: DataFrame, domain: str, a, b, id_col: str, gamma: DataFrame | No
     k = k.withColumn("_n", n.scalar()).withColumn("gamma", gamma.scalar())
     ns, nt = F.col("_n.ns").cast("double"), F.col("_n.nt").cast("double")
     if estimator == "biased":
-        value = F.greatest(F.col("ss") / (ns * ns) + F.col("tt") / (nt * nt) - 2.0 * F.col("st") / (ns * nt), F.lit(0.0))
+        raw = F.col("ss") / (ns * ns) + F.col("tt") / (nt * nt) - 2.0 * F.col("st") / (ns * nt)
+        value = F.when(raw < 0, 0.0).otherwise(raw)
     else:
         value = ((F.col("ss") - ns) / (ns * (ns - 1)) + (F.col("tt") - nt) / (nt * (nt - 1)) - 2.0 * F.col("st") / (ns * nt))
+    enough = (ns >= least) & (nt >= least)
+    value = F.when(enough, value).otherwise(F.raise_error(F.lit(f"the {estimator} estimate needs {least} or more rows of each domain")))
     return k.select(value.alias("mmd2"), "gamma", F.col("_n.ns").alias("n_source"), F.col("_n.nt").alias("n_target"))
 
 
-def _mmd(x: np.ndarray, y: np.ndarray, gamma: float) -> float:
-    k = lambda p, q: np.exp(-gamma * _squared_distances(p, q)).mean()
-    return float(max(k(x, x) + k(y, y) - 2.0 * k(x, y), 0.0))
+def _mmd(x: np.ndarray, y: np.ndarray, gamma: float | None, estimator: str) -> float:
+    """Squared MMD of two samples; ``gamma`` None is the linear kernel."""
+    m, n = len(x), len(y)
+    if gamma is None:
+        centre = y.mean(axis=0)
+        k = lambda p, q: (p - centre) @ (q - centre).T
+    else:
+        k = lambda p, q: np.exp(-gamma * _squared_distances(p, q))
+    xx, yy, cross = k(x, x), k(y, y), 2.0 * float(k(x, y).mean())
+    if estimator == "unbiased":
+        return float((xx.sum() - np.trace(xx)) / (m * (m - 1)) + (yy.sum() - np.trace(yy)) / (n * (n - 1)) - cross)
+    return float(max(xx.mean() + yy.mean() - cross, 0.0))
 
 
-def mmd_repeated(df: DataFrame, domain: str, a, b, id_col: str, repeats: int = 100, seed: int = 0,
-                 max_samples: int = MAX_SAMPLES, f: str = "f") -> DataFrame:
-    """One biased estimate per seed (repeat, gamma, mmd2); each group is one bounded sample.
+def mmd_repeated(df: DataFrame, domain: str, a, b, id_col: str, max_samples: int, repeats: int = 100, seed: int = 0,
+                 kernel: str = "rbf", gamma: float | None = None, estimator: str = "biased", f: str = "f") -> DataFrame:
+    """One estimate per seed (repeat, gamma, mmd2) over equal samples of at most ``max_samples`` rows a domain.
 
-    The per-repeat samples plan as a group limit ahead of the shuffle: at most ``max_samples`` rows
-    per repeat, domain and task move.
+    ``gamma`` None takes the sample's median bandwidth; the linear kernel has none (NULL). The
+    per-repeat samples plan as a group limit ahead of the shuffle: at most ``max_samples`` rows per
+    repeat, domain and task move, and each group is one such sample.
     """
-    if repeats < 2:
-        raise ValueError("repeats must be at least 2")
+    least = {"biased": 1, "unbiased": 2}.get(estimator)
+    if repeats < 2 or least is None or kernel not in ("rbf", "linear"):
+        raise ValueError("two or more repeats, a known estimator and the rbf or linear kernel are needed")
     rows = df.where(F.col(domain).isin(a, b))
     n = min(rows.where(F.col(domain) == d).limit(max_samples).count() for d in (a, b))
+    if n < least:
+        raise ValueError(f"the {estimator} estimate needs {least} or more rows of each domain")
     each = rows.select(id_col, F.col(domain).alias("_d"), f).withColumn(
         "repeat", F.explode(F.sequence(F.lit(seed), F.lit(seed + repeats - 1))))
     picked = hash_sample(each, n, F.col("repeat").cast("string"), [id_col], ["repeat", "_d"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_d", id_col])
-        x, y = matrix(pdf.loc[pdf["_d"] == a, f]), matrix(pdf.loc[pdf["_d"] == b, f])
-        both = np.concatenate([x, y])
-        if len(both) > MAX_SAMPLES:
-            both = both[np.random.default_rng(int(pdf["repeat"].iloc[0])).choice(len(both), MAX_SAMPLES, replace=False)]
-        gamma = _median_gamma(both)
-        return pd.DataFrame({"repeat": [pdf["repeat"].iloc[0]], "gamma": [gamma], "mmd2": [_mmd(x, y, gamma)]})
+        x, y = (_finite(matrix(pdf.loc[pdf["_d"] == d, f])) for d in (a, b))
+        width = None if kernel == "linear" else gamma or _median_gamma(np.concatenate([x, y]))
+        return pd.DataFrame({"repeat": [pdf["repeat"].iloc[0]], "gamma": [width], "mmd2": [_mmd(x, y, width, estimator)]}).astype({"gamma": float})
 
     return picked.groupBy("repeat").applyInPandas(one, "repeat int, gamma double, mmd2 double")
 
@@ -161,11 +191,11 @@ def mmd_permutation(df: DataFrame, domain: str, a, b, id_col: str, permutations:
     The pooled sample (at most twice ``max_samples`` rows) is broadcast; permutations are spread over tasks.
     """
     if permutations < 1:
-        raise ValueError("permutations must be positive")
+        raise ValueError(f"{permutations} permutations give no test; ask for one or more")
     spark = df.sparkSession
     sample = equal_samples(df, domain, a, b, seed, id_col, max_samples).select(domain, id_col, f)
     rows = sorted(sample.collect(), key=lambda r: (r[domain] != a, r[id_col]))  # at most 2 * max_samples rows
-    pooled = np.asarray([r[f] for r in rows], dtype=float)
+    pooled = _finite(np.asarray([r[f] for r in rows], dtype=float))
     n, gamma = len(pooled) // 2, _median_gamma(pooled)
     shared = spark.sparkContext.broadcast(np.exp(-gamma * _squared_distances(pooled, pooled)))
 
@@ -192,13 +222,17 @@ def mmd_groups(df: DataFrame, domain: str, a, b, group: str, id_col: str, mode:
                f: str = "f") -> DataFrame:
     """Biased squared MMD per resample (repeat, mmd2): source leave-one-group-out or target group bootstrap.
 
-    All rows count: the kernel is summed once by group pair, and every resample is a weighted sum of
-    that small matrix. This equals recomputing on resampled rows when no subsampling cap applies.
+    All rows count: the kernel is summed once by group pair, with one bandwidth from the unresampled
+    rows, and every resample is a weighted sum of that small matrix. Refitting the bandwidth for each
+    resample, or equalising the domains' sizes, would give other values. Groups may be of any type.
     """
     if mode not in ("source_jackknife", "target_bootstrap"):
-        raise ValueError("mode must be 'source_jackknife' or 'target_bootstrap'")
-    rows = df.where(F.col(domain).isin(a, b)).withColumn(
-        "_cell", F.col(group).cast("bigint") * 2 + F.when(F.col(domain) == a, 0).otherwise(1))
+        raise ValueError(f"unknown mode {mode!r}; use source_jackknife or target_bootstrap")
+    rows = df.where(F.col(domain).isin(a, b))
+    names = small_side(rows.select(F.col(group).alias("_name")).distinct()
+                       .select("_name", (F.row_number().over(Window.orderBy("_name")) - 1).cast("bigint").alias("_group")))
+    rows = rows.join(names, rows[group] == names["_name"]).withColumn(
+        "_cell", F.col("_group") * 2 + F.when(F.col(domain) == a, 0).otherwise(1)).drop("_name", "_group")
     sums = kernel_sums(rows, median_gamma(rows, seed, id_col, f), "_cell", id_col, f).collect()  # group pairs
     sizes = {r["_cell"]: r["n"] for r in rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     cells = sorted(sizes)

@@ -19,9 +19,10 @@ from tilescope.functions.scalars import argmax, as_doubles, hash_unit, linear_lo
 from tilescope.operators import metrics as M
 from tilescope.operators.blocks import matrix
 from tilescope.operators.embedding import standardize
-from tilescope.session import cut_lineage, small_side
+from tilescope.operators.ordering import hash_sample
+from tilescope.session import small_side
 
-SHARD_ROWS = 100_000
+MAX_TRAIN_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -64,9 +65,8 @@ def _with_weights(train: DataFrame, k: int, balanced: bool) -> DataFrame:
 
 
 def few_partitions(rows: DataFrame, n: int) -> DataFrame:
-    """Iterative fits pay per task: small inputs get one partition per few thousand rows, large ones keep theirs."""
-    want = max(1, math.ceil(n / 4096))
-    return rows.coalesce(want) if want < 64 else rows
+    """Iterative fits pay per task: at most one partition per 4,096 rows."""
+    return rows.coalesce(max(1, math.ceil(n / 4096)))
 
 
 def fit_logistic(train: DataFrame, k: int, c: float = 1.0, balanced: bool = True, f: str = "f", max_iter: int = 200,
@@ -111,62 +111,41 @@ def fit_grid(features: DataFrame, k: int, folds: list[int], scalings: list[bool]
 
 
 def fit_sgd_probe(train: DataFrame, cells: list[str], k: int, dim: int, seeds: list[int], id_col: str, lr: float = 0.01,
-                  epochs: int = 100, batch: int = 256, f: str = "f", weight: str | None = None) -> DataFrame:
+                  epochs: int = 100, batch: int = 256, f: str = "f", weight: str | None = None,
+                  max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """Softmax probe by minibatch SGD (momentum 0.9, cosine schedule): (cells, seed, coef, intercept).
 
-    Every (cell, seed) is cut into hash shards of about SHARD_ROWS rows. Up to one shard this is
-    plain SGD in one bounded task. Larger sets run one epoch per shard in parallel and average
-    parameters and momentum by row count after each epoch.
+    Fits on at most ``max_rows`` labelled rows of each cell, the first in md5 order of the id; every
+    (cell, seed) is plain SGD over them in one task, so its memory is bounded by that parameter.
     """
-    sizes = train.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"))
-    shards = sizes.withColumn("_shards", F.ceil(F.col("_n") / SHARD_ROWS).cast("int")).drop("_n")
     rows = train.select(*cells, "label", F.col(id_col).alias("_id"), F.col(f).alias("_f"),
                         (F.lit(1.0) if weight is None else F.col(weight)).alias("_w"))
-    rows = rows.join(shards, cells).withColumn("_shard", F.pmod(F.xxhash64("_id"), F.col("_shards"))).withColumn(
-        "seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    most = shards.agg(F.max("_shards")).first()[0] or 1
-    per_round = epochs if most == 1 else 1
+    rows = hash_sample(rows, max_rows, 0, ["_id"], cells).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     kinds = dict(train.dtypes)
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in cells], "seed int, _rows bigint, state array<double>"])
-    size = k * (dim + 1)
-
-    def start(seed):
-        bound = 1.0 / math.sqrt(dim)
-        return np.concatenate([np.random.default_rng(seed).uniform(-bound, bound, size), np.zeros(size)])
-
-    def run_round(first: int):
-        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_id")
-            seed = int(pdf["seed"].iloc[0])
-            state = np.asarray(pdf["_state"].iloc[0], dtype=float) if first else start(seed)
-            theta, speed = state[:size].reshape(k, dim + 1).copy(), state[size:].reshape(k, dim + 1).copy()
-            x = np.hstack([matrix(pdf["_f"]), np.ones((len(pdf), 1))])
-            y, w = pdf["label"].to_numpy(int), pdf["_w"].to_numpy(float)
-            for epoch in range(first, first + per_round):
-                step = lr * 0.5 * (1.0 + math.cos(math.pi * epoch / epochs))
-                order = np.random.default_rng([seed, epoch]).permutation(len(x))
-                for at in range(0, len(x), batch):
-                    pick = order[at: at + batch]
-                    z = x[pick] @ theta.T
-                    p = np.exp(z - z.max(axis=1, keepdims=True))
-                    p /= p.sum(axis=1, keepdims=True)
-                    p[np.arange(len(pick)), y[pick]] -= 1.0
-                    grad = (p * w[pick, None]).T @ x[pick] / w[pick].sum()
-                    speed = 0.9 * speed + grad
-                    theta = theta - step * speed
-            out = {c: [pdf[c].iloc[0]] for c in cells}
-            out |= {"seed": [seed], "_rows": [len(x)], "state": [np.concatenate([theta.ravel(), speed.ravel()])]}
-            return pd.DataFrame(out)
-        return fit
-
-    state: DataFrame | None = None
-    for first in range(0, epochs, per_round):
-        use = rows if state is None else rows.join(state.withColumnRenamed("state", "_state"), [*cells, "seed"])
-        parts = use.groupBy(*cells, "seed", "_shard").applyInPandas(run_round(first), schema)
-        mean = vector_to_array(Summarizer.mean(array_to_vector("state"), F.col("_rows").cast("double")))
-        state = parts.groupBy(*cells, "seed").agg(mean.alias("state"))
-        if per_round < epochs:
-            state = cut_lineage(state)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in cells], "seed int, state array<double>"])
+    bound = 1.0 / math.sqrt(dim)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_id")
+        seed = int(pdf["seed"].iloc[0])
+        theta = np.random.default_rng(seed).uniform(-bound, bound, (k, dim + 1))
+        speed = np.zeros_like(theta)
+        x = np.hstack([matrix(pdf["_f"]), np.ones((len(pdf), 1))])
+        y, w = pdf["label"].to_numpy(int), pdf["_w"].to_numpy(float)
+        for epoch in range(epochs):
+            step = lr * 0.5 * (1.0 + math.cos(math.pi * epoch / epochs))
+            order = np.random.default_rng([seed, epoch]).permutation(len(x))
+            for at in range(0, len(x), batch):
+                pick = order[at: at + batch]
+                z = x[pick] @ theta.T
+                p = np.exp(z - z.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                p[np.arange(len(pick)), y[pick]] -= 1.0
+                speed = 0.9 * speed + (p * w[pick, None]).T @ x[pick] / w[pick].sum()
+                theta = theta - step * speed
+        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in cells} | {"seed": [seed], "state": [theta.ravel()]})
+
+    state = rows.groupBy(*cells, "seed").applyInPandas(fit, schema)
     wide = dim + 1
     return state.select(
         *cells, "seed", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.slice("state", c * wide + 1, F.lit(dim))).alias("coef"),

@@ -85,15 +85,21 @@ def _nearest_within(left: DataFrame, blocks: DataFrame, edge: float, radius: flo
 
 
 def nearest(left: DataFrame, right: DataFrame, radius: float = SPHERE_RADIUS_M) -> DataFrame:
-    """(tile_id, distance_m) to the nearest right point, exact at any distance.
+    """(tile_id, distance_m) to the nearest right point, exact at any distance; one row per left row.
+
+    ``distance_m`` is NULL for a left row without coordinates and when no right point has any.
 
     The search radius starts near the right side's mean spacing, or finer until no cube holds more
     than a few blocks, and grows fourfold for rows still without an answer inside it: crowded places
     settle in the fine rounds, far rows are still exact.
     """
-    l = left.select("tile_id", "lat", "lon")
-    r = right.select("lat", "lon").distinct().withColumn("_row", F.lit(0))
-    n = max(r.count(), 1)
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    l = left.select("tile_id", "lat", "lon").where(known)
+    r = cut_lineage(right.select("lat", "lon").where(known).distinct()).withColumn("_row", F.lit(0))
+    n = r.count()
+    blank = left.where(F.lit(n == 0) | ~known).select("tile_id", F.lit(None).cast("double").alias("distance_m"))
+    if not n:
+        return blank
     reach = radius * math.sqrt(4.0 * math.pi / n) * 2.0
 
     def crowd(metres):
@@ -102,14 +108,14 @@ def nearest(left: DataFrame, right: DataFrame, radius: float = SPHERE_RADIUS_M)
 
     while reach > 1.0 and crowd(reach) > CROWD:
         reach /= 4.0
-    done: DataFrame | None = None
+    done = blank
     while True:
         edge = _chord(reach, radius)
         blocks = _blocks(r.withColumn("cube", _cube(edge)), ["cube"])
         last = reach >= math.pi * radius
         found = _nearest_within(l, blocks, edge, radius)
         sure = cut_lineage(found if last else found.where(F.col("distance_m") <= reach))
-        done = sure if done is None else done.unionByName(sure)
+        done = done.unionByName(sure)
         if last:
             return done
         l = cut_lineage(l.join(sure, "tile_id", "left_anti"))

@@ -16,8 +16,11 @@ def ranking_curve(df: DataFrame, keys: list[str], score: str, positive: Column,
     """One row per distinct score, descending; equal scores enter together.
 
     Rows collapse to (keys, score) counts before any shuffle, then cumulate bucket by bucket.
-    ``hits`` and ``size`` are this tie group's positives and rows.
+    ``hits`` and ``size`` are this tie group's positives and rows. A NULL or NaN score or a NULL
+    outcome raises inside the job.
     """
+    fine = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & positive.isNotNull()
+    df = df.where(F.when(fine, True).otherwise(F.raise_error(F.lit("ranking needs finite scores and known outcomes")).cast("boolean")))
     hit = positive.cast("int")
     aggs = [F.count(F.lit(1)).alias("size"), F.sum(hit).alias("hits")]
     if item:

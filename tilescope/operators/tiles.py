@@ -139,8 +139,11 @@ def tile_raster(cells: DataFrame, size: int, height: Column, width: Column,
 
 
 def label_by_site(df: DataFrame, sites: DataFrame, key: str = "site") -> DataFrame:
-    """Constant class per site; unknown sites raise through the inner join's absence check upstream."""
-    return df.join(sites, key)
+    """Constant class per site; a row of an unknown site raises inside the job."""
+    known = sites.select(key, F.struct(*[c for c in sites.columns if c != key]).alias("_site"))
+    site = F.when(F.col("_site").isNotNull(), F.col("_site")).otherwise(
+        F.raise_error(F.concat(F.lit("unknown site: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+    return df.join(known, key, "left").withColumn("_site", site).select(*df.columns, "_site.*")
 
 
 def map_tiles(tiles: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:

@@ -103,17 +103,16 @@ def _(spark, sf):
     return one(False).unionByName(one(True))
 
 
-KERNEL = """WITH n AS (SELECT least(2000, min(c)) AS n FROM (SELECT count(*) AS c FROM embeddings GROUP BY vec_id % 2)),
-r AS (SELECT vec_id % 2 AS d, embedding AS f, row_number() OVER (PARTITION BY vec_id % 2 ORDER BY md5(concat_ws(':', '0', vec_id)), vec_id) AS rn FROM embeddings),
-s AS (SELECT row_number() OVER (ORDER BY d, rn) AS id, d, list_transform(f, lambda x: CAST(x AS DOUBLE)) AS f FROM r, n WHERE rn <= n),
+KERNEL = """WITH n AS (SELECT count(*) FILTER (WHERE vec_id % 2 = 0) AS ns, count(*) FILTER (WHERE vec_id % 2 = 1) AS nt FROM embeddings),
+s AS (SELECT row_number() OVER (ORDER BY md5(concat_ws(':', '0', vec_id)), vec_id) AS id, vec_id % 2 AS d, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f FROM embeddings),
 p AS (SELECT a.id AS i, b.id AS j, a.d AS da, b.d AS db, pow(list_distance(a.f, b.f), 2) AS d2 FROM s a CROSS JOIN s b),
-g AS (SELECT 1 / median(d2) AS gamma FROM p WHERE i < j AND d2 > 0),
+g AS (SELECT 1 / median(d2) AS gamma FROM p WHERE i < j AND d2 > 0 AND i <= 2000 AND j <= 2000),
 ks AS (SELECT sum(exp(-gamma * d2)) FILTER (WHERE da = 0 AND db = 0) AS ss, sum(exp(-gamma * d2)) FILTER (WHERE da = 1 AND db = 1) AS tt, sum(exp(-gamma * d2)) FILTER (WHERE da = 0 AND db = 1) AS st,
  max(gamma) AS gamma FROM p CROSS JOIN g)"""
 
 
-@query("e05_mmd_rbf", KERNEL + f""" SELECT 'biased' AS form, {R('ss / (n * n) + tt / (n * n) - 2 * st / (n * n)', 'mmd2')}, n::BIGINT AS n FROM ks CROSS JOIN n
-UNION ALL SELECT 'unbiased', round((ss - n) / (n * (n - 1)) + (tt - n) / (n * (n - 1)) - 2 * st / (n * n), 6) + 0.0, n FROM ks CROSS JOIN n""")
+@query("e05_mmd_rbf", KERNEL + f""" SELECT 'biased' AS form, {R('greatest(ss / (ns * ns) + tt / (nt * nt) - 2 * st / (ns * nt), 0)', 'mmd2')}, ns::BIGINT AS n FROM ks CROSS JOIN n
+UNION ALL SELECT 'unbiased', round((ss - ns) / (ns * (ns - 1)) + (tt - nt) / (nt * (nt - 1)) - 2 * st / (ns * nt), 6) + 0.0, ns FROM ks CROSS JOIN n""")
 def _(spark, sf):
     f = features(spark, sf)
     one = lambda e: G.mmd_rbf(f, "domain", 0, 1, "vec_id", estimator=e).select(F.lit(e).alias("form"), round6("mmd2").alias("mmd2"), bi("n_source").alias("n"))
@@ -122,12 +121,11 @@ def _(spark, sf):
 
 @query("e06_median_bandwidth", KERNEL + f" SELECT {R('gamma')} FROM g")
 def _(spark, sf):
-    s = G.equal_samples(features(spark, sf), "domain", 0, 1, 0, "vec_id")
-    return keyed(G.median_gamma(s, 0, "vec_id"), [], (), ["gamma"])
+    return keyed(G.median_gamma(features(spark, sf), 0, "vec_id"), [], (), ["gamma"])
 
 
-@query("e07_mmd_repeated", f"""WITH n AS (SELECT least(200, min(c)) AS n FROM (SELECT count(*) AS c FROM embeddings GROUP BY vec_id % 2)),
-r AS (SELECT rep, vec_id, vec_id % 2 AS d, embedding AS f, row_number() OVER (PARTITION BY rep, vec_id % 2 ORDER BY md5(concat_ws(':', rep, vec_id)), vec_id) AS rn FROM embeddings CROSS JOIN range(20) t(rep)),
+@query("e07_mmd_repeated", f"""WITH n AS (SELECT least(2000, min(c)) AS n FROM (SELECT count(*) AS c FROM embeddings GROUP BY vec_id % 2)),
+r AS (SELECT rep, vec_id, vec_id % 2 AS d, embedding AS f, row_number() OVER (PARTITION BY rep, vec_id % 2 ORDER BY md5(concat_ws(':', rep, vec_id)), vec_id) AS rn FROM embeddings CROSS JOIN range(100) t(rep)),
 s AS (SELECT rep, vec_id, d, list_transform(f, lambda x: CAST(x AS DOUBLE)) AS f FROM r, n WHERE rn <= n),
 p AS (SELECT a.rep, a.vec_id < b.vec_id AS half, a.d AS da, b.d AS db, pow(list_distance(a.f, b.f), 2) AS d2 FROM s a JOIN s b ON a.rep = b.rep),
 g AS (SELECT rep, 1 / median(d2) AS gamma FROM p WHERE half AND d2 > 0 GROUP BY rep),
@@ -135,7 +133,7 @@ m AS (SELECT p.rep, greatest(avg(exp(-gamma * d2)) FILTER (WHERE da = 0 AND db =
  - 2 * avg(exp(-gamma * d2)) FILTER (WHERE da = 0 AND db = 1), 0) AS v FROM p JOIN g ON g.rep = p.rep GROUP BY p.rep)
 SELECT count(*) AS repeats, {R('avg(v)', 'mean')}, {R('stddev_samp(v)', 'sd')}, {R('quantile_cont(v, 0.025)', 'low')}, {R('quantile_cont(v, 0.975)', 'high')} FROM m""")
 def _(spark, sf):
-    r = G.mmd_repeated(features(spark, sf), "domain", 0, 1, "vec_id", repeats=20, max_samples=200)
+    r = G.mmd_repeated(features(spark, sf), "domain", 0, 1, "vec_id", max_samples=2000)
     return keyed(G.resampling_summary(r), [], ["repeats"], ["mean", "sd", "low", "high"])
 
 

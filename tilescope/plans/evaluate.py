@@ -50,7 +50,7 @@ def within_eval(folds: DataFrame, k: int, classes: int, dim: int, seeds: list[in
     knn = _long(knn_fold_metrics(folds, k, classes, id_col), ["fold"], ["balanced_accuracy", "kappa"], method="knn").withColumn(
         "seed", F.lit(-1))
     parts = probe.unionByName(knn)
-    for fold in range(5):
+    for fold in sorted(r["fold"] for r in test.select("fold").distinct().collect()):  # one row per fold of the design
         s = _long(E.silhouette(test.where(F.col("fold") == fold)), [], ["silhouette"], method="silhouette")
         parts = parts.unionByName(s.withColumn("fold", F.lit(fold)).withColumn("seed", F.lit(-1)))
     return parts

@@ -64,19 +64,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 64 << 20
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Keep a summary table once and broadcast it when its counted rows stay under ``max_rows``.
+    """Keep a summary table once and broadcast it when it is counted and measured to be small.
 
     For tables of one row per class, model or cell: without this, size estimates taken from the
-    scanned data make Spark shuffle the big side on a handful of hot keys. A larger table is
-    returned as it is and joins by shuffle, where adaptive execution splits skewed partitions.
+    scanned data make Spark shuffle the big side on a handful of hot keys. A table of more than
+    ``max_rows`` rows, or of more than BROADCAST_BYTES as text, is returned as it is and joins by
+    shuffle, where adaptive execution splits skewed partitions.
     """
     kept = cut_lineage(df)
     return F.broadcast(kept) if is_small(kept, max_rows) else kept
 
 
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than that many plus one."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` stays within both limits; reads no more than ``max_rows`` rows plus one."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    rows, wide = df.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    return rows <= max_rows and (wide or 0) <= max_bytes
