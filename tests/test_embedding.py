@@ -219,3 +219,14 @@ def test_groups_may_be_text(spark):
     df = spark.createDataFrame([(i, [float(i % 5), float(i % 3)], i % 2, f"g{i % 4 // 2}") for i in range(40)],
                                "vec_id bigint, f array<double>, domain int, g string")
     assert G.mmd_groups(df, "domain", 0, 1, "g", "vec_id", "source_jackknife").count() == 2
+
+
+def test_mahalanobis_with_supplied_moments(spark):
+    df = spark.createDataFrame([(0, 1.0, 2.0, 3.0), (1, 4.0, 0.0, 0.0), (2, 1.0, 1.0, 1.0)], "c int, x double, y double, z double")
+    cov = [[2.0, 0.5, 0.0], [0.5, 1.0, 0.2], [0.0, 0.2, 3.0]]
+    table = spark.createDataFrame([(0, [1.0, 1.0, 1.0], cov), (1, [0.0, 0.0, 0.0], [[0.0] * 3] * 3)],
+                                  "c int, mean array<double>, cov array<array<double>>")
+    got = {r.c: r.score for r in E.mahalanobis(df, ["x", "y", "z"], "c", moments=E.supplied_moments(table, "c")).collect()}
+    d = np.array([0.0, 1.0, 2.0])
+    assert got[0] == pytest.approx(np.sqrt(d @ np.linalg.inv(np.array(cov)) @ d))
+    assert got[1] == pytest.approx(4.0) and got[2] is None

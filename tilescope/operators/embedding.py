@@ -239,10 +239,10 @@ def coral_distance(df: DataFrame, domain: str, a, b, f: str = "f") -> DataFrame:
 
 # ---- outlier score --------------------------------------------------------------------------------
 
-def mahalanobis(df: DataFrame, cols: list[str], cls: str, ridge: float = 1e-6) -> DataFrame:
-    """Distance of three columns from their class, by the closed-form inverse of a 3 x 3 covariance.
+def class_moments(df: DataFrame, cols: list[str], cls: str, ridge: float = 1e-6) -> DataFrame:
+    """(cls, _m0.._m2, _a, _b, _c, _d, _e, _g): mean and upper triangle of the covariance of three columns per class.
 
-    Classes under two rows use zero mean and identity; a singular matrix falls back to Euclidean.
+    Classes under two rows have zero mean and identity.
     """
     x, y, z = cols
     cov = lambda a, b: F.covar_samp(a, b) + (ridge if a == b else 0.0)
@@ -250,15 +250,32 @@ def mahalanobis(df: DataFrame, cols: list[str], cls: str, ridge: float = 1e-6) -
     st = df.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)],
                              *[cov(*pair).alias(f"_{n}") for n, pair in entries.items()])
     few = F.col("_n") < 2
-    st = st.select(cls, *[F.when(few, 0.0).otherwise(F.col(f"_m{i}")).alias(f"_m{i}") for i in range(3)],
-                   *[F.when(few, 1.0 if n in "adg" else 0.0).otherwise(F.col(f"_{n}")).alias(f"_{n}") for n in entries])
+    return st.select(cls, *[F.when(few, 0.0).otherwise(F.col(f"_m{i}")).alias(f"_m{i}") for i in range(3)],
+                     *[F.when(few, 1.0 if n in "adg" else 0.0).otherwise(F.col(f"_{n}")).alias(f"_{n}") for n in entries])
+
+
+def supplied_moments(table: DataFrame, cls: str, mean: str = "mean", cov: str = "cov") -> DataFrame:
+    """The moments table from (cls, mean array of 3, covariance array of 3 arrays of 3)."""
+    at = {"a": (0, 0), "b": (0, 1), "c": (0, 2), "d": (1, 1), "e": (1, 2), "g": (2, 2)}
+    return table.select(cls, *[F.col(mean)[i].cast("double").alias(f"_m{i}") for i in range(3)],
+                        *[F.col(cov)[i][j].cast("double").alias(f"_{n}") for n, (i, j) in at.items()])
+
+
+def mahalanobis(df: DataFrame, cols: list[str], cls: str, ridge: float = 1e-6, moments: DataFrame | None = None) -> DataFrame:
+    """Distance of three columns from their class, by the closed-form inverse of a 3 x 3 covariance.
+
+    ``moments`` (from ``supplied_moments``) takes the place of the rows' own; rows of a class it does
+    not have get a NULL score. A singular matrix falls back to Euclidean.
+    """
+    st = class_moments(df, cols, cls, ridge) if moments is None else moments
+    entries = "abcdeg"
     a, b, c, d, e, g = (F.col(f"_{n}") for n in entries)
     det = a * (d * g - e * e) - b * (b * g - c * e) + c * (b * e - c * d)
     u, v, w = (F.col(n) - F.col(f"_m{i}") for i, n in enumerate(cols))
     quad = (u * u * (d * g - e * e) + v * v * (a * g - c * c) + w * w * (a * d - b * b)
             + 2 * u * v * (c * e - b * g) + 2 * u * w * (b * e - c * d) + 2 * v * w * (b * c - a * e))
     score = F.sqrt(F.coalesce(F.try_divide(quad, F.when(det != 0, det)), u * u + v * v + w * w))
-    return df.join(small_side(st), cls).withColumn("score", score).drop(*[f"_m{i}" for i in range(3)], *[f"_{n}" for n in entries])
+    return df.join(small_side(st), cls, "left").withColumn("score", score).drop(*[f"_m{i}" for i in range(3)], *[f"_{n}" for n in entries])
 
 
 # ---- inference ------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilescope.functions.scalars import ratio
+from tilescope.operators.metrics import strict_avg, strict_sd
 from tilescope.operators.ordering import exact_quantiles, hash_rank, running_totals, values_near_quantiles
 from tilescope.session import small_side
 
@@ -62,6 +63,43 @@ def ovr_average_precision(pred: DataFrame, keys: list[str]) -> DataFrame:
     return average_precision(curve, [*keys, "class"])
 
 
+def with_macro_ap(ap: DataFrame, keys: list[str], cls: str = "class") -> DataFrame:
+    """Per-class AP plus one row of class -1 per key, the macro AP: NULL if any class has none."""
+    macro = ap.groupBy(*keys).agg(strict_avg("ap").alias("ap")).select(*keys, F.lit(-1).cast(dict(ap.dtypes)[cls]).alias(cls), "ap")
+    return ap.select(*keys, cls, "ap").unionByName(macro)
+
+
+def ap_summary(ap: DataFrame, arm: list[str], fold: str = "fold", seed: str = "seed", cls: str = "class") -> DataFrame:
+    """(arm, class, fold, mean, sd): seed means per region, and with fold NULL their mean and SD over regions.
+
+    Class -1 is the macro AP. Seeds are averaged first, scores are never pooled; an undefined AP makes
+    everything it enters undefined.
+    """
+    seeds = with_macro_ap(ap, [*arm, fold, seed], cls).groupBy(*arm, cls, fold).agg(strict_avg("ap").alias("mean"))
+    regions = seeds.groupBy(*arm, cls).agg(strict_avg("mean").alias("_m"), strict_sd("mean").alias("sd"))
+    return (seeds.withColumn("sd", F.lit(None).cast("double"))
+            .unionByName(regions.select(*arm, cls, F.lit(None).cast(dict(ap.dtypes)[fold]).alias(fold), F.col("_m").alias("mean"), "sd")))
+
+
+def ap_contrasts(ap: DataFrame, arm: str, a, b, keys: list[str] = (), fold: str = "fold", seed: str = "seed", cls: str = "class") -> DataFrame:
+    """(keys, class, fold, pairs, paired, unpaired): AP of arm ``a`` minus arm ``b`` per region.
+
+    ``paired`` averages the differences of equal seeds, ``pairs`` counts them; ``unpaired`` is the difference
+    of the arms' seed means, for arms with other seeds. Undefined APs make the contrast undefined; seeds
+    of one arm only are left out of the pairs, and without pairs ``paired`` is NULL.
+    """
+    rows = with_macro_ap(ap.where(F.col(arm).isin(a, b)), [*keys, arm, fold, seed], cls)
+    of = lambda value, c: F.max(F.when(F.col(arm) == value, F.lit(True) if c is None else F.col(c)))
+    seeds = rows.groupBy(*keys, cls, fold, seed).agg(
+        of(a, None).alias("_in_a"), of(b, None).alias("_in_b"), of(a, "ap").alias("_a"), of(b, "ap").alias("_b"))
+    both = F.col("_in_a") & F.col("_in_b")
+    mean = lambda here, value: F.when(F.count(F.when(here, value)) == F.count(F.when(here, 1)), F.avg(F.when(here, value)))
+    side = lambda c: mean(F.coalesce(F.col(f"_in_{c}"), F.lit(False)), F.col(f"_{c}"))
+    pair = F.coalesce(both, F.lit(False))
+    return seeds.groupBy(*keys, cls, fold).agg(
+        F.count_if(pair).alias("pairs"), mean(pair, F.col("_a") - F.col("_b")).alias("paired"), (side("a") - side("b")).alias("unpaired"))
+
+
 def retrieval_curve(curve: DataFrame, keys: list[str]) -> DataFrame:
     """Recall against retrieved count at the points where true positives rise."""
     return curve.where(F.col("hits") > 0).select(*keys, "retrieved", "tp", "recall")

@@ -86,18 +86,36 @@ def _(spark, sf):
     return keyed(ovr(spark, sf), ["member", "class"], ["n", "positives"], ["ap"])
 
 
-@query("r05_ap_summary", OVR + f""", m AS (SELECT member, CASE WHEN count(ap) = count(*) THEN avg(ap) END AS map
- FROM ap GROUP BY member),
-b AS (SELECT map AS base FROM m WHERE member = 0)
-SELECT {R('avg(map)', 'mean')}, {R('stddev_samp(map)', 'sd')}, {R('avg(map - base)', 'minus_first')},
- count(*) AS members FROM m CROSS JOIN b WHERE member > 0""")
+# members 0 to 3 are two arms with two seeds each, regions are thirds of the tiles
+ARMS = f"""WITH {MEMBERS}, s AS (SELECT tile_id % 3 AS fold, member // 2 AS arm, member % 2 AS seed, cls, round(p, 9) AS score, (label = cls)::INT AS y
+ FROM prob WHERE member < 4),
+g AS (SELECT fold, arm, seed, cls, score, count(*) AS size, sum(y) AS hits FROM s GROUP BY ALL),
+curve AS (SELECT *, sum(size) OVER w AS retrieved, sum(hits) OVER w AS tp, sum(hits) OVER (PARTITION BY fold, arm, seed, cls) AS positives
+ FROM g WINDOW w AS (PARTITION BY fold, arm, seed, cls ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+one AS (SELECT fold, arm, seed, cls, sum(hits * tp / retrieved) / nullif(max(positives), 0) AS ap FROM curve GROUP BY ALL),
+ap AS (SELECT * FROM one UNION ALL SELECT fold, arm, seed, -1, CASE WHEN count(ap) = count(*) THEN avg(ap) END FROM one GROUP BY ALL)"""
+
+
+def arms(spark, sf):
+    m = members(spark, sf).where("member < 4").withColumn("prob", F.transform("prob", lambda p: F.round(p, 9)))
+    m = m.withColumn("fold", F.pmod("tile_id", F.lit(3))).withColumn("arm", F.floor(F.col("member") / 2)).withColumn("seed", F.pmod("member", F.lit(2)))
+    return X.ovr_average_precision(m, ["fold", "arm", "seed"])
+
+
+@query("r05_ap_summary", ARMS + f""", f AS (SELECT arm, cls, fold, CASE WHEN count(ap) = count(*) THEN avg(ap) END AS v FROM ap GROUP BY ALL)
+SELECT {B('arm')}, {B('cls', 'class')}, {B('fold')}, {R('v', 'mean')}, CAST(NULL AS DOUBLE) AS sd FROM f
+UNION ALL SELECT arm, cls, NULL, round(CASE WHEN count(v) = count(*) THEN avg(v) END, 6) + 0.0, round(CASE WHEN count(v) = count(*) THEN stddev_samp(v) END, 6) + 0.0
+FROM f GROUP BY arm, cls""")
 def _(spark, sf):
-    m = ovr(spark, sf).groupBy("member").agg(M.strict_avg("ap").alias("map"))
-    base = m.where("member = 0").select("map").scalar()
-    out = m.where("member > 0").withColumn("gain", F.col("map") - base).agg(
-        F.avg("map").alias("mean"), F.stddev_samp("map").alias("sd"), F.avg("gain").alias("minus_first"),
-        F.count(F.lit(1)).alias("members"))
-    return keyed(out, [], ["members"], ["mean", "sd", "minus_first"])
+    return keyed(X.ap_summary(arms(spark, sf), ["arm"]), ["arm", "class", "fold"], (), ["mean", "sd"])
+
+
+@query("r05_ap_contrasts", ARMS + f""", p AS (SELECT a.cls, a.fold, a.ap - b.ap AS d, a.ap AS x, b.ap AS y
+ FROM ap a JOIN ap b ON a.arm = 1 AND b.arm = 0 AND a.fold = b.fold AND a.seed = b.seed AND a.cls = b.cls)
+SELECT {B('cls', 'class')}, {B('fold')}, count(*) AS pairs, round(CASE WHEN count(d) = count(*) THEN avg(d) END, 6) + 0.0 AS paired,
+ round(CASE WHEN count(x) = count(*) THEN avg(x) END - CASE WHEN count(y) = count(*) THEN avg(y) END, 6) + 0.0 AS unpaired FROM p GROUP BY cls, fold""")
+def _(spark, sf):
+    return keyed(X.ap_contrasts(arms(spark, sf), "arm", 1, 0), ["class", "fold"], ["pairs"], ["paired", "unpaired"])
 
 
 @query("r06_retrieval_curve", DOC_CURVE + f""" SELECT lang, source, {B('retrieved')}, {B('tp')},
