@@ -17,17 +17,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, codec: str = "none") -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
-    Cuts lineage like a checkpoint, but in columns and with a size that join planning sees. Kept
-    tables are narrow numbers and digests, which codecs hardly shrink; without one, many small tasks
-    do not pile up the codec's buffers outside the heap. Spark removes the folder when the
+    Cuts lineage like a checkpoint, but in columns and with a size that join planning sees. Most
+    kept tables are narrow numbers and digests, which codecs hardly shrink; without one, many small
+    tasks do not pile up the codec's buffers outside the heap. Texts take ``zstd``. Spark removes the folder when the
     application ends; ``drop`` removes it earlier.
     """
     spark = df.sparkSession
     path = new_scratch_path(spark, name)
-    df.write.option("compression", "none").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     out = spark.read.schema(df.schema).parquet(path)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilescope.llm.common import keep
+
 TOKEN = re.compile(r"[^\W_]+")
 MAX_TRAIN_ROWS = 20_000
 MAX_TERMS = 2_000
@@ -90,14 +92,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on about ``max_rows`` labelled documents, drawn by the md5 of the id; None without both labels.
 
     Terms are words whose share of toxic and of clean documents differs by MIN_Z standard errors, at
-    most MAX_TERMS. Labels say toxic or not; toxic documents get grades 1 to GRADES - 1 by thirds of
+    most MAX_TERMS. Both sides are drawn before they meet, and the sample is kept once. Labels say toxic or not; toxic documents get grades 1 to GRADES - 1 by thirds of
     their sum of features that speak for toxicity. The sample's sparse counts (terms only) come to the driver.
     """
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).alias("bad"))
-    total = known.count()
-    draw = F.conv(F.substring(F.md5(F.col("_id").cast("string")), 1, 8), 16, 10).cast("double") / 2.0**32
-    known = known.where(draw < max_rows / max(total, 1))
-    sample = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(known, F.col("_doc") == F.col("_id")).select("text", "bad")
+    rate = max_rows / max(known.count(), 1)
+    drawn = lambda c: F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 8), 16, 10).cast("double") / 2.0**32 < rate
+    sample = keep(docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).where(drawn("_doc"))
+                  .join(known.where(drawn("_id")), F.col("_doc") == F.col("_id")).select("text", "bad"), "labelled", "zstd")
     sizes = {r["bad"]: r["n"] for r in sample.groupBy("bad").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return None
