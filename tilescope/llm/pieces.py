@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -15,25 +16,26 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 CACHED = 150_000
+STEP = 4096
 LONGEST_CACHED = 48
 CHARS = 2_000_000
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
 
 
-class Recent(dict):
-    """Keeps between CACHED and 2 * CACHED results of short strings; those not asked for in a while go."""
+class Recent:
+    """The last CACHED to 2 * CACHED results that were asked for, by string."""
 
     def __init__(self):
-        super().__init__()
-        self.older: dict = {}
+        self.newer, self.older = {}, {}
 
-    def put(self, key: str, value) -> None:
-        if len(key) <= LONGEST_CACHED:
-            self[key] = value
-            if len(self) >= CACHED:
-                self.older = dict(self)
-                self.clear()
+    def get(self, key: str):
+        return self.newer.get(key) or self.older.get(key)
+
+    def put(self, found: dict) -> None:
+        self.newer |= found
+        if len(self.newer) >= CACHED:
+            self.newer, self.older = {}, self.newer
 
 
 class PieceModel:
@@ -66,8 +68,17 @@ class PieceModel:
         spaces_lead = not any(" " in p.lstrip(" ") for p in self.pieces)
         lines_apart = not any("\n" in p and len(p) > 1 for p in self.pieces)
         self.parts = re.compile((r" +[^ \n]*|[^ \n]+|\n" if lines_apart else r" +[^ ]*") if spaces_lead else r"(?s).+")
-        self.pairs = {p[k:k + 2] for p in self.pieces for k in range(len(p) - 1)}
-        self.cache, self.stretches, self.alternatives = Recent(), Recent(), {}
+        self.longest = max(map(len, self.pieces))
+        lengths, self.hashes = {}, {}
+        for text, (score, i) in self.pieces.items():
+            lengths.setdefault(len(text), []).append((text, score, i))
+        for n, own in lengths.items():
+            keys = self.window_hashes([t for t, _, _ in own], n)[:, 0]
+            order = np.argsort(keys)
+            if (np.diff(keys[order]) == 0).any():
+                raise ValueError("two pieces have one hash")
+            self.hashes[n] = keys[order], np.array([own[k][1] for k in order]), np.array([own[k][2] for k in order]), [own[k][0] for k in order]
+        self.cache, self.alternatives = Recent(), {}
 
     def __reduce__(self):
         return PieceModel, (self.proto,)
@@ -89,56 +100,115 @@ class PieceModel:
 
         The id is None where a character is spelled in bytes.
         """
-        n, begins = len(part), self.begins
+        n, get = len(part), self.begins.get
         best, second, came = [-np.inf] * (n + 1), [-np.inf] * (n + 1), [None] * (n + 1)
         best[0] = 0.0
         for i in range(n):
             b, s, alone = best[i], second[i], True
             for j in range(i + 1, n + 1):
-                found = begins.get(part[i:j], False)
-                if found is False:
+                found = get(part[i:j], False)
+                if found:
+                    score, piece = found
+                    if j == i + 1:
+                        alone = False
+                    one, two, held = b + score, s + score, best[j]
+                    if one > held:
+                        second[j] = held if held > two else two
+                        best[j], came[j] = one, (i, piece)
+                    elif one > second[j]:
+                        second[j] = one
+                elif found is False:
                     break
-                if found is None:
-                    continue
-                if j == i + 1:
-                    alone = False
-                one = b + found[0]
-                if one > best[j]:
-                    second[j] = max(best[j], s + found[0])
-                    best[j], came[j] = one, (i, found[1])
-                elif one > second[j]:
-                    second[j] = one
             if alone:
-                one = b + self.unknown
-                if one > best[i + 1]:
-                    second[i + 1] = max(best[i + 1], s + self.unknown)
+                one, two, held = b + self.unknown, s + self.unknown, best[i + 1]
+                if one > held:
+                    second[i + 1] = held if held > two else two
                     best[i + 1], came[i + 1] = one, (i, None)
                 elif one > second[i + 1]:
                     second[i + 1] = one
         return best, second, came
 
     def best(self, part: str) -> tuple[float, float, bytes]:
-        """(score, what the second-best segmentation loses, ids as 32-bit little-endian bytes), from the cache if there."""
-        found = self.cache.get(part) or self.cache.older.get(part)
-        if found is None:
-            cuts = [i for i in range(1, len(part)) if part[i - 1:i + 1] not in self.pairs]
-            found = [self.alone(part[i:j]) for i, j in zip([0, *cuts], [*cuts, len(part)])]
-            found = found[0] if len(found) == 1 else (sum(f[0] for f in found), min(f[1] for f in found), b"".join([f[2] for f in found]))
-        self.cache.put(part, found)
-        return found
-
-    def alone(self, part: str) -> tuple[float, float, bytes]:
-        """The same for a stretch without a place that no piece spans."""
-        found = self.stretches.get(part) or self.stretches.older.get(part)
-        if found is None:
-            best, second, came = self.forward(part)
-            at, ids = len(part), []
-            while at:
-                at, own = came[at]
-                ids.extend((own,) if own is not None else [self.bytes[b] for b in reversed(part[at].encode())])
-            found = best[-1], best[-1] - second[-1], np.array(ids[::-1], "<i4").tobytes()
-        self.stretches.put(part, found)
-        return found
+        """(score, what the second-best segmentation loses, ids as 32-bit little-endian bytes)."""
+        best, second, came = self.forward(part)
+        at, ids = len(part), []
+        while at:
+            at, own = came[at]
+            if own is None:
+                ids.extend([self.bytes[b] for b in reversed(part[at].encode())])
+            else:
+                ids.append(own)
+        ids.reverse()
+        return best[-1], best[-1] - second[-1], pack(f"<{len(ids)}i", *ids)
+
+    @staticmethod
+    def window_hashes(parts: list[str], n: int) -> np.ndarray:
+        """64-bit hashes of the windows of ``n`` characters of equally long parts, one row per part."""
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(parts), -1).astype(np.uint64)
+        size = codes.shape[1] - n + 1
+        out = np.zeros((len(parts), size), np.uint64)
+        for k in range(n):
+            out = (out ^ codes[:, k:k + size]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
+    def best_of_length(self, parts: list[str]) -> list[tuple[float, float, bytes]]:
+        """``best`` of many parts of one length: the same forward pass, one array step for each (start, end)."""
+        m, n = len(parts), len(parts[0])
+        best, second = np.full((m, n + 1), -np.inf), np.full((m, n + 1), -np.inf)
+        start, piece = np.zeros((m, n + 1), np.int32), np.zeros((m, n + 1), np.int32)
+        best[:, 0] = 0.0
+        edges = {}
+        for length in range(1, min(n, self.longest) + 1):
+            keys, scores, ids, texts = self.hashes.get(length) or (None,) * 4
+            if keys is None:
+                continue
+            windows = self.window_hashes(parts, length)
+            at = np.minimum(np.searchsorted(keys, windows), len(keys) - 1)
+            hit = keys[at] == windows
+            row, col = np.nonzero(hit)
+            for r, c, k in zip(row.tolist(), col.tolist(), at[row, col].tolist()) if length > 3 else ():
+                if parts[r][c:c + length] != texts[k]:  # one hash, another text
+                    hit[r, c] = False
+            edges[length] = np.where(hit, scores[at], -np.inf), ids[at]
+        alone = edges[1][0] == -np.inf
+        edges[1] = np.where(alone, self.unknown, edges[1][0]), np.where(alone, -1, edges[1][1])
+        for i in range(n):
+            for length, (scores, ids) in edges.items():
+                j = i + length
+                if j > n:
+                    break
+                one, two = best[:, i] + scores[:, i], second[:, i] + scores[:, i]
+                held = best[:, j]
+                better = one > held
+                second[:, j] = np.where(better, np.maximum(held, two), np.maximum(second[:, j], one))
+                best[:, j] = np.where(better, one, held)
+                start[:, j] = np.where(better, i, start[:, j])
+                piece[:, j] = np.where(better, ids[:, i], piece[:, j])
+        paths: list[list[int]] = [[] for _ in parts]
+        rows, at = np.arange(m), np.full(m, n)
+        while len(rows):
+            own, into = piece[rows, at].tolist(), start[rows, at]
+            for r, i, p in zip(rows.tolist(), into.tolist(), own):
+                paths[r].extend((p,) if p >= 0 else [self.bytes[b] for b in reversed(parts[r][i].encode())])
+            rows, at = rows[into > 0], into[into > 0]
+        return [(b, b - s, pack(f"<{len(p)}i", *p[::-1])) for b, s, p in zip(best[:, n].tolist(), second[:, n].tolist(), paths)]
+
+    def best_of(self, parts: set[str]) -> dict[str, tuple[float, float, bytes]]:
+        """``best`` by part: from the cache, by length in one pass each, and one by one for very long parts."""
+        out, by_length = {}, {}
+        for part in parts:
+            found = self.cache.get(part)
+            if found:
+                out[part] = found
+            else:
+                by_length.setdefault(len(part), []).append(part)
+        for n, own in by_length.items():
+            for k in range(0, len(own), STEP):
+                some = own[k:k + STEP]
+                out.update(zip(some, self.best_of_length(some) if n <= LONGEST_CACHED else map(self.best, some)))
+        self.cache.put({p: v for p, v in out.items() if len(p) <= LONGEST_CACHED})
+        return out
 
     def n_best(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids), best first: A* from the end, whose estimate to the start is the exact forward score.
@@ -164,20 +234,29 @@ class PieceModel:
                 heapq.heappush(heap, (-(done + score + best[i]), tick, i, done + score, (ids, path)))
         return out
 
-    def encode(self, text: str | None, n: int = N_BEST) -> tuple[float, bytes, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
+    def encode(self, text: str | None, n: int = N_BEST) -> tuple[float, bytes, list]:
+        return self.encode_all([text], n)[0]
+
+    def encode_all(self, texts: list[str | None], n: int = N_BEST) -> list[tuple[float, bytes, list]]:
+        """``combine`` of each text, with the distinct parts of all of them segmented together."""
+        split = [self.parts.findall(" " + t) if t else [] for t in texts]
+        found = self.best_of({p for parts in split for p in parts})
+        return [self.combine(parts, found, n) for parts in split]
+
+    def combine(self, parts: list[str], found: dict, n: int) -> tuple[float, bytes, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
         """(score, ids, alternatives) of a whole text: alternatives are (score, edits), an edit (first piece, pieces replaced, ids).
 
         Parts are independent, so the n best texts change at most the n - 1 parts whose second-best
         costs least; their own n best are merged one part after another.
         """
-        parts = self.parts.findall(" " + text) if text else []
-        found = [self.cache.get(p) or self.best(p) for p in parts]
-        score, ids = sum(f[0] for f in found), b"".join([f[2] for f in found])
-        if n < 2 or not found:
-            return score, ids, []
-        gaps = [f[1] for f in found]
+        if not parts:
+            return 0.0, b"", []
+        scores, gaps, ids = zip(*map(found.__getitem__, parts))
+        score = sum(scores)
+        if n < 2:
+            return score, b"".join(ids), []
         changed = np.sort(np.argsort(gaps, kind="stable")[:n - 1]).tolist()
-        first = np.cumsum([0] + [len(f[2]) // 4 for f in found])
+        first = np.cumsum([0, *map(len, ids)]) // 4
         merged: list[tuple[float, list]] = [(0.0, [])]
         for k in changed:
             if gaps[k] == np.inf:
@@ -187,9 +266,9 @@ class PieceModel:
                 if len(self.alternatives) >= CACHED // 10:
                     self.alternatives.clear()
                 own = self.alternatives[parts[k], n] = self.n_best(parts[k], n)
-            edits = [(s - own[0][0], [(int(first[k]), len(found[k][2]) // 4, list(i))] if r else []) for r, (s, i) in enumerate(own)]
+            edits = [(s - own[0][0], [(int(first[k]), len(ids[k]) // 4, list(i))] if r else []) for r, (s, i) in enumerate(own)]
             merged = sorted(((a + b, x + y) for a, x in merged for b, y in edits), key=lambda c: (-c[0], len(c[1])))[:n]
-        return score, ids, [(score + loss, edits) for loss, edits in merged[1:]]
+        return score, b"".join(ids), [(score + loss, edits) for loss, edits in merged[1:]]
 
     def decode(self, ids: bytes) -> str:
         texts = self.texts
@@ -218,7 +297,7 @@ def encode(docs: DataFrame, model, n_best: int = N_BEST, text_col: str = "text",
         for batch in batches:
             sizes = batch["text"].str.len().fillna(0).cumsum().to_numpy() // CHARS
             for _, some in batch.groupby(sizes, sort=False):
-                done = [own.encode(t, n_best) for t in some["text"]]
+                done = own.encode_all(some["text"].tolist(), n_best)
                 yield some.assign(
                     score=[float(d[0]) for d in done], ids=[d[1] for d in done],
                     alternatives=[[{"score": s, "edits": [{"at": a, "dropped": k, "ids": i} for a, k, i in e]} for s, e in d[2]] for d in done])
