@@ -35,6 +35,7 @@ MAX_TRAIN_DOCS = 3_000
 SWITCH = 10.0
 MIN_SCRIPT_SHARE = 0.01
 CHARS = 2_000_000
+CHUNK = 250_000
 UNDETERMINED = "und"
 
 
@@ -50,10 +51,10 @@ def _code_tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(text: str) -> Iterator[str]:
-    """Lower-cased pieces of about CHARS characters, cut at a space where there is one near."""
+    """Lower-cased pieces of at most CHUNK characters, cut behind a space where there is one."""
     at, text = 0, text.lower()
     while at < len(text):
-        end = min(len(text), at + CHARS)
+        end = min(len(text), at + CHUNK)
         space = text.rfind(" ", at, end) if end < len(text) else -1
         end = space + 1 if space >= at else end
         yield text[at:end]
@@ -133,6 +134,19 @@ class Model:
             scores.append(((logs - logs.mean(axis=1, keepdims=True)) / 2).astype(np.float32))
         self.two, self.three = scores
 
+    def all_word_scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``word_scores`` taken over about CHUNK characters at a time: arrays per character stay small."""
+        done, some, size = [], [], 0
+        for k, text in enumerate(texts):
+            some.append(text)
+            size += len(text)
+            if size >= CHUNK or k == len(texts) - 1:
+                done.append(self.word_scores(some))
+                some, size = [], 0
+        if not done:
+            return np.zeros((0, len(self.langs)), np.float32), np.zeros(0, int), np.zeros(0, int)
+        return tuple(np.concatenate(x) for x in zip(*done))
+
     def word_scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(score of each word by language, letters of each word, number of words of each text)."""
         codes, at = _codes(texts)
@@ -194,7 +208,7 @@ def label_texts(model: Model, texts: list[str | None], spans: bool) -> list[tupl
 
     def flush():
         pieces = [p for t in batch for p in t]
-        scores, letters, words = model.word_scores(pieces) if pieces else (np.zeros((0, len(model.langs)), np.float32), np.zeros(0, int), np.zeros(0, int))
+        scores, letters, words = model.all_word_scores(pieces)
         per_text = np.add.reduceat(np.append(words, 0), np.cumsum([0] + [len(t) for t in batch])[:-1]) if batch else np.zeros(0, int)
         per_text = np.where([len(t) > 0 for t in batch], per_text, 0)
         langs = viterbi(scores, per_text)
