@@ -230,3 +230,13 @@ def test_mahalanobis_with_supplied_moments(spark):
     d = np.array([0.0, 1.0, 2.0])
     assert got[0] == pytest.approx(np.sqrt(d @ np.linalg.inv(np.array(cov)) @ d))
     assert got[1] == pytest.approx(4.0) and got[2] is None
+
+
+def test_feature_table_is_refused_in_the_job(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, f array<double>")
+    ids = df.select("vec_id")
+    assert E.require_features(df, 2, ids).count() == 2 and E.feature_faults(df, 2, ids).count() == 0
+    for bad, reason in ((df.unionByName(df.limit(1)), "repeated"), (df.where("vec_id = 1"), "missing"), (df.withColumn("f", F.array(F.lit(1.0))), "size")):
+        with pytest.raises(Exception, match=f"refused: {reason}"):
+            E.require_features(bad, 2, ids).collect()

@@ -280,3 +280,14 @@ def test_ranking_refuses_unknown_scores(spark):
     for bad in ("isnan(s)", "s is null"):
         with pytest.raises(Exception, match="finite scores"):
             X.ranking_curve(df.where(f"s = 0.5 and not isnan(s) or {bad}"), [], "s", F.col("y")).collect()
+
+
+def test_resize_reflects_without_the_edge():
+    w = X._axis_weights(4, 8)  # pixel centres at -0.25, 0.25, 0.75, ...
+    assert np.allclose(w[0], [0.75, 0.25, 0, 0]) and np.allclose(w[1], [0.75, 0.25, 0, 0]) and np.allclose(w[-1], [0, 0, 0.25, 0.75])
+    ramp = np.arange(128.0)[None, :, None] * np.ones((1, 1, 128))
+    small = X.resize(ramp)[0]
+    taps = np.exp(-0.5 * (np.arange(-2, 3) / 0.5) ** 2)
+    taps /= taps.sum()
+    smooth = lambda i: sum(t * abs(i + o) for t, o in zip(taps, range(-2, 3)))  # reflected at 0
+    assert np.allclose(small[0], (smooth(0) + smooth(1)) / 2) and np.allclose(small[32], 64.5)

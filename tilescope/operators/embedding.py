@@ -295,6 +295,30 @@ def random_projection(h: int, w: int, dim: int, seed: int = 42):
     return make
 
 
+def feature_faults(features: DataFrame, dim: int, expected: DataFrame, id_col: str = "vec_id", f: str = "f") -> DataFrame:
+    """(id, reason) for every fault of a feature table: repeated, size, not_finite, unexpected and missing IDs.
+
+    One aggregate by ID and one full join with the expected IDs (column ``id_col``, each once); NULL
+    vectors count as a wrong size. A complete table gives no row.
+    """
+    bad = ~F.forall(f, lambda v: v.isNotNull() & is_finite(v))
+    ids = features.groupBy(F.col(id_col).alias("_id")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.coalesce(F.size(f) != dim, F.lit(True))).alias("_s"), F.count_if(bad).alias("_b"))
+    want = expected.select(F.col(id_col).alias("_want"), F.lit(True).alias("_expected"))
+    faults = F.filter(F.array(F.when(F.col("_n") > 1, "repeated"), F.when(F.col("_s") > 0, "size"), F.when(F.col("_b") > 0, "not_finite"),
+                              F.when(F.col("_expected").isNull(), "unexpected"), F.when(F.col("_n").isNull(), "missing")), lambda r: r.isNotNull())
+    return (ids.join(want, F.col("_id").eqNullSafe(F.col("_want")), "full")
+            .select(F.coalesce("_id", "_want").alias(id_col), F.explode(faults).alias("reason")))
+
+
+def require_features(features: DataFrame, dim: int, expected: DataFrame, id_col: str = "vec_id", f: str = "f") -> DataFrame:
+    """The feature table; the returned plan raises before its first row if there is any fault."""
+    worst = feature_faults(features, dim, expected, id_col, f).agg(F.min(F.struct("reason", F.col(id_col).cast("string").alias("id"))).alias("w"))
+    found = worst.select("w").scalar()
+    fail = F.raise_error(F.concat(F.lit("feature table refused: "), found["reason"], F.lit(" "), F.coalesce(found["id"], F.lit("null"))))
+    return features.where(F.when(found.isNull(), True).otherwise(fail.cast("boolean")))
+
+
 def feature_checks(features: DataFrame, dim: int, id_col: str = "vec_id", f: str = "f") -> DataFrame:
     """Counts of rows, repeated IDs, wrong sizes and non-finite vectors."""
     bad = ~F.forall(f, is_finite)

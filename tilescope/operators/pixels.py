@@ -108,16 +108,22 @@ def apply_quantile_map(values: Column, qmap: QuantileMap, group: Column | None =
 
     @F.pandas_udf("array<double>")
     def run(px: pd.Series, key: pd.Series) -> pd.Series:
-        out = []
-        for v, k in zip(px, key):
+        if not len(px):
+            return pd.Series([], dtype=object)
+        flat = np.concatenate([np.asarray(v, dtype=float) for v in px])
+        sizes = px.str.len().to_numpy(int)
+        owner = np.repeat(np.arange(len(px)), sizes)
+        for k in key.drop_duplicates():  # one interpolation per group of the batch
             p = pairs.get(None if pd.isna(k) else k)
-            out.append(np.asarray(v, dtype=float) if p is None else np.interp(v, p[0], p[1]))
-        return pd.Series(out, dtype=object)
+            if p is not None:
+                mine = (key.isna() if pd.isna(k) else key == k).to_numpy()[owner]
+                flat[mine] = np.interp(flat[mine], p[0], p[1])
+        return pd.Series(np.split(flat, np.cumsum(sizes)[:-1]), dtype=object)
 
     return run(values, F.lit(None).cast("int") if group is None else group)
 
 
 def remap_tile(px: str, qmap: QuantileMap) -> Column:
     """Linear tile to dB, through the map, and back to linear."""
-    db = F.transform(px, to_db)
+    db = F.transform(px, lambda v: to_db(v))  # the second parameter is a floor, not the position
     return F.transform(apply_quantile_map(db, qmap), from_db)

@@ -118,9 +118,17 @@ def gabor(unit: np.ndarray) -> np.ndarray:
 
 
 def _axis_weights(size: int, target: int) -> np.ndarray:
-    """Linear resampling matrix with pixel centres and mirrored edges, smoothed first when shrinking."""
+    """Linear resampling matrix with pixel centres, smoothed first when shrinking.
+
+    Places outside reflect at the edge pixel, which is not repeated: -1 reads 1, size reads size - 2.
+    """
     factor = size / target
-    mirror = lambda k: np.where(k < 0, -k - 1, np.where(k >= size, 2 * size - 1 - k, k)) % size
+    period = max(2 * (size - 1), 1)
+
+    def mirror(k):
+        k = np.abs(k) % period
+        return np.where(k >= size, period - k, k)
+
     smooth = np.eye(size)
     sigma = max(0.0, (factor - 1) / 2)
     if sigma > 0:
@@ -140,7 +148,7 @@ def _axis_weights(size: int, target: int) -> np.ndarray:
 
 def resize(unit: np.ndarray, target: int = 64) -> np.ndarray:
     rows, cols = _axis_weights(unit.shape[1], target), _axis_weights(unit.shape[2], target)
-    return np.einsum("ij,njk,lk->nil", rows, unit, cols)
+    return rows @ unit @ cols.T
 
 
 def hog(image: np.ndarray, bins: int = 9, cell: int = 8) -> np.ndarray:

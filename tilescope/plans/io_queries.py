@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tilescope.functions import scalars as S
 from tilescope.functions.scalars import as_bigint as bi
 from tilescope.functions.scalars import round6
+from tilescope.operators import embedding as E
 from tilescope.operators import quality as Q
 from tilescope.operators import tiles as T
 from tilescope.plans.fixtures import (CELLS, COORD, ELEM, PIX, PRED, coordinates, features, fold_role, grids, predictions,
@@ -183,6 +184,20 @@ def _(spark, sf):
     return meta.select("model", "stem", "n_features", bi("feature_dim").alias("feature_dim"))
 
 
+@query("s04_read_features", """WITH f AS (SELECT vec_id FROM embeddings UNION ALL SELECT vec_id FROM embeddings WHERE vec_id % 50 = 7),
+ reasons AS (SELECT DISTINCT vec_id, unnest(CASE vec_id % 50 WHEN 7 THEN ['repeated'] WHEN 8 THEN ['size'] WHEN 9 THEN ['not_finite'] WHEN 10 THEN ['unexpected'] ELSE [] END) AS reason FROM f)
+SELECT vec_id, reason FROM reasons UNION ALL SELECT -1 - vec_id, 'missing' FROM embeddings WHERE vec_id % 50 = 11""")
+def _(spark, sf):
+    """A landed table with planted faults, read back and held against the expected IDs."""
+    path, part = new_scratch_path(spark, "out"), F.pmod("vec_id", F.lit(50))
+    clean = features(spark, sf).select("vec_id", F.col("label").cast("int").alias("label"), F.transform("f", lambda v: v.cast("float")).alias("f"))
+    planted = clean.withColumn("f", F.when(part == 8, F.slice("f", 1, 63)).when(part == 9, F.transform("f", lambda v, i: F.when(i == 5, F.lit(float("nan")).cast("float")).otherwise(v))).otherwise(F.col("f")))
+    writers.write_features(planted.unionByName(planted.where(part == 7)), path, "planted", "control", {"source": "embeddings"})
+    rows, _ = readers.read_features(spark, path, "planted")
+    expected = clean.where(part != 10).select("vec_id").unionByName(clean.where(part == 11).select((-1 - F.col("vec_id")).alias("vec_id")))
+    return E.feature_faults(rows, 64, expected)
+
+
 @query("w04_write_result", "SELECT c_mktsegment AS segment, count(*) AS n, round(avg(c_acctbal), 6) + 0.0 AS mean FROM customer GROUP BY 1")
 def _(spark, sf):
     path = new_scratch_path(spark, "out")

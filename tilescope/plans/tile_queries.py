@@ -352,6 +352,24 @@ def _(spark, sf):
                  ["tile_id"], (), ["total", "lowest", "highest"])
 
 
+DB_MAP = f"""WITH {PIX}, pos AS (SELECT tile_id, abs(v) + 1 AS v FROM pix), src AS (SELECT 10 * log10(v) AS v FROM pos WHERE tile_id % 2 = 0),
+tgt AS (SELECT 10 * log10(v) + 2 AS v FROM pos WHERE tile_id % 2 = 1),
+qm AS (SELECT unnest(range(101)) AS k, unnest((SELECT quantile_cont(v, {LEVELS_SQL}) FROM src)) AS s, unnest((SELECT quantile_cont(v, {LEVELS_SQL}) FROM tgt)) AS t)"""
+
+
+@query("n06_tile_through_db", DB_MAP + f""", seg AS (SELECT a.s AS s0, b.s AS s1, a.t AS t0, b.t AS t1 FROM qm a JOIN qm b ON b.k = a.k + 1),
+m AS (SELECT tile_id, pow(10, CASE WHEN d >= (SELECT max(s) FROM qm) THEN (SELECT max(t) FROM qm) WHEN d <= (SELECT min(s) FROM qm) THEN (SELECT min(t) FROM qm)
+ ELSE t0 + (d - s0) / (s1 - s0) * (t1 - t0) END / 10) AS y FROM (SELECT tile_id, 10 * log10(v) AS d FROM pos) p LEFT JOIN seg ON d >= s0 AND d < s1)
+SELECT tile_id, {R('sum(y)', 'total')}, {R('max(y)', 'highest')} FROM m GROUP BY tile_id""")
+def _(spark, sf):
+    t = tiles(spark, sf).select("tile_id", F.transform("px", lambda v: F.abs(v.cast("double")) + 1).alias("px"))
+    px = t.select("tile_id", F.explode("px").alias("v")).withColumn("v", S.to_db("v"))
+    odd = F.pmod("tile_id", F.lit(2)) == 1
+    qmap = N.fit_quantile_map(px.where(~odd), px.where(odd).withColumn("v", F.col("v") + 2), "v", 101)
+    y = t.withColumn("y", N.remap_tile("px", qmap))
+    return keyed(y.select("tile_id", T.array_sum("y").alias("total"), F.array_max("y").alias("highest")), ["tile_id"], (), ["total", "highest"])
+
+
 @query("n07_class_quantile_map", SIDES + f""", s AS (SELECT g, unnest(range(11)) AS k, unnest(q) AS source FROM (SELECT g, quantile_cont(v, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM src GROUP BY g)),
 t AS (SELECT g, unnest(range(11)) AS k, unnest(q) AS target FROM (SELECT g, quantile_cont(v, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM tgt GROUP BY g))
 SELECT s.g::BIGINT AS g, s.k, {R('source')}, {R('target')} FROM s JOIN t ON s.g = t.g AND s.k = t.k""")

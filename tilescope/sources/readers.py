@@ -92,9 +92,9 @@ def missing_tiles(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
 FEATURE_SCHEMA = "tile_id string, label int, f array<float>"
 
 
-def read_features(spark: SparkSession, path: str, stem: str) -> tuple[DataFrame, DataFrame]:
-    """(feature rows, one metadata row) of a landed feature table."""
-    return (spark.read.parquet(f"{path}/{stem}"),
+def read_features(spark: SparkSession, path: str, stem: str, id_type: str = "bigint", id_col: str = "vec_id") -> tuple[DataFrame, DataFrame]:
+    """(feature rows, one metadata row) of a landed feature table; columns ``id_col``, ``label`` and ``f`` by declared types."""
+    return (spark.read.schema(f"`{id_col}` {id_type}, label int, f array<float>").parquet(f"{path}/{stem}"),
             _strict(spark, "model string, stem string, n_features bigint, feature_dim int, provenance map<string,string>")
             .json(f"{path}/{stem}_meta"))
 
