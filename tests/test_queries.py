@@ -8,7 +8,6 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-SLOW = {"e17_fit_grid", "e24_transfer_evaluation"}
 
 
 @pytest.fixture(scope="session")
@@ -25,7 +24,7 @@ def same(a, b):
     return a == b
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)
