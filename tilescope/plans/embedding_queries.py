@@ -70,10 +70,18 @@ def _(spark, sf):
     return keyed(E.feature_checks(features(spark, sf), 64), [], ["rows", "repeated", "wrong_size", "not_finite"])
 
 
-@query("e01_tile_embedding")
+# weights by formula, so that both engines have the same ones
+@query("e01_tile_embedding", """WITH z AS (SELECT vec_id, k AS dim, tanh(sum(CAST(embedding[i + 1] AS DOUBLE) * (((i * 31 + k * 17) % 13) - 6) / 80.0)) AS v
+ FROM embeddings CROSS JOIN range(64) a(i) CROSS JOIN range(16) b(k) GROUP BY vec_id, k)
+SELECT dim, count(*) AS n, round(avg(v), 4) + 0.0 AS mean FROM z GROUP BY dim""")
 def _(spark, sf):
-    t = E.embed_tiles(tiles(spark, sf).withColumn("px", F.transform("px", lambda v: v.cast("float"))), E.random_projection(8, 8, 16), 8, 8)
-    return t.select("tile_id", F.posexplode("f").alias("dim", "v")).groupBy("dim").agg(F.count(F.lit(1)).alias("n"), round6(F.avg("v")).alias("mean"))
+    def make():
+        i, k = np.arange(64)[:, None], np.arange(16)[None]
+        weights = ((i * 31 + k * 17) % 13 - 6) / 80.0
+        return lambda x: np.tanh(np.asarray(x, dtype=np.float64) @ weights / 255.0).astype(np.float32)
+    t = E.embed_tiles(tiles(spark, sf).withColumn("px", F.transform("px", lambda v: v.cast("float"))), make, 8, 8)
+    rows = t.select("tile_id", F.posexplode("f").alias("dim", "v")).groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("v").cast("double")).alias("mean"))
+    return rows.select(bi("dim").alias("dim"), "n", (F.round("mean", 4) + 0.0).alias("mean"))
 
 
 @query("f02_tile_transform", f"SELECT vec_id AS tile_id, {R('list_sum(list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE) * 255)))', 'energy')} FROM embeddings")
@@ -185,12 +193,16 @@ def _(spark, sf):
     return keyed(c.select("domain", "i", F.posexplode("cov").alias("j", "cov")), ["domain", "i", "j"], (), ["cov"])
 
 
-@query("e13_coral_transform")
+# with a vanishing ridge the transformed source has the target's covariance
+@query("e13_coral_transform", f"""WITH {ELEM}, m AS (SELECT i, avg(v) AS m FROM elem WHERE vec_id % 2 = 1 GROUP BY i),
+c AS (SELECT e.vec_id, e.i, v - m AS z FROM elem e JOIN m ON m.i = e.i WHERE e.vec_id % 2 = 1)
+SELECT a.i AS i, b.i AS j, round(sum(a.z * b.z) / (count(*) - 1) * 1e3, 3) + 0.0 AS cov_e3 FROM c a JOIN c b ON a.vec_id = b.vec_id GROUP BY a.i, b.i""")
 def _(spark, sf):
     f = features(spark, sf)
-    model = E.coral_fit(f, "domain", 0, 1, reg=0.01)
+    model = E.coral_fit(f, "domain", 0, 1, reg=1e-12)
     t = f.where("domain = 0").withColumn("f", E.coral_transform("f", model))
-    return keyed(t.select("vec_id", F.posexplode("f").alias("dim", "v")), ["vec_id", "dim"], (), ["v"])
+    c = E.covariance_rows(t, ["domain"]).select("i", F.posexplode("cov").alias("j", "cov"))
+    return c.select(bi("i").alias("i"), bi("j").alias("j"), (F.round(F.col("cov") * 1e3, 3) + 0.0).alias("cov_e3"))
 
 
 @query("e14_coral_distance", f"""WITH {ELEM}, m AS (SELECT vec_id % 2 AS d, i, avg(v) AS m FROM elem GROUP BY ALL),
