@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tilescope.functions import scalars as S
@@ -251,7 +253,27 @@ def feature_summary(spark, sf, kind):
     return keyed(s.select("dim", "n", F.col("s.mean").alias("mean"), sd.alias("sd")), ["dim"], ["n"], ["mean", "sd"])
 
 
-@query("p27_local_binary_patterns")
+def _corners() -> str:
+    """(k, dr, dc, w): the pixels around each of eight places at radius 1 and their bilinear weights."""
+    rows = []
+    for k in range(8):
+        r, c = -round(math.sin(math.pi * k / 4), 5), round(math.cos(math.pi * k / 4), 5)
+        r0, c0 = math.floor(r), math.floor(c)
+        for dr, wr in ((0, 1 - (r - r0)), (1, r - r0)):
+            for dc, wc in ((0, 1 - (c - c0)), (1, c - c0)):
+                if wr * wc > 0:
+                    rows.append(f"({k}, {r0 + dr}, {c0 + dc}, {wr * wc!r}::DOUBLE)")
+    return ", ".join(rows)
+
+
+@query("p27_local_binary_patterns", STRETCH + f""", q AS (SELECT tile_id, r, c, (round_even(u * 255, 0)::INT // 16)::DOUBLE AS g FROM st),
+k(k, dr, dc, w) AS (VALUES {_corners()}),
+b AS (SELECT q.tile_id, q.r, q.c, k.k, sum(k.w * coalesce(n.g, 0)) - any_value(q.g) >= -1e-9 AS bit FROM q CROSS JOIN k
+ LEFT JOIN q n ON n.tile_id = q.tile_id AND n.r = q.r + k.dr AND n.c = q.c + k.dc GROUP BY q.tile_id, q.r, q.c, k.k),
+p AS (SELECT x.tile_id, x.r, x.c, sum(x.bit::INT) AS ones, sum((x.bit <> y.bit)::INT) AS changes FROM b x
+ JOIN b y ON x.tile_id = y.tile_id AND x.r = y.r AND x.c = y.c AND y.k = (x.k + 7) % 8 GROUP BY ALL),
+h AS (SELECT tile_id, dim, sum((CASE WHEN changes <= 2 THEN ones ELSE 9 END = dim)::INT) / 64.0::DOUBLE AS v FROM p CROSS JOIN range(10) d(dim) GROUP BY ALL)
+SELECT dim, count(*) AS n, {R('avg(v)', 'mean')}, {R('stddev_pop(v)', 'sd')} FROM h GROUP BY dim""")
 def _(spark, sf):
     return feature_summary(spark, sf, "lbp")
 
