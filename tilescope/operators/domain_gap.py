@@ -6,6 +6,7 @@ through the block grid. Only the median bandwidth always comes from a sample, of
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -224,7 +225,8 @@ def mmd_groups(df: DataFrame, domain: str, a, b, group: str, id_col: str, mode:
 
     All rows count: the kernel is summed once by group pair, with one bandwidth from the unresampled
     rows, and every resample is a weighted sum of that small matrix. Refitting the bandwidth for each
-    resample, or equalising the domains' sizes, would give other values. Groups may be of any type.
+    resample, or equalising the domains' sizes, would give other values. Draw j of resample i is the first
+    32 bits of md5("seed:i:j") modulo the number of groups. Groups may be of any type.
     """
     if mode not in ("source_jackknife", "target_bootstrap"):
         raise ValueError(f"unknown mode {mode!r}; use source_jackknife or target_bootstrap")
@@ -250,7 +252,8 @@ def mmd_groups(df: DataFrame, domain: str, a, b, group: str, id_col: str, mode:
         if mode == "source_jackknife":
             times[moving[i]] = 0.0
         else:
-            draw = np.random.default_rng([seed, i]).integers(0, len(moving), len(moving))
+            digest = lambda j: int(hashlib.md5(f"{seed}:{i}:{j}".encode()).hexdigest()[:8], 16)
+            draw = [digest(j) % len(moving) for j in range(len(moving))]
             times[moving] = np.bincount(draw, minlength=len(moving))
         ns, nt = (times * count)[source].sum(), (times * count)[~source].sum()
         return np.where(source, times / ns, -times / nt)

@@ -151,11 +151,14 @@ def _(spark, sf):
     return keyed(p, [], ["permutations", "n"], ["observed", "p_value", "gamma"])
 
 
-@query("e09_mmd_source_jackknife", f"""WITH s AS (SELECT vec_id, vec_id % 2 AS d, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f FROM embeddings),
+GROUPED = """WITH s AS (SELECT vec_id, vec_id % 2 AS d, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f FROM embeddings),
 few AS (SELECT f, row_number() OVER (ORDER BY md5(concat_ws(':', '0', vec_id)), vec_id) AS id FROM s ORDER BY id LIMIT 2000),
 g AS (SELECT 1 / median(d2) AS gamma FROM (SELECT pow(list_distance(a.f, b.f), 2) AS d2 FROM few a JOIN few b ON a.id < b.id) WHERE d2 > 0),
 k AS (SELECT a.d AS da, a.label AS la, b.d AS db, b.label AS lb, sum(exp(-gamma * pow(list_distance(a.f, b.f), 2))) AS t FROM s a CROSS JOIN s b CROSS JOIN g GROUP BY ALL),
-c AS (SELECT d, label, count(*) AS n FROM s GROUP BY ALL),
+c AS (SELECT d, label, count(*) AS n FROM s GROUP BY ALL)"""
+
+
+@query("e09_mmd_source_jackknife", GROUPED + f""",
 gr AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS repeat FROM c WHERE d = 0),
 v AS (SELECT gr.repeat, (SELECT sum(n) FROM c WHERE d = 0 AND c.label <> gr.label) AS ns, (SELECT sum(n) FROM c WHERE d = 1) AS nt,
  (SELECT sum(t) FROM k WHERE da = 0 AND db = 0 AND la <> gr.label AND lb <> gr.label) AS ss, (SELECT sum(t) FROM k WHERE da = 1 AND db = 1) AS tt,
@@ -165,9 +168,18 @@ def _(spark, sf):
     return keyed(G.mmd_groups(features(spark, sf), "domain", 0, 1, "label", "vec_id", "source_jackknife"), ["repeat"], (), ["mmd2"])
 
 
-@query("e09_mmd_target_bootstrap")
+@query("e09_mmd_target_bootstrap", GROUPED + f""",
+tg AS (SELECT label, n, row_number() OVER (ORDER BY label) - 1 AS pos FROM c WHERE d = 1),
+draw AS (SELECT rep, ('0x' || substr(md5(concat_ws(':', '0', rep, tg.pos)), 1, 8))::BIGINT % (SELECT count(*) FROM tg) AS pos FROM range(1000) a(rep) CROSS JOIN tg),
+times AS (SELECT rep, label, n, count(*) AS x FROM draw JOIN tg USING (pos) GROUP BY ALL),
+nt AS (SELECT rep, sum(x * n) AS nt FROM times GROUP BY rep),
+tt AS (SELECT a.rep, sum(a.x * b.x * t) AS tt FROM times a JOIN times b ON a.rep = b.rep JOIN k ON da = 1 AND db = 1 AND la = a.label AND lb = b.label GROUP BY a.rep),
+st AS (SELECT b.rep, sum(b.x * t) AS st FROM times b JOIN k ON da = 0 AND db = 1 AND lb = b.label GROUP BY b.rep),
+one AS (SELECT (SELECT sum(t) FROM k WHERE da = 0 AND db = 0) AS ss, (SELECT sum(n) FROM c WHERE d = 0) AS ns),
+v AS (SELECT greatest(ss / (ns * ns) + tt / (nt * nt) - 2 * st / (ns * nt), 0) AS v FROM nt JOIN tt USING (rep) JOIN st USING (rep) CROSS JOIN one)
+SELECT count(*) AS repeats, {R('avg(v)', 'mean')}, {R('stddev_samp(v)', 'sd')}, {R('quantile_cont(v, 0.025)', 'low')}, {R('quantile_cont(v, 0.975)', 'high')} FROM v""")
 def _(spark, sf):
-    g = G.mmd_groups(features(spark, sf), "domain", 0, 1, "label", "vec_id", "target_bootstrap", repeats=200)
+    g = G.mmd_groups(features(spark, sf), "domain", 0, 1, "label", "vec_id", "target_bootstrap")
     return keyed(G.resampling_summary(g), [], ["repeats"], ["mean", "sd", "low", "high"])
 
 
