@@ -190,6 +190,7 @@ def mmd_permutation(df: DataFrame, domain: str, a, b, id_col: str, permutations:
     """Permutation test with a fixed bandwidth: observed, p_value, permutations, n, gamma.
 
     The pooled sample (at most twice ``max_samples`` rows) is broadcast; permutations are spread over tasks.
+    Permutation i takes the first half of the sample in the order of md5("seed:i:id").
     """
     if permutations < 1:
         raise ValueError(f"{permutations} permutations give no test; ask for one or more")
@@ -197,7 +198,7 @@ def mmd_permutation(df: DataFrame, domain: str, a, b, id_col: str, permutations:
     sample = equal_samples(df, domain, a, b, seed, id_col, max_samples).select(domain, id_col, f)
     rows = sorted(sample.collect(), key=lambda r: (r[domain] != a, r[id_col]))  # at most 2 * max_samples rows
     pooled = _finite(np.asarray([r[f] for r in rows], dtype=float))
-    n, gamma = len(pooled) // 2, _median_gamma(pooled)
+    n, gamma, names = len(pooled) // 2, _median_gamma(pooled), [r[id_col] for r in rows]
     shared = spark.sparkContext.broadcast(np.exp(-gamma * _squared_distances(pooled, pooled)))
 
     def statistic(kern, first):
@@ -210,7 +211,8 @@ def mmd_permutation(df: DataFrame, domain: str, a, b, id_col: str, permutations:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kern = shared.value
         for pdf in batches:
-            null = [statistic(kern, np.random.default_rng([seed, int(i)]).permutation(2 * n)[:n]) for i in pdf["id"]]
+            null = [statistic(kern, sorted(range(2 * n), key=lambda k: hashlib.md5(f"{seed}:{i}:{names[k]}".encode()).digest())[:n])
+                    for i in pdf["id"]]
             yield pd.DataFrame({"id": pdf["id"], "null": null})
 
     null = spark.range(permutations).mapInPandas(run, "id bigint, null double")

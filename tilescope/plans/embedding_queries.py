@@ -145,7 +145,20 @@ def _(spark, sf):
     return keyed(G.resampling_summary(r), [], ["repeats"], ["mean", "sd", "low", "high"])
 
 
-@query("e08_mmd_permutation")
+@query("e08_mmd_permutation", """WITH size AS (SELECT least(500, min(c)) AS n FROM (SELECT count(*) AS c FROM embeddings GROUP BY vec_id % 2)),
+r AS (SELECT vec_id, vec_id % 2 AS d, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f,
+ row_number() OVER (PARTITION BY vec_id % 2 ORDER BY md5(concat_ws(':', '0', vec_id)), vec_id) AS rn FROM embeddings),
+s AS (SELECT r.* FROM r, size WHERE rn <= n),
+p AS (SELECT a.vec_id AS i, b.vec_id AS j, a.d = b.d AS same, pow(list_distance(a.f, b.f), 2) AS d2 FROM s a CROSS JOIN s b),
+g AS (SELECT 1 / median(d2) AS gamma FROM p WHERE i < j AND d2 > 0),
+k AS (SELECT i, j, same, exp(-gamma * d2) AS k FROM p CROSS JOIN g),
+o AS (SELECT sum(CASE WHEN same THEN k ELSE -k END) / max(n * n) AS observed FROM k CROSS JOIN size),
+w AS (SELECT q.perm, s.vec_id AS id, CASE WHEN row_number() OVER (PARTITION BY q.perm ORDER BY md5(concat_ws(':', '0', q.perm, s.vec_id))) <= n THEN 1 ELSE -1 END AS w
+ FROM s CROSS JOIN range(500) q(perm) CROSS JOIN size),
+h AS (SELECT w.perm, k.i, sum(w.w * k.k) AS h FROM w JOIN k ON k.j = w.id GROUP BY ALL),
+z AS (SELECT h.perm, sum(w.w * h.h) / max(n * n) AS v FROM h JOIN w ON w.perm = h.perm AND w.id = h.i CROSS JOIN size GROUP BY h.perm)
+SELECT count(*) AS permutations, CAST(max(n) AS BIGINT) AS n, round(max(observed), 6) + 0.0 AS observed,
+ round((sum((v >= observed)::INT) + 1) / 501.0::DOUBLE, 6) + 0.0 AS p_value, round(max(gamma), 6) + 0.0 AS gamma FROM z CROSS JOIN o CROSS JOIN g CROSS JOIN size""")
 def _(spark, sf):
     p = G.mmd_permutation(features(spark, sf), "domain", 0, 1, "vec_id", permutations=500)
     return keyed(p, [], ["permutations", "n"], ["observed", "p_value", "gamma"])
