@@ -290,6 +290,9 @@ def test_pieces_odd(odd, empty):
     got = rows(pieces.piece_report(odd))
     assert len(got) == odd.count() and all(r["exact"] for r in got) and pieces.piece_report(empty).count() == 0
     assert {r["n_pieces"] for r in got if r["doc_id"] in (3, 6)} == {0}
+    shared = pieces.load(odd)
+    coded = pieces.encode(odd, shared, 2, carry=("doc_id", "score")).withColumn("back", pieces.decode(F.col("ids"), shared))
+    assert all(r["back"] == (r["text"] or "") for r in coded.select("text", "back").collect())
 
 
 def test_pipeline_stages(spark, sf, odd, empty):

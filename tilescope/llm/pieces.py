@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
-CACHED = 150_000
-STEP = 4096
+CACHED = 80_000
+STEP = 1024
 LONGEST_CACHED = 48
 CHARS = 2_000_000
 UNKNOWN_PENALTY = 10.0
@@ -284,10 +284,12 @@ def load(docs: DataFrame, path: str = MODEL):
         return docs.sparkSession.sparkContext.broadcast(PieceModel(f.read()))
 
 
-def encode(docs: DataFrame, model, n_best: int = N_BEST, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, model, n_best: int = N_BEST, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",),
+           check: bool = False) -> DataFrame:
     """Columns ``carry`` and ``text`` as they are, with score, ids (32-bit little-endian) and alternatives per document.
 
-    Null and empty texts have no pieces and score 0. Repeated rows stay. Results leave the worker after
+    With ``check`` also ``exact``: the ids decode to the text (a null text: to the empty one), found in the
+    same worker, so that no second one holds the batch. Null and empty texts have no pieces and score 0. Repeated rows stay. Results leave the worker after
     about two million characters, so memory follows the longest text, not the batch.
     """
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)], F.col(f"`{text_col}`").alias("text"))
@@ -298,13 +300,15 @@ def encode(docs: DataFrame, model, n_best: int = N_BEST, text_col: str = "text",
             sizes = batch["text"].str.len().fillna(0).cumsum().to_numpy() // CHARS
             for _, some in batch.groupby(sizes, sort=False):
                 done = own.encode_all(some["text"].tolist(), n_best)
+                if check:
+                    some = some.assign(exact=[own.decode(d[1]) == (t or "") for t, d in zip(some["text"], done)])
                 yield some.assign(
                     score=[float(d[0]) for d in done], ids=[d[1] for d in done],
                     alternatives=[[{"score": s, "edits": [{"at": a, "dropped": k, "ids": i} for a, k, i in e]} for s, e in d[2]] for d in done])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    out = rows.mapInPandas(run, f"{types}, {ENCODED}")
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "text", "score", "ids", "alternatives")
+    out = rows.mapInPandas(run, f"{types}, {ENCODED}" + ", exact boolean" * check)
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "text", "score", "ids", "alternatives", *["exact"] * check)
 
 
 def decode(ids: Column, model) -> Column:
@@ -323,10 +327,8 @@ def piece_report(docs: DataFrame, path: str = MODEL, n_best: int = N_BEST) -> Da
     ``n_best`` counts the segmentations found, ``second`` is the score of the second best (null: none),
     ``exact`` says that the decoded ids equal the text (null text: the empty one).
     """
-    model = load(docs, path)
-    rows = encode(docs, model, n_best)
+    rows = encode(docs, load(docs, path), n_best, check=True)
     return rows.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_pieces"), "score", F.md5("ids").alias("ids_md5"),
         F.when(F.octet_length("ids") > 0, F.size("alternatives") + 1).otherwise(0).alias("n_best"),
-        F.get("alternatives", F.lit(0))["score"].alias("second"),
-        (decode(F.col("ids"), model) == F.coalesce("text", F.lit(""))).alias("exact"))
+        F.get("alternatives", F.lit(0))["score"].alias("second"), "exact")
