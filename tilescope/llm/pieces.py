@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
-CACHED = 80_000
-STEP = 1024
+CACHED = 150_000
+STEP = 4096
 LONGEST_CACHED = 48
 CHARS = 2_000_000
 UNKNOWN_PENALTY = 10.0
