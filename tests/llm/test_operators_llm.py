@@ -1,6 +1,7 @@
 """Odd rows, empty tables and the methods' own promises, on small inputs."""
 
 import itertools
+import tempfile
 
 import numpy as np
 import pytest
@@ -306,3 +307,23 @@ def test_pipeline_stages(spark, sf, odd, empty):
     assert {3, 4, 5, 6}.isdisjoint(r["doc_id"] for r in kept.collect())
     out = P.run(spark, sf).collect()
     assert out and all(r["exact"] for r in out)
+
+
+def test_pipeline_keeps_one_of_a_group_on_many_sources(spark, sf):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    body = [" ".join(f"walk{i}x{j} the dog and the fox" for j in range(6)) for i in range(10)]
+    common = "all rights are kept by the people who wrote this and the other page"
+    text = lambda k: "\n".join([*body[:k], f"line {k} was edited and is not the same", *body[k + 1:]])
+    made = ([(10_000 + i, "\n".join(body), "en", f" a{i:02d}", 1) for i in range(11)] + [(10_100 + i, text(i % 10), "en", f" a{i:02d}", 1) for i in range(11)]
+            + [(10_200 + i, f"{common}\nthe house of number {i} was near the river {i * 7}", "en", f" a{i:02d}", 1) for i in range(11)])
+    folder = tempfile.mkdtemp(prefix="spark-")
+    more = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.unionByName(more.select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])).write.parquet(f"{folder}/documents.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clean = {r["doc_id"]: r["text"] for r in P.line_dedup(spark, docs, folder).where("doc_id >= 10000").collect()}
+    assert all(clean[d] == t for d, t, *_ in made if d < 10_200) and not any(common in clean[d] for d in clean)
+    out = P.run(spark, folder).collect()
+    kept = {r["doc_id"] for r in out if 10_000 <= r["doc_id"] < 10_200}
+    assert 10_000 in kept and not kept & set(range(10_001, 10_011))

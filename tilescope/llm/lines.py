@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilescope.llm.common import keep, whole
+from tilescope.llm.common import components, drop, keep, whole
 
 MIN_SITES = 10
 LOG_K = 12
 #: The sketch's standard error is below 0.83 / sqrt(2**LOG_K) = 1.3 %; estimates this far off (19 standard errors) are counted exactly.
 MARGIN = 0.25
+#: Least part of a text's characters on shared lines that makes it a possible copy; line minima per band and bands that find its like.
+COPIED = 2 / 3
+ROWS, BANDS = 2, 8
 
 
 def _lines(text: Column) -> Column:
@@ -44,19 +47,52 @@ def shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "t
     return keep(sure.unionByName(exact), "shared")
 
 
-def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source") -> DataFrame:
+def _on_texts(docs: DataFrame, shared: DataFrame, text_col: str) -> DataFrame:
+    """(_text, _at, lh, lc, _size, _all): the shared lines of each row by the md5 of its text and line number, with the lengths of line and text."""
+    text = F.col(f"`{text_col}`")
+    return (docs.select(F.md5(text).alias("_text"), F.length(text).alias("_all"), F.posexplode(_lines(text)).alias("_at", "_line"))
+            .where(F.trim("_line").rlike(r"[^\x20\x09-\x0D]"))
+            .select("_text", "_at", *_hashes(F.col("_line")), F.length("_line").alias("_size"), "_all").join(shared, ["lh", "lc"], "left_semi"))
+
+
+def lines_of_many_texts(docs: DataFrame, shared: DataFrame, min_texts: int = MIN_SITES, text_col: str = "text") -> DataFrame:
+    """Those of the ``shared`` lines (lh, lc) that stand in at least ``min_texts`` texts of their own; a kept table.
+
+    Equal texts are one text, and so are near copies: of the texts with two thirds of their characters or
+    more on shared lines, those that agree in the smallest ``ROWS`` hashes of their shared lines in one of
+    ``BANDS`` orders, and what chains of them connect. So lines that a group of copies alone takes to many
+    sites are not shared lines, and the group is left to near-dedup.
+    """
+    on = keep(_on_texts(docs, shared, text_col).distinct(), "on")
+    low = [F.min(F.xxhash64("lh", "lc", F.lit(k))).alias(f"m{k}") for k in range(ROWS * BANDS)]
+    copied = (on.groupBy("_text").agg(F.sum(F.col("_size") + 1).alias("_held"), F.max(F.col("_all") + 1).alias("_all"), *low)
+              .where(F.col("_held") >= F.col("_all") * COPIED))
+    keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
+    bands = keep(copied.select("_text", F.explode(F.array(*keys)).alias("key")), "bands")
+    firsts = bands.groupBy("key").agg(F.min("_text").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "v")
+    groups = keep(components(bands.join(firsts, "key").select(F.col("_text").alias("u"), "v")), "copies")
+    own = F.coalesce("component", "_text").alias("own")
+    found = keep(on.join(groups, on["_text"] == groups["node"], "left").select("lh", "lc", own).distinct()
+                 .groupBy("lh", "lc").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_texts).select("lh", "lc"), "shared")
+    for t in (on, bands, groups):
+        drop(t)
+    return found
+
+
+def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", min_texts: int = 1) -> DataFrame:
     """All columns of ``docs`` with the shared lines taken out of the text, plus ``_n_lines`` and ``_n_removed`` (long).
 
     Kept lines stay in order and as they were, joined by newlines. A null text stays null with 0
     lines; a text of shared lines only becomes empty; no row is dropped. Hits carry the md5 of the
     text and line numbers only, once per distinct text, and meet the documents in one join. The kept
-    stretches between removed lines are cut out as slices, so a text costs its length.
+    stretches between removed lines are cut out as slices, so a text costs its length. With ``min_texts``
+    above 1 a shared line must also stand in so many texts, copies counted once (``lines_of_many_texts``).
     """
     shared = shared_lines(docs, min_sites, text_col, site_col)
+    if min_texts > 1:
+        shared = lines_of_many_texts(docs, shared, min_texts, text_col)
     text = F.col(f"`{text_col}`")
-    hits = (docs.select(F.md5(text).alias("_text"), F.posexplode(_lines(text)).alias("_at", "_line"))
-            .where(F.trim("_line").rlike(r"[^\x20\x09-\x0D]")).select("_text", "_at", *_hashes(F.col("_line")))
-            .join(shared, ["lh", "lc"], "left_semi"))
+    hits = _on_texts(docs, shared, text_col)
     removed = keep(hits.groupBy("_text").agg(F.sort_array(F.collect_set("_at")).alias("_removed")), "removed")
     found = docs.select(whole(docs), F.md5(text).alias("_text")).join(removed, "_text", "left")
     own = F.col(f"_doc.`{text_col}`")
