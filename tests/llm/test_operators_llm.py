@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilescope.llm import common, embeddings, language, lines, links, mixing, pieces, quality, sharding, simhash, toxicity
+from tilescope.llm import common, embeddings, language, lines, links, mixing, pieces, quality, sharding, simhash, similar, toxicity
 
 
 def rows(df):
@@ -327,3 +327,39 @@ def test_pipeline_keeps_one_of_a_group_on_many_sources(spark, sf):
     out = P.run(spark, folder).collect()
     kept = {r["doc_id"] for r in out if 10_000 <= r["doc_id"] < 10_200}
     assert 10_000 in kept and not kept & set(range(10_001, 10_011))
+
+
+def jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = [bytes(x) for x in (t or "").encode().lower().split()]
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+@pytest.mark.parametrize("tile", [2048, 3])
+def test_near_dedup_stage_against_all_pairs(spark, odd, tile, monkeypatch):
+    import corpus_pipeline as P
+
+    monkeypatch.setattr(similar, "TILE", tile)
+    monkeypatch.setattr(similar, "CHARS", tile * 1000)
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(12):
+        base = [f"w{k}" for k in rng.integers(0, 400, rng.integers(30, 120))]
+        texts += [" ".join(base), " ".join(base).upper() + " "]
+        for edits in (1, 2, 3, 5):
+            own = list(base)
+            for at in rng.integers(0, len(base), edits):
+                own[at] = "edited"
+            texts.append(" ".join(own))
+    texts += ["", " \n", None, "a b", "A  b", "a b c"]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)] + [(0, texts[0], "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if jaccard(texts[i], texts[j]) >= 0.8 or not (texts[i] or "").strip() and not (texts[j] or "").strip():
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    kept = sorted(r["doc_id"] for r in P.near_dedup(spark, docs, "").collect())
+    assert kept == sorted(set(root)) and 20 < len(kept) < len(texts) - 20
+    assert P.near_dedup(spark, odd, "").columns == odd.columns
