@@ -189,6 +189,15 @@ def test_private_text_rules(spark):
     assert {r.i for r in Q.find_private(df, ["i"]).collect()} == {2, 3, 4}
 
 
+def test_private_text_after_any_separator(spark):
+    unix = ["*/srv/x", "!/etc/passwd", "#/root/a", "&/home/u", "\u201c/home/u/x\u201d", "/2024", "a /123 b", "file=/srv/a:http://h/x", "1/2 /3 4/5", "(/a)"]
+    other = ["path:C:\\data\\x", "[C:\\x]", "at:me@host:x", "see http://h/x me@host:y"]
+    none = ["http://me@h:8/C:\\x/y", "a/b ~/c ./d ../e 5%/f", "1/2, 3 / 4; (5/6) 7.5e3/.2", "abC:\\x", "a / b", "me@host", "\u00e9/x", "", None]
+    df = spark.createDataFrame(list(enumerate(unix + other + none)), "i int, t string")
+    got = sorted((r.i, r.kind) for r in Q.find_private(df, ["i"]).collect())
+    assert got == [(i, "unix") for i in range(len(unix))] + [(len(unix) + i, "drive_or_host") for i in range(len(other))]
+
+
 def test_safe_corr_and_draws(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.5)], "x double, y double")
     assert df.agg(R.safe_corr("x", "y").alias("r")).first().r == pytest.approx(np.corrcoef([1, 2, 3], [2, 4, 6.5])[0, 1])

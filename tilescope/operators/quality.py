@@ -194,29 +194,29 @@ def check_monotone(df: DataFrame, key: list[str], base: str, masked: str, known:
 TOKEN_ENDS = "[ \\t\\n\\r\\f\"'`()\\[\\]{}<>,;=|]+"
 
 
-def _marker(token: Column) -> Column:
-    """What a token shows: ``unix`` for an absolute path, ``drive_or_host`` for a drive path or user@host:, else null.
-
-    A token with ``://`` is a URL and shows nothing. A path may follow a ``name:``; a slash before
-    digits and points only is the end of a fraction. A drive is one letter, a colon and a backslash.
-    """
-    path = F.when(F.contains(token, F.lit(":/")), F.substring_index(token, ":", -1)).otherwise(token)
-    rest = F.substring(path, 2, 1 << 20)
-    unix = F.startswith(path, F.lit("/")) & (F.translate(rest, "0123456789.", "") != "")
-    letter = F.lower(F.substring(token, 1, 1)).between("a", "z")
-    drive = letter & (F.substring(token, 2, 2) == ":\\")
-    after = F.substring(token, F.locate("@", token) + 1, F.lit(1 << 20))
-    host = (F.locate("@", token) > 1) & (F.locate(":", after) > 1)
-    return F.when(F.contains(token, F.lit("://")), None).when(unix, "unix").when(drive | host, "drive_or_host")
+URL = r"(?U)\b[A-Za-z][A-Za-z0-9+.-]*://[^\s<>\"'`]+"
+_NUMBER = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?"
+FRACTION = rf"(?U)(?<![\w./]){_NUMBER}\s*/\s*{_NUMBER}(?=$|\s|[,;)\]}}])"
+UNIX_PATH = r"(?U)(?<![\w./~%+-])/\S"
+DRIVE = r"(?U)(?<!\w)[A-Za-z]:\\"
+_IN_TOKEN = r"[^ \t\n\r\f\"'`()\[\]{}<>,;=|"
+HOST = rf"{_IN_TOKEN}]@{_IN_TOKEN}:]+:"
 
 
 def find_private(df: DataFrame, key: list[str], cols: list[str] | None = None) -> DataFrame:
-    """(key, column, kind) for text columns that show an absolute path, a drive path or user@host: in some token."""
+    """(key, column, kind) for text columns that show an absolute path (``unix``), a drive path or user@host: (``drive_or_host``).
+
+    URLs are cut out first, then fractions of two numbers. Any character but a word's, ``. / ~ % + -`` may
+    stand before the slash, and any but white space after it. A drive is a letter that ends no word, a colon
+    and a backslash.
+    """
     cols = cols or [f.name for f in df.schema.fields
                     if isinstance(f.dataType, T.StringType) and f.name not in key]
     def shown(c):
-        kinds = F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), TOKEN_ENDS), _marker), lambda k: k.isNotNull())
-        return F.transform(F.array_distinct(kinds), lambda k: F.struct(F.lit(c).alias("column"), k.alias("kind")))
+        bare = F.regexp_replace(F.coalesce(F.col(c), F.lit("")), URL, " ")
+        paths = F.regexp_replace(bare, FRACTION, " ")
+        kinds = F.array(F.when(paths.rlike(UNIX_PATH), F.lit("unix")), F.when(bare.rlike(DRIVE) | bare.rlike(HOST), F.lit("drive_or_host")))
+        return F.transform(F.array_compact(kinds), lambda k: F.struct(F.lit(c).alias("column"), k.alias("kind")))
     return df.select(*key, F.inline(F.flatten(F.array(*[shown(c) for c in cols]))))
 
 
