@@ -363,3 +363,13 @@ def test_near_dedup_stage_against_all_pairs(spark, odd, tile, monkeypatch):
     kept = sorted(r["doc_id"] for r in P.near_dedup(spark, docs, "").collect())
     assert kept == sorted(set(root)) and 20 < len(kept) < len(texts) - 20
     assert P.near_dedup(spark, odd, "").columns == odd.columns
+
+
+def test_pipeline_encodes_with_alternatives(spark, sf):
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog", "en", "a", 43), (2, "", "en", "a", 0)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in P.encode(spark, docs, sf).collect()}
+    assert len(got[1]["alternatives"]) == pieces.N_BEST - 1 and all(a["score"] <= got[1]["score"] and a["edits"] for a in got[1]["alternatives"])
+    assert got[2]["alternatives"] == [] and got[1]["exact"] and got[2]["exact"]
