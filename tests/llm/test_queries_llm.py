@@ -41,7 +41,7 @@ def texts(con):
 
 
 def test_all_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES} and "pipeline" in entry.queries()
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES} and "pipeline" in entry.queries()
 
 
 def test_op1_law(spark, sf, con):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilescope.llm import embeddings, language, lines, links, mixing, pieces, quality, sharding, simhash, toxicity
+from tilescope.llm import divergence, embeddings, language, lines, links, mixing, periodic, pieces, quality, sharding, simhash, token_files, toxicity
 from tilescope.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,46 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_sentencepiece")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_report(read(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(periodic.with_planted_runs(read(spark, sf_dir, "documents")))
+
+
+@query("op12_token_files")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_report(read(spark, sf_dir, "documents"))
+
+
+DIVERGENCE_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+found AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM found GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS own, coalesce(any_value(s.v), 0) AS v
+           FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source
+           LEFT JOIN sizes s ON g.lang = s.lang GROUP BY g.lang, g.source),
+langs AS (SELECT lang, sum(own) AS own FROM groups GROUP BY lang),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.own + g.v)::HUGEINT AS p
+          FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+          FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair_part AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+              FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+totals AS (SELECT lang, term, sum(n) AS n FROM counts GROUP BY lang, term),
+shares AS (SELECT t.lang, t.term, 1 + 1000000000::HUGEINT * (t.n + 1) // (l.own + s.v)::HUGEINT AS q
+           FROM totals t JOIN langs l USING (lang) JOIN sizes s USING (lang)),
+term_part AS (SELECT c.lang, c.source, 'term' AS part, c.term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value
+              FROM cells c JOIN shares s ON c.lang = s.lang AND c.term = s.term WHERE c.n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+           FROM (SELECT * FROM pair_part UNION ALL SELECT * FROM term_part))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
+@query("op13_source_divergence", DIVERGENCE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(read(spark, sf_dir, "documents"))
