@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,9 @@ SHARD_TERMS = 16_384
 KEY_BYTES = 32
 #: Bytes of shards broadcast at once, and of the dense counts a task holds before it hands them on.
 ROUND_BYTES = 32 << 20
-SLOT_BYTES = 128 << 20
+SLOT_BYTES = 96 << 20
+#: Bytes of text taken at a time.
+TEXT_BYTES = 4 << 20
 #: Sources of a language that meet in one block of pairs.
 BLOCK = 64
 
@@ -89,9 +92,8 @@ class PerfectHash:
             bits.append(alone)
             left = left[~alone[at]]
         self.bits = np.concatenate(bits) if bits else np.zeros(0, bool)
-        self.ranks = np.cumsum(self.bits) - 1
-        self.keys = own
-        self.keys = own[np.argsort(self._slots(own))]
+        self.ranks = np.cumsum(self.bits, dtype=np.int32) - 1
+        self.keys = pa.array(own[np.argsort(self._slots(own))].tolist(), pa.binary())
 
     def __len__(self) -> int:
         return len(self.keys)
@@ -110,17 +112,17 @@ class PerfectHash:
         """The slot of each key, -1 for keys that are not stored."""
         slot = self._slots(keys)
         hit = np.flatnonzero(slot >= 0)
-        slot[hit[self.keys[slot[hit]] != keys[hit]]] = -1
+        same = pc.equal(self.keys.take(pa.array(slot[hit])), pa.array(keys[hit].tolist(), pa.binary()))
+        slot[hit[~same.to_numpy(zero_copy_only=False)]] = -1
         return slot
 
     def __getstate__(self):
-        return self.seed, self.sizes, np.packbits(self.bits), len(self.bits), self.keys.tolist()
+        return self.seed, self.sizes, np.packbits(self.bits), len(self.bits), self.keys
 
     def __setstate__(self, state):
-        self.seed, self.sizes, packed, n, keys = state
+        self.seed, self.sizes, packed, n, self.keys = state
         self.bits = np.unpackbits(packed, count=n).astype(bool)
-        self.ranks = np.cumsum(self.bits) - 1
-        self.keys = np.array(keys + [None], dtype=object)[:-1]
+        self.ranks = np.cumsum(self.bits, dtype=np.int32) - 1
 
 
 def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -132,7 +134,7 @@ def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array, np.ndarray]]:
     """(rows, term number of each word, distinct terms, row of each word) of slices of batches whose first column is the text."""
     for batch in batches:
-        for i, j in spans.slices(batch.column(0)):
+        for i, j in spans.slices(batch.column(0), TEXT_BYTES):
             part = batch.slice(i, j - i)
             values, counts = terms(part.column(0))
             code, distinct = spans.coded(values)
@@ -239,7 +241,8 @@ def _counter(packed, schema):
             _, begins, own = tables.setdefault(lang, (n_shards, [0], {}))
             own[shard] = (begins[-1], pickle.loads(data))
             begins.append(begins[-1] + m)
-        held: dict[tuple[str, str], np.ndarray] = {}
+        held: dict[tuple[str, str], np.ndarray] = {}  # 32-bit slots: handed on before 2**31 words are counted
+        counted = 0
 
         def hand_on():
             for (lang, source), dense in held.items():
@@ -248,12 +251,16 @@ def _counter(packed, schema):
                 k = np.searchsorted(begins, at, side="right") - 1
                 shard = np.array(list(own), np.int32)[k]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), pa.array(shard),
-                                                  pa.array((at - np.array(begins)[k]).astype(np.int32)), pa.array(dense[at])], names=names)
+                                                  pa.array((at - np.array(begins)[k]).astype(np.int32)), pa.array(dense[at].astype(np.int64))], names=names)
             held.clear()
 
         for part, code, distinct, row in _batches(batches):
             if not len(code):
                 continue
+            counted += len(code)
+            if counted >= 1 << 31:
+                yield from hand_on()
+                counted = len(code)
             keys = _keys(distinct)
             lang, langs = spans.coded(part.column(1))
             source, sources = spans.coded(part.column(2))
@@ -279,10 +286,10 @@ def _counter(packed, schema):
                 for x, y in zip(cuts, [*cuts[1:], len(pair)]):
                     group = name, sources[int(pair[x] // begins[-1])].as_py()
                     if group not in held:
-                        if held and sum(d.nbytes for d in held.values()) + 8 * begins[-1] > SLOT_BYTES:
+                        if held and sum(d.nbytes for d in held.values()) + 4 * begins[-1] > SLOT_BYTES:
                             yield from hand_on()
-                        held[group] = np.zeros(begins[-1], np.int64)
-                    held[group][pair[x:y] % begins[-1]] += n[x:y]
+                        held[group] = np.zeros(begins[-1], np.int32)
+                    held[group][pair[x:y] % begins[-1]] += n[x:y].astype(np.int32)
         yield from hand_on()
 
     return count
