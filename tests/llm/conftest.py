@@ -32,7 +32,8 @@ def odd(spark):
     from tilescope.session import ship_code
     ship_code(spark)
     rows = spark.createDataFrame(odd_rows(), SCHEMA)
-    for name in ("size", "slot", "shard", "n", "h", "fp", "score", "ids", "position", "target", "_h", "_text", "label", "key", "line", "site"):
+    for name in ("size", "slot", "shard", "n", "h", "fp", "score", "ids", "position", "target", "_h", "_text", "label", "key", "line", "site",
+                 "_n_lines", "_n_removed", "_language", "_doc", "_key", "doc", "language", "n_lines", "_lines", "_removed", "_stays", "_identity"):
         rows = rows.withColumn(name, F.lit("clash"))
     return rows
 

@@ -142,7 +142,7 @@ def test_quantisation_bound():
 
 def test_lines_odd(spark, odd, empty):
     got = lines.clean_lines(odd, min_sites=3)
-    assert got.columns == [*odd.columns, "_n_lines", "_n_removed"] and got.count() == odd.count()
+    assert got.columns == odd.columns and got.count() == odd.count() and lines.line_report(odd, min_sites=3).count() == odd.count()
     assert lines.line_report(empty).count() == 0
     docs = spark.createDataFrame([(i, f"own {i}\n  shared \n\nshared\nlast {i}", f"s{i % k}") for k in (9, 10, 11) for i in range(40)], "doc_id long, text string, source string")
     for k, gone in ((9, False), (10, True), (11, True)):
@@ -164,7 +164,7 @@ def test_language_spans(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang in ('en', 'de')")
     en, de = (docs.where(f"lang = '{k}' and n_chars > 1500").first()["text"].split()[:40] for k in ("en", "de"))
     mixed = docs.unionByName(spark.createDataFrame([(-1, " ".join(en + de), None, None, None)], docs.schema))
-    spans = language.identify(mixed, F.lit(True), spans=True).where("doc_id = -1").first()["_language"]["spans"]
+    spans = language.identify(mixed, F.lit(True), spans=True).where("doc.doc_id = -1").first()["language"]["spans"]
     assert [s["lang"] for s in spans] == ["en", "de"] and abs(spans[0]["words"] - 40) <= 2
 
 
@@ -224,11 +224,11 @@ def test_spread_against_matrix(spark):
     np.fill_diagonal(a, 0)
     edges = spark.createDataFrame([(f"h{i}", f"h{j}", int(a[i, j])) for i in range(8) for j in range(8) if a[i, j]], "source string, target string, n long")
     seeds = spark.createDataFrame([("h0", 3, 0), ("h1", 0, 2), ("h2", 1, 1)], "host string, allowed long, blocked long")
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in links.spread(seeds, edges, rounds=30).collect()}
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in links.spread(seeds, edges).collect()}
 
     def walk(m, s):
         m, total, step = m / np.maximum(m.sum(axis=1, keepdims=True), 1), 0, np.array(s, float)
-        for _ in range(31):
+        for _ in range(400):
             total, step = total + step, 0.85 * step @ m
         return 0.15 * total
 
@@ -236,6 +236,23 @@ def test_spread_against_matrix(spark):
     assert all(abs(got.get(f"h{i}", (0, 0))[0] - t[i]) < 1e-9 and abs(got.get(f"h{i}", (0, 0))[1] - d[i]) < 1e-9 for i in range(8))
 
 
+def test_mass_reaches_the_end_of_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(links, "FOLD", 3)
+    page = lambda i, j: (i, f"http://h{i}.info/", f'<a href="http://h{j}.info/">x</a>')
+    pages = spark.createDataFrame([*[page(i, i + 1) for i in range(60)], (60, "http://h60.info/", '<a href="http://bad.net/">x</a>'), (61, "http://bad.net/", None)],
+                                  "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in links.judge_urls(pages, [("block", "net", "/")]).collect()}
+    assert set(got.values()) == {"block"} and len(got) == 62
+
+
+def test_a_long_url_costs_its_length(spark):
+    host = "a." * 500_000 + "sub.net"
+    pages = spark.createDataFrame([(1, f"http://{host}/x", None), (2, "http://x.y/" + "p/" * 400_000, None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in links.judge_urls(pages, [("block", "net", "/"), ("allow", "a.sub.net", "/x")]).collect()}
+    assert (got[1]["rule"], got[1]["verdict"], got[2]["verdict"]) == ("a.sub.net/x", "allow", "allow")
+    assert links.judge_urls(pages, []).where("verdict = 'allow' and rule is null").count() == 2
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     assert len(rows(toxicity.grade_toxicity(odd, labels))) == odd.count()
@@ -329,6 +346,26 @@ def test_pipeline_keeps_one_of_a_group_on_many_sources(spark, sf):
     assert 10_000 in kept and not kept & set(range(10_001, 10_011))
 
 
+def test_pipeline_takes_boilerplate_from_different_articles(spark, sf):
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(11)
+    common = [f"notice {k}: " + " ".join(f"word{k}x{j}" for j in range(25)) for k in range(3)]
+    article = lambda i: " ".join(f"the tale{i} and of fact{j}" for j in rng.integers(0, 10**6, 6))
+    body = "\n".join(" ".join(f"walk{i}y{j} the dog" for j in range(8)) for i in range(8))
+    made = ([(i, "\n".join([common[0], article(i), *common[1:]]), "en", f"a{i:02d}", 1) for i in range(12)]
+            + [(100 + i, body, "en", f"a{i:02d}", 1) for i in range(11)]
+            + [(200 + i, body.replace(f"walk{i % 8}y3", f"edit{i}"), "en", f"a{i:02d}", 1) for i in range(11)])
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    share = sum(map(len, common)) / len(made[0][1])
+    assert 0.7 < share < 0.85
+    clean = {r["doc_id"]: r["text"] for r in P.line_dedup(spark, docs, sf).collect()}
+    assert not any(line in clean[i] for i in range(12) for line in common) and all("tale" in clean[i] for i in range(12))
+    assert all(clean[d] == t for d, t, *_ in made if d >= 100)
+    kept = {r["doc_id"] for r in P.near_dedup(spark, P.line_dedup(spark, docs, sf), sf).collect()}
+    assert set(range(12)) < kept and len(kept & set(range(100, 300))) == 1
+
+
 def jaccard(a, b):
     sets = []
     for t in (a, b):

@@ -13,6 +13,7 @@ THRESHOLD = 0.98
 BLOCK = 2048
 STRIP = 256
 SLACK = 1e-9
+TIE = 1e-12
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -32,21 +33,25 @@ def code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tile_links(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    """Boolean matrix of the pairs of unit vectors with product >= threshold in double precision."""
+    """Boolean matrix of the pairs of unit vectors with product >= threshold in double precision.
+
+    Every pair is decided by one sum, in one order, whatever its neighbours: where very many pairs are possible, a
+    matrix product settles those that are further than TIE from the threshold, more than the two can differ.
+    """
     qx, sx, nx, ex = quantise(x)
     qy, sy, _, ey = quantise(y)
     out = np.zeros((len(x), len(y)), bool)
     for at in range(0, len(x), STRIP):
         s = slice(at, at + STRIP)
         may = code_products(qx[s], qy) * np.outer(sx[s], sy) + (np.outer(nx[s], ey) + ex[s, None] + SLACK) >= threshold
-        found = int(may.sum())
-        if found > may.size // 16:
-            out[s] = may & (x[s] @ y.T >= threshold)
-        elif found:
-            i, j = np.nonzero(may)
-            for k in range(0, found, 1 << 15):
-                p, q = i[k:k + (1 << 15)], j[k:k + (1 << 15)]
-                out[at + p, q] = np.einsum("nd,nd->n", x[at + p], y[q]) >= threshold
+        if np.count_nonzero(may) > may.size // 16:
+            product = x[s] @ y.T
+            out[s] = may & (product >= threshold)
+            may &= np.abs(product - threshold) <= TIE
+        i, j = np.nonzero(may)
+        for k in range(0, len(i), 1 << 15):
+            p, q = i[k:k + (1 << 15)], j[k:k + (1 << 15)]
+            out[at + p, q] = np.einsum("nd,nd->n", x[at + p], y[q]) >= threshold
     return out
 
 

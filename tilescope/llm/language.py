@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilescope.llm.common import whole
+
 #: First and last code point of each script's main Unicode blocks.
 SCRIPT_RANGES = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A)],
@@ -267,7 +269,7 @@ RESULT = T.StructType([
 
 def identify(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
              spans: bool = False, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
-    """All columns of ``docs`` plus ``_language``, a struct (lang, score, spans), in place of any column of that name.
+    """(doc, language): each row of ``docs`` as a struct and a struct (lang, score, spans).
 
     Learns from the rows that ``usable`` selects and that have a language and a text; predictions see
     the text only. Words are runs of letters; the scripts of a word narrow its candidates to languages
@@ -287,7 +289,7 @@ def identify(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col:
             rows = label_texts(shared.value, texts.tolist(), spans)
         return pd.DataFrame(rows, columns=["lang", "score", "spans"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "_language"], label(F.col(text_col)).alias("_language"))
+    return docs.select(whole(docs).alias("doc"), label(F.col(f"`{text_col}`")).alias("language"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -297,11 +299,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 def language_report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, lang_pred, score); a null id is neither held out nor learned from."""
     rows = identify(docs, ~held_out(id_col) & F.col(id_col).isNotNull(), id_col)
-    return rows.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col("_language.lang").alias("lang_pred"),
-                       F.col("_language.score").alias("score"))
+    return rows.select(F.col(f"doc.`{id_col}`").alias("doc_id"), held_out(f"doc.`{id_col}`").alias("held_out"), F.col("language.lang").alias("lang_pred"),
+                       F.col("language.score").alias("score"))
 
 
 def keep_languages(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id") -> DataFrame:
     """The documents of a decided language: ``und`` and those without a language of ``min_score`` of the letters go."""
     rows = identify(docs, ~held_out(id_col) & F.col(id_col).isNotNull(), id_col)
-    return rows.where((F.col("_language.lang") != UNDETERMINED) & (F.col("_language.score") >= min_score)).drop("_language")
+    return rows.where((F.col("language.lang") != UNDETERMINED) & (F.col("language.score") >= min_score)).select("doc.*")

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilescope.llm.common import components, drop, keep, whole
+from tilescope.llm.common import drop, keep, whole
 
 MIN_SITES = 10
 LOG_K = 12
 #: The sketch's standard error is below 0.83 / sqrt(2**LOG_K) = 1.3 %; estimates this far off (19 standard errors) are counted exactly.
 MARGIN = 0.25
-#: Least part of a text's characters on shared lines that makes it a possible copy; line minima per band and bands that find its like.
-COPIED = 2 / 3
-ROWS, BANDS = 2, 8
 
 
 def _lines(text: Column) -> Column:
@@ -33,8 +32,8 @@ def shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "t
     as the empty name. A line on fewer rows than ``min_sites`` cannot qualify, so a plain count with
     map-side sums comes first and only the rest is sketched; sketches merge in the aggregation.
     """
-    site = F.coalesce(F.col(site_col), F.lit(""))
-    lines = (docs.select(site.alias("site"), F.explode(_lines(F.col(text_col))).alias("line"))
+    site = F.coalesce(F.col(f"`{site_col}`"), F.lit(""))
+    lines = (docs.select(site.alias("site"), F.explode(_lines(F.col(f"`{text_col}`"))).alias("line"))
              .where(F.trim("line").rlike(r"[^\x20\x09-\x0D]")).select("site", *_hashes(F.col("line"))))
     often = keep(lines.groupBy("lh", "lc").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("lh", "lc"), "lines")
     spread = (lines.join(often, ["lh", "lc"], "left_semi").groupBy("lh", "lc").agg(F.hll_sketch_agg("site", LOG_K).alias("sketch"))
@@ -48,39 +47,35 @@ def shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "t
 
 
 def _on_texts(docs: DataFrame, shared: DataFrame, text_col: str) -> DataFrame:
-    """(_text, _at, lh, lc, _size, _all): the shared lines of each row by the md5 of its text and line number, with the lengths of line and text."""
+    """(_text, _at, lh, lc): the shared lines of each row by the md5 of its text and line number."""
     text = F.col(f"`{text_col}`")
-    return (docs.select(F.md5(text).alias("_text"), F.length(text).alias("_all"), F.posexplode(_lines(text)).alias("_at", "_line"))
+    return (docs.select(F.md5(text).alias("_text"), F.posexplode(_lines(text)).alias("_at", "_line"))
             .where(F.trim("_line").rlike(r"[^\x20\x09-\x0D]"))
-            .select("_text", "_at", *_hashes(F.col("_line")), F.length("_line").alias("_size"), "_all").join(shared, ["lh", "lc"], "left_semi"))
+            .select("_text", "_at", *_hashes(F.col("_line"))).join(shared, ["lh", "lc"], "left_semi"))
 
 
-def lines_of_many_texts(docs: DataFrame, shared: DataFrame, min_texts: int = MIN_SITES, text_col: str = "text") -> DataFrame:
+def lines_of_many_texts(docs: DataFrame, shared: DataFrame, min_texts: int, copies: Callable[[DataFrame], DataFrame] | None = None, text_col: str = "text") -> DataFrame:
     """Those of the ``shared`` lines (lh, lc) that stand in at least ``min_texts`` texts of their own; a kept table.
 
-    Equal texts are one text, and so are near copies: of the texts with two thirds of their characters or
-    more on shared lines, those that agree in the smallest ``ROWS`` hashes of their shared lines in one of
-    ``BANDS`` orders, and what chains of them connect. So lines that a group of copies alone takes to many
-    sites are not shared lines, and the group is left to near-dedup.
+    Equal texts are one text. ``copies`` says which others are: given the documents that hold shared lines, as
+    (key, text) with the text's md5, it returns (node, component) of the keys that belong together. It must
+    judge by whole texts: pages with equal boilerplate around other articles are texts of their own.
     """
-    on = keep(_on_texts(docs, shared, text_col).distinct(), "on")
-    low = [F.min(F.xxhash64("lh", "lc", F.lit(k))).alias(f"m{k}") for k in range(ROWS * BANDS)]
-    copied = (on.groupBy("_text").agg(F.sum(F.col("_size") + 1).alias("_held"), F.max(F.col("_all") + 1).alias("_all"), *low)
-              .where(F.col("_held") >= F.col("_all") * COPIED))
-    keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    bands = keep(copied.select("_text", F.explode(F.array(*keys)).alias("key")), "bands")
-    firsts = bands.groupBy("key").agg(F.min("_text").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "v")
-    groups = keep(components(bands.join(firsts, "key").select(F.col("_text").alias("u"), "v")), "copies")
-    own = F.coalesce("component", "_text").alias("own")
-    found = keep(on.join(groups, on["_text"] == groups["node"], "left").select("lh", "lc", own).distinct()
-                 .groupBy("lh", "lc").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_texts).select("lh", "lc"), "shared")
-    for t in (on, bands, groups):
-        drop(t)
+    text = F.col(f"`{text_col}`")
+    on = keep(_on_texts(docs, shared, text_col).select("_text", "lh", "lc").distinct(), "on")
+    own = on.select("lh", "lc", F.col("_text").alias("own"))
+    if copies is not None:
+        held = docs.select(F.md5(text).alias("key"), text.alias("text")).join(on.select(F.col("_text").alias("key")).distinct(), "key", "left_semi")
+        groups = copies(held)
+        own = on.join(groups, on["_text"] == groups["node"], "left").select("lh", "lc", F.coalesce("component", "_text").alias("own")).distinct()
+    found = keep(own.groupBy("lh", "lc").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_texts).select("lh", "lc"), "shared")
+    drop(on)
     return found
 
 
-def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", min_texts: int = 1) -> DataFrame:
-    """All columns of ``docs`` with the shared lines taken out of the text, plus ``_n_lines`` and ``_n_removed`` (long).
+def with_clean_text(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", min_texts: int = 1,
+                    copies: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(doc, text, n_lines, n_removed): each row of ``docs`` as a struct, its text without the shared lines, and counts of lines (long).
 
     Kept lines stay in order and as they were, joined by newlines. A null text stays null with 0
     lines; a text of shared lines only becomes empty; no row is dropped. Hits carry the md5 of the
@@ -90,7 +85,7 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "te
     """
     shared = shared_lines(docs, min_sites, text_col, site_col)
     if min_texts > 1:
-        shared = lines_of_many_texts(docs, shared, min_texts, text_col)
+        shared = lines_of_many_texts(docs, shared, min_texts, copies, text_col)
     text = F.col(f"`{text_col}`")
     hits = _on_texts(docs, shared, text_col)
     removed = keep(hits.groupBy("_text").agg(F.sort_array(F.collect_set("_at")).alias("_removed")), "removed")
@@ -104,11 +99,17 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "te
     cleaned = F.when(cut.isNotNull(), F.array_join(kept, "\n")).otherwise(own)
     n_lines = F.coalesce(F.length(own) - F.length(F.replace(own, F.lit("\n"))) + 1, F.lit(0)).cast("long")
     n_removed = F.coalesce(F.when(cut.isNotNull(), F.size(cut)), F.lit(0)).cast("long")
-    return split.select(*[cleaned.alias(c) if c == text_col else F.col(f"_doc.`{c}`") for c in docs.columns], n_lines.alias("_n_lines"), n_removed.alias("_n_removed"))
+    return split.select(F.col("_doc").alias("doc"), cleaned.alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+
+
+def clean_lines(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """All columns of ``docs`` with the shared lines taken out of the text, as ``with_clean_text`` does."""
+    cleaned = with_clean_text(docs, text_col=text_col, **how)
+    return cleaned.select(*[(F.col("text") if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(doc_id, n_lines, n_removed, n_chars, text_md5) of the cleaned documents, one row per document."""
-    cleaned = clean_lines(docs, text_col=text_col, **how)
-    return cleaned.select(F.col(id_col).alias("doc_id"), F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
-                          F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"), F.md5(F.col(text_col)).alias("text_md5"))
+    cleaned = with_clean_text(docs, text_col=text_col, **how)
+    return cleaned.select(F.col(f"doc.`{id_col}`").alias("doc_id"), "n_lines", "n_removed",
+                          F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))

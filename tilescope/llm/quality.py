@@ -16,7 +16,6 @@ BLANKS = " \t\n\x0b\x0c\r"
 FEATURES = ("n_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share")
 MAX_TRAIN_ROWS = 200_000
 BINS = 20
-MAX_RULES, MAX_CONDITIONS = 8, 3
 MIN_PRECISION, MIN_SUPPORT = 0.95, 20
 
 
@@ -87,7 +86,7 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
 def _grow(rows: DataFrame, cuts: dict[str, list[float]]) -> Rule:
     """Add the condition of highest gain until no good row is covered; each step reads one small count table."""
     rule, names = Rule(), list(cuts)
-    for _ in range(MAX_CONDITIONS):
+    while True:  # each condition leaves fewer good rows
         binned = rows.where(rule.covers()).select("bad", F.posexplode(F.array(*[F.col(f"bin_{n}") for n in names])).alias("feature", "bin"))
         table = {(r["feature"], r["bin"], r["bad"]): r["n"] for r in binned.groupBy("feature", "bin", "bad").agg(F.count(F.lit(1)).alias("n")).collect()}
         p0, n0 = (sum(table.get((0, b, y), 0) for b in range(BINS + 1)) for y in (True, False))
@@ -140,7 +139,7 @@ def learn_decision_list(features: DataFrame, labels: DataFrame, id_col: str = "d
     left = keep(rows.select("*", *bins), "binned")
     drop(rows)
     rules: list[Rule] = []
-    while len(rules) < MAX_RULES:
+    while True:  # each rule takes at least MIN_SUPPORT bad rows
         rule = _grow(left.where("not prune"), cuts)
         if not rule.conditions:
             break

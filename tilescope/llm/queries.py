@@ -163,7 +163,7 @@ moves AS (SELECT 'trust' AS kind, source AS a, target AS b, n / sum(n) OVER (PAR
 step AS (SELECT 0 AS k, CASE f.verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, q.host, CAST(count(*) AS DOUBLE) AS mass
          FROM q JOIN fits f ON q.r = f.r WHERE q.host <> '' GROUP BY ALL
          UNION ALL SELECT s.k + 1, m.kind, m.b, sum(s.mass * m.share) FROM step s JOIN moves m ON s.kind = m.kind AND s.host = m.a
-         WHERE s.k < 20 GROUP BY s.k, m.kind, m.b),
+         WHERE s.k < 400 GROUP BY s.k, m.kind, m.b),
 hosts AS (SELECT host, coalesce(sum(mass) FILTER (WHERE kind = 'trust'), 0) * 0.15 AS t, coalesce(sum(mass) FILTER (WHERE kind = 'distrust'), 0) * 0.15 AS d
           FROM step GROUP BY host)
 SELECT q.page_id, q.host, q.path, f.rule, coalesce(f.verdict, CASE WHEN round(h.d, 9) > round((h.t + h.d) * 0.5, 9) THEN 'block' ELSE 'allow' END) AS verdict
