@@ -36,6 +36,23 @@ def test_neighbours_match_brute_force(spark, monkeypatch, block):
         assert [r.ref_id for r in sorted((r for r in got if r.vec_id == 1000 + i), key=lambda r: r["rank"])] == want
 
 
+def test_far_blocks_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 20)
+    monkeypatch.setattr(B, "SEEDS", 300)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 10
+    x, q = (centres[rng.integers(0, 12, n)] + rng.normal(size=(n, 16)) * 0.3 for n in (1200, 240))
+    q[0] = 0.0
+    count = [spark.sparkContext.accumulator(0) for _ in range(2)]
+    got = E.knn_join(table(spark, q, np.zeros(240), 5000), table(spark, x, np.arange(1200)), 5, skipped=count).collect()
+    unit = lambda a: a / (np.linalg.norm(a, axis=1, keepdims=True) + 1e-8)
+    sims = np.round(unit(q) @ unit(x).T, 12)
+    for i in range(240):
+        want = sorted(range(1200), key=lambda j: (-sims[i, j], j))[:5]
+        assert [r.ref_id for r in sorted((r for r in got if r.vec_id == 5000 + i), key=lambda r: r["rank"])] == want
+    assert count[1].value > 0.5 * count[0].value > 0
+
+
 def test_neighbours_cap_k_and_keep_keys_apart(spark):
     ref = table(spark, [[1, 0], [0, 1]], [0, 1]).withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1)))).where("not (fold = 1 and vec_id = 0)")
     q = table(spark, [[1, 0.1]], [0], 10).withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -51,6 +68,18 @@ def test_vote_tie_goes_to_lowest_class_and_empty_training_fails(spark):
         E.knn_classify(train.where("false"), test, 2).collect()
 
 
+def test_median_bandwidth_of_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    for n in (2, 41, 60):
+        x = rng.normal(size=(n, 4))
+        x[n // 2] = x[0]
+        d = ((x[:, None] - x[None]) ** 2).sum(-1)[np.triu_indices(n, 1)]
+        want = 1 / np.median(d[d > 0]) if (d > 0).any() else 1.0
+        got = G.median_gamma(table(spark, x, np.zeros(n)).repartition(3), 0, "vec_id", max_rows=None).first().gamma
+        assert got == pytest.approx(want, rel=1e-9)
+    assert G.median_gamma(table(spark, x[:1], [0]), 0, "vec_id", max_rows=None).first().gamma == 1.0
+
+
 def test_kappa_and_absent_class(spark):
     pred = spark.createDataFrame([(0, 0), (0, 0), (0, 1), (1, 1), (1, 0)] * 2, "label int, pred int")
     counts = M.pair_counts(pred, [])
@@ -240,3 +269,20 @@ def test_feature_table_is_refused_in_the_job(spark):
     for bad, reason in ((df.unionByName(df.limit(1)), "repeated"), (df.where("vec_id = 1"), "missing"), (df.withColumn("f", F.array(F.lit(1.0))), "size")):
         with pytest.raises(Exception, match=f"refused: {reason}"):
             E.require_features(bad, 2, ids).collect()
+
+
+def test_covariance_in_pieces_and_far_from_zero(spark, monkeypatch):
+    monkeypatch.setattr(E, "GRAM_COLUMNS", 3)
+    rng = np.random.default_rng(12)
+    x, k = rng.normal(size=(90, 7)) + 1e5, rng.integers(0, 3, 90)
+    df = table(spark, x, k).repartition(4)
+    for held in (64 << 20, 1):
+        monkeypatch.setattr(E, "GRAM_BYTES", held)
+        got = {(r.label, r.i): r.cov for r in E.covariance_rows(df, ["label"]).collect()}
+        assert len(got) == 21
+        for (label, i), row in got.items():
+            assert np.allclose(row, np.cov(x[k == label].T)[i], atol=1e-9)
+    whole = sorted((r.i, r.cov) for r in E.covariance_rows(df, []).collect())
+    assert np.allclose([c for _, c in whole], np.cov(x.T), atol=1e-9)
+    assert E.covariance_rows(df.where("false"), ["label"]).count() == 0
+    assert all(v is None for v in E.covariance_rows(df.where("vec_id = 1"), ["label"]).first().cov)

@@ -11,10 +11,17 @@ from tilescope.operators import quality as Q
 from tilescope.operators import ranking as X
 
 
-@pytest.fixture(params=[O.ROWS_PER_BUCKET, 50])
-def path(request, monkeypatch):
-    monkeypatch.setattr(O, "ROWS_PER_BUCKET", request.param)  # few and many buckets
-    return request.param
+@pytest.fixture(params=[None, 13])
+def path(request, spark):
+    """Partitions as adaptive execution joins them, and many small ones."""
+    names = {"spark.sql.shuffle.partitions": request.param, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {n: spark.conf.get(n, None) for n in names}
+    if request.param:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+    yield request.param
+    for n, v in before.items():
+        spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
 def skewed(spark, n=3000):
@@ -82,6 +89,32 @@ def test_hash_sample_sizes_and_repeatability(spark):
     assert {r.id for r in O.hash_sample(df, 40, 2, ["id"], ["k"]).collect()} != a
 
 
+def test_hash_first_takes_quotas_from_groups_of_any_size(spark, monkeypatch):
+    df = spark.range(900).select((F.col("id") % 10 == 0).cast("int").alias("k"), "id")
+    quota = spark.createDataFrame([(0, 300), (1, 7), (2, 5)], "k int, _quota long")
+    order = {k: sorted((i for i in range(900) if (i % 10 == 0) == bool(k)), key=lambda i: hashlib.md5(f"4:{i}".encode()).hexdigest()) for k in (0, 1)}
+    for ranked in (10_000, 50, 0):  # few rows at the cut, or one digit after another
+        monkeypatch.setattr(O, "RANKED", ranked)
+        monkeypatch.setattr(O, "DIGITS", 1 if ranked == 50 else 3)
+        got = {(r.k, r.id) for r in O.hash_first(df, ["k"], quota, 4, ["id"]).collect()}
+        assert got == {(0, i) for i in order[0][:300]} | {(1, i) for i in order[1][:7]}
+    one = spark.range(1).select(F.lit(20).alias("_quota"))
+    assert len({r.id for r in O.hash_first(df, [], one, 4, ["id"]).collect()}) == 20
+    assert O.hash_first(df.where("false"), ["k"], quota, 4, ["id"]).count() == 0 == O.hash_first(df.where("false"), [], one, 4, ["id"]).count()
+    twins = df.where("id = 3").unionByName(df.where("id = 3")).unionByName(df.where("id = 3"))
+    assert O.hash_first(twins, ["k"], spark.createDataFrame([(0, 2)], "k int, _quota long"), 4, ["id"]).count() == 2
+
+
+def test_one_key_holds_all_rows_and_the_plan_stays(spark, path):
+    sizes = []
+    for n in (2_000, 20_000):
+        df = spark.range(n).select(F.lit("hot").alias("k"), (F.col("id") * 7919 % n).cast("double").alias("v"), F.lit(1).alias("one"))
+        out = O.running_totals(df, ["k"], "v", ["one"])
+        assert out.where("cum_one <> v + 1 or all_one <> %d" % n).count() == 0
+        sizes.append(len(out._jdf.queryExecution().analyzed().toString()))
+    assert abs(sizes[0] - sizes[1]) < 50
+
+
 def test_quantile_picks_never_repeat(spark, path):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(4)], "k string, item bigint, v double")
     picks = X.quantile_picks(df, ["k"], "v", "item", [0.5, 0.5001, 0.5002]).orderBy("q").collect()

@@ -42,6 +42,27 @@ def test_nearest_and_within_match_brute_force(spark, monkeypatch, block):
         assert [flags[i] for i in range(len(a))] == list(want < d)
 
 
+@pytest.mark.parametrize("few", [3, 0])
+def test_cells_settle_most_rows(spark, monkeypatch, few):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(G, "BLOCK", 16)
+    monkeypatch.setattr(G, "FEW", few)
+    monkeypatch.setattr(G, "LEVELS", 6)
+    lat, lon = rng.uniform(-60, 60, 1500), rng.uniform(0, 360, 1500)
+    a = points(spark, np.stack([lat, lon], axis=1)).withColumn("g", (F.col("lon") > 180).cast("int"))
+    d, edge = 400_000.0, G._chord(400_000.0, G.SPHERE_RADIUS_M)
+    got = {(r.tile_id, r.g) for r in G.near_groups(a, a, "g", d).collect()}
+    la, lo = np.radians(lat), np.radians(lon)
+    unit = np.stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)])
+    near = G.SPHERE_RADIUS_M * np.arccos(np.clip(unit.T @ unit, -1, 1)) < d
+    side = (lon > 180).astype(int)
+    assert got == {(i, g) for i in range(1500) for g in (0, 1) if near[i][side == g].any()}
+    settled, cell, left = G._cover(a.select("tile_id", "lat", "lon"), a.select("g", "lat", "lon"), "g", edge)
+    meets = a.select(G._cube(cell).alias("cube")).join(left.groupBy("cube", "g").agg(F.ceil(F.sum("n") / G.BLOCK).alias("copies")), "cube")
+    copies = (meets.agg(F.sum("copies")).first()[0] or 0) / 1500
+    assert copies < 4 and (few or copies < 1) and len(settled) > 1
+
+
 def test_buffer_rule_order_and_equality(spark):
     rows = [(0, 0.0, 0.0, "test"), (1, 0.0, 1.0, "val"), (2, 0.0, 2.0, "train"), (3, 0.0, 4.0, "train"), (4, 0.0, 4.5, "holdout")]
     df = spark.createDataFrame(rows, "tile_id bigint, lat double, lon double, role string")
@@ -59,17 +80,6 @@ def test_block_folds_keep_blocks_whole(spark):
     assert {r["count"] for r in out.groupBy("fold").count().collect()} == {60}
 
 
-def test_bilinear_needs_every_neighbour(spark):
-    cells = [(r, c, 0, float(10 * r + c), not (r == 2 and c == 2)) for r in range(3) for c in range(4)]
-    raster = spark.createDataFrame(cells, "r bigint, c bigint, band int, v double, valid boolean")
-    p = spark.createDataFrame([(0, 45.0, 135.0), (1, 0.0, 225.0), (2, 15.0, 180.0), (3, 44.0, -225.0)], "tile_id bigint, lat double, lon double")
-    one = F.lit(1.0)
-    got = {r.tile_id: r.value for r in G.sample_bilinear(p, raster, 0.0, 90.0, one * 90.0, one * 60.0, F.lit(4), F.lit(3), 1).collect()}
-    # row = (90 - lat) / 60 - 0.5, col = lon / 90 - 0.5
-    assert got[0] == pytest.approx(0.25 * 10 + 1) and got[3] == pytest.approx((46 / 60 - 0.5) * 10 + 1)
-    assert 2 in got and 1 not in got or got.get(1) == pytest.approx(12.0)
-
-
 def test_constant_and_empty_tiles(spark):
     df = spark.createDataFrame([(0, [5.0] * 4), (1, [0.0, -1.0, float("nan"), float("inf")])], "tile_id bigint, px array<double>")
     rows = {r.tile_id: r for r in T.tile_stats(df).collect()}

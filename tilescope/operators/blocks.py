@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilescope.operators.ordering import hash_sample
+
 BLOCK = 512
 
 
@@ -49,12 +51,99 @@ def pack(df: DataFrame, keys: list[str], id_col: str, code_col: str, f: str = "f
     return rows.mapInPandas(run, schema)
 
 
+PIVOTS = 64
+SEEDS = 2048
+
+
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-8)
+
+
+def seed_rows(refs: DataFrame, keys: list[str], id_col: str, f: str = "f") -> tuple[list[tuple], np.ndarray]:
+    """(keys, unit vectors) of SEEDS rows of ``refs`` in seeded hash order, for the driver; the first PIVOTS serve as pivots."""
+    rows = hash_sample(refs.select(*keys, id_col, f), SEEDS, "pivot", [id_col, *keys]).collect()
+    vectors = unit_rows(np.asarray([r[f] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 0))
+    chain, left = [], list(range(min(PIVOTS, len(rows))))
+    while left:  # pivots in a chain of like directions, so that rows of neighbouring pivots are alike
+        near = left if not chain else sorted(left, key=lambda i: -float(vectors[i] @ vectors[chain[-1]]))
+        chain.append(near[0])
+        left.remove(near[0])
+    order = [*chain, *range(len(chain), len(rows))]
+    return [tuple(rows[i][c] for c in keys) for i in order], vectors[order]
+
+
+def _block_cuts(pivots: np.ndarray, size: int) -> list[int]:
+    """Where blocks of sorted rows begin: after ``size`` rows, or at a new pivot once a quarter of that is in."""
+    cuts, begin = [0], 0
+    for at in [*np.flatnonzero(np.diff(pivots) != 0) + 1, len(pivots)]:
+        while at - begin > size:
+            begin += size
+            cuts.append(begin)
+        if at - begin >= max(1, size // 4) and at < len(pivots):
+            begin = int(at)
+            cuts.append(begin)
+    return [*cuts, len(pivots)]
+
+
+def pack_near(df: DataFrame, keys: list[str], id_col: str, code_col: str, seeds, k: int = 0, f: str = "f") -> DataFrame:
+    """As ``pack`` with unit vectors, in blocks of like directions: (..., centre, radius, floor).
+
+    Rows are dealt by range over (keys, nearest pivot, id), so blocks hold one pivot's rows, or a few small pivots',
+    and no pivot is one task's. ``centre`` is the mean direction, ``radius`` the widest angle to it. With ``k``, ``floor`` is a similarity that
+    the k-th neighbour of every row of the block reaches at least: its k-th best among the key's seeds, -2 if they are fewer.
+    """
+    names, vectors = seeds.value
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], "block bigint, n int, ids binary, codes binary, mat binary, centre binary, radius double, floor double"])
+
+    @F.pandas_udf("int")
+    def nearest(column: pd.Series) -> pd.Series:
+        pivots = seeds.value[1][:PIVOTS]
+        return pd.Series((unit_rows(matrix(column)) @ pivots.T).argmax(axis=1) if len(pivots) and len(column) else np.zeros(len(column), int))
+
+    rows = df.select(*keys, F.col(id_col).cast("bigint").alias("_id"), F.col(code_col).cast("bigint").alias("_code"), F.col(f).alias("_f"))
+    order = [*keys, "_pivot", "_id"]
+    dealt = rows.withColumn("_pivot", nearest("_f")).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        serial = TaskContext.get().partitionId() << 32
+        own_names, own = seeds.value
+        of_key = {}
+        for i, name in enumerate(own_names):
+            of_key.setdefault(name, []).append(i)
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]:
+                cuts = _block_cuts(part["_pivot"].to_numpy(), BLOCK)
+                for at, end in zip(cuts, cuts[1:]):
+                    some = part.iloc[at:end]
+                    m = unit_rows(matrix(some["_f"]))
+                    centre = m.mean(axis=0)
+                    centre = centre / (np.linalg.norm(centre) + 1e-30)
+                    floor, mine = -2.0, of_key.get(tuple(key), [])
+                    if 0 < k <= len(mine):
+                        floor = float(np.partition(m @ own[mine].T, -k, axis=1)[:, -k].min())
+                    out = {c: [v] for c, v in zip(keys, key)}
+                    out |= {"block": [serial], "n": [len(some)], "ids": [some["_id"].to_numpy(np.int64).tobytes()],
+                            "codes": [some["_code"].to_numpy(np.int64).tobytes()], "mat": [m.tobytes()], "centre": [centre.tobytes()],
+                            "radius": [float(np.arccos(np.clip(m @ centre, -1, 1)).max())], "floor": [floor]}
+                    serial += 1
+                    yield pd.DataFrame(out)
+
+    return dealt.mapInPandas(run, schema)
+
+
+def best_possible(a: bytes, ra: float, b: bytes, rb: float) -> float:
+    """The greatest cosine between a vector within angle ``ra`` of direction ``a`` and one within ``rb`` of ``b``."""
+    apart = np.arccos(np.clip(np.frombuffer(a) @ np.frombuffer(b), -1, 1)) - ra - rb
+    return float(np.cos(max(apart, 0.0)))
+
+
 def block_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Every (left, right) block pair of a key, spread over a grid; columns get ``_l`` / ``_r`` suffixes."""
     shards = max(1, math.isqrt(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     home = F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int")
-    names = ["block", "n", "ids", "codes", "mat"]
+    names = [c for c in left.columns if c not in keys]
     side = lambda df, s, own, other: df.select(
         *keys, *[F.col(c).alias(c + s) for c in names], home.alias(own)).withColumn(other, every)
     return side(left, "_l", "_gl", "_gr").join(side(right, "_r", "_gr", "_gl"), [*keys, "_gl", "_gr"])

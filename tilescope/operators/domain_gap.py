@@ -20,7 +20,7 @@ from tilescope.operators.blocks import block_pairs, matrix, pack, unpack
 from tilescope.operators.embedding import standardize, vector_stats
 from tilescope.operators.fit import few_partitions
 from tilescope.operators.ordering import hash_rank, hash_sample
-from tilescope.session import small_side
+from tilescope.session import cut_lineage, small_side
 
 #: Rows whose pairwise distances give the median bandwidth, a heuristic constant of the kernel.
 BANDWIDTH_ROWS = 2000
@@ -73,13 +73,66 @@ def _median_gamma(x: np.ndarray) -> float:
     return 1.0 / float(np.median(d)) if d.size else 1.0
 
 
-def median_gamma(sample: DataFrame, seed, id_col: str, f: str = "f", max_rows: int = BANDWIDTH_ROWS) -> DataFrame:
-    """1 / median positive squared distance over at most ``max_rows`` seeded rows: one bounded group."""
+def median_gamma(sample: DataFrame, seed, id_col: str, f: str = "f", max_rows: int | None = BANDWIDTH_ROWS) -> DataFrame:
+    """1 / median positive squared distance over at most ``max_rows`` seeded rows, one bounded group; over all rows if it is None."""
+    if max_rows is None:
+        return sample.sparkSession.range(1).select(F.lit(exact_median_gamma(sample, id_col, f)).alias("gamma"))
     rows = hash_sample(sample, max_rows, seed, [id_col]).select(f).withColumn("_all", F.lit(1))
     return rows.groupBy("_all").applyInPandas(
         lambda pdf: pd.DataFrame({"gamma": [_median_gamma(_finite(matrix(pdf[f])))]}), "gamma double")
 
 
+def _ranked_distances(pairs: DataFrame, ranks: list[int] | None) -> tuple[int, list[float]]:
+    """(number of positive squared distances over all block pairs, those at the 0-based ``ranks``, by default the middle two).
+
+    Exact selection by radix: positive doubles order like their bits, so each of four passes counts the next 16 bits
+    of the distances that agree with what is known so far, and picks each rank's. A pass sends at most 65,536 counts for each
+    rank; distances are never stored.
+    """
+    known: list[tuple[int, int]] = []  # (leading bits, rank left) of each wanted distance
+    total = 0
+    for shift in (48, 32, 16, 0):
+        prefixes = sorted({p for p, _ in known})
+
+        def run(batches, shift=shift, prefixes=prefixes):
+            acc: dict = {}
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    _, _, x = unpack(r.n_l, r.ids_l, r.codes_l, r.mat_l)
+                    _, _, y = unpack(r.n_r, r.ids_r, r.codes_r, r.mat_r)
+                    d2 = _squared_distances(_finite(x), _finite(y)).ravel()
+                    bits = d2[d2 > 0].view(np.int64)
+                    for p in prefixes or [None]:
+                        some = bits if p is None else bits[bits >> (shift + 16) == p]
+                        n = np.bincount((some >> shift) & 0xFFFF, minlength=1 << 16)
+                        acc[p] = acc.get(p, 0) + n
+            for p, n in acc.items():
+                at = np.flatnonzero(n)
+                yield pd.DataFrame({"prefix": np.full(len(at), -1 if p is None else p), "digit": at, "n": n[at]})
+
+        counts = pairs.mapInPandas(run, "prefix bigint, digit bigint, n bigint").groupBy("prefix", "digit").agg(F.sum("n").alias("n")).toPandas()
+        if not known:
+            total = int(counts["n"].sum())
+            if not total:
+                return 0, []
+            known = [(-1, r) for r in (ranks if ranks is not None else [(total - 1) // 2, total // 2])]
+        found = []
+        for p, rank in known:
+            own = counts[counts["prefix"] == p].sort_values("digit")
+            upto = own["n"].cumsum().to_numpy()
+            k = int(np.searchsorted(upto, rank, side="right"))
+            found.append((max(p, 0) << 16 | int(own["digit"].iloc[k]), rank - (int(upto[k - 1]) if k else 0)))
+        known = found
+    return total, [float(np.array([p], np.int64).view(np.float64)[0]) for p, _ in known]
+
+
+def exact_median_gamma(df: DataFrame, id_col: str, f: str = "f") -> float:
+    """1 / median positive squared distance over all pairs of rows, 1 if no two differ. No sample, nothing quadratic is kept."""
+    packed = cut_lineage(pack(df.withColumn("_none", F.lit(0)), [], id_col, "_none", f))
+    total, middle = _ranked_distances(block_pairs(packed, packed, []), None)
+    return 1.0 / (sum(middle) / 2) if total else 1.0
+
+
 def kernel_sums(df: DataFrame, gamma: DataFrame, group: str, id_col: str, f: str = "f") -> DataFrame:
     """Sums of the RBF kernel over all ordered row pairs by group pair: (group_a, group_b, total).
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilescope.functions.scalars import as_doubles, bind, dot, is_finite, l2norm
-from tilescope.operators.blocks import block_pairs, matrix, pack, unpack
-from tilescope.session import small_side
+from tilescope.operators.blocks import best_possible, block_pairs, matrix, pack, pack_near, seed_rows, unpack
+from tilescope.session import cut_lineage, small_side
 
 OPEN_BLOCKS = 32
 
@@ -27,16 +27,19 @@ def check_k(k) -> int:
 
 
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "vec_id", label: str = "label",
-             keys: list[str] = ()) -> DataFrame:
+             keys: list[str] = (), skipped=None) -> DataFrame:
     """Exact top-k cosine neighbours: (keys, id, ref_id, ref_label, sim, rank).
 
-    Similarities are rounded to 12 decimals and ties go to the lowest reference id. Each task keeps
-    k candidates per query over all blocks it meets; a window with a group limit merges tasks.
+    Similarities are rounded to 12 decimals and ties go to the lowest reference id. Blocks hold vectors of like
+    directions; each task keeps k candidates per query over the blocks it meets, and skips a block whose best possible
+    similarity is below what the k-th neighbour of every query of the block is known to reach. A window with a group
+    limit merges tasks. ``skipped``, an accumulator pair (all, skipped), counts block pairs.
     """
     check_k(k)
     keys = list(keys)
     kinds = dict(queries.dtypes)
-    pairs = block_pairs(pack(queries, keys, id_col, label, unit=True), pack(refs, keys, id_col, label, unit=True), keys)
+    seeds = queries.sparkSession.sparkContext.broadcast(seed_rows(refs, keys, id_col))  # SEEDS vectors
+    pairs = block_pairs(pack_near(queries, keys, id_col, label, seeds, k), pack_near(refs, keys, id_col, label, seeds), keys)
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], f"{id_col} bigint, ref_id bigint, ref_label bigint, sim double"])
 
     def best_rows(sims, ids, codes):
@@ -61,6 +64,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "vec_id"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_blocks: dict = {}
+        floors: dict = {}
 
         def flush(name):
             key, query_ids, state = open_blocks.pop(name)
@@ -70,9 +74,18 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "vec_id"
 
         for pdf in batches:
             for r in pdf.itertuples(index=False):
+                name = (r.block_l, *[getattr(r, c) for c in keys])
+                floor = max(r.floor_l, floors.get(name, -2.0))
+                skip = best_possible(r.centre_l, r.radius_l, r.centre_r, r.radius_r) < floor - 1e-7  # more than rounding, and than the norms' distance from 1
+                if skipped is not None:
+                    skipped[0].add(1)
+                    skipped[1].add(int(skip))
+                if skip:
+                    continue
                 qi, _, qm = unpack(r.n_l, r.ids_l, r.codes_l, r.mat_l)
                 ri, rc, rm = unpack(r.n_r, r.ids_r, r.codes_r, r.mat_r)
-                name = (r.block_l, *[getattr(r, c) for c in keys])
+                order = np.argsort(ri)
+                ri, rc, rm = ri[order], rc[order], rm[order]
                 if name not in open_blocks:
                     if len(open_blocks) >= OPEN_BLOCKS:
                         yield flush(next(iter(open_blocks)))
@@ -81,6 +94,9 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "vec_id"
                 state.append(best_rows(np.round(qm @ rm.T, 12), ri, rc))
                 if len(state) > 8:
                     state[:] = trim(state)
+                    row, sim = state[0][:2]
+                    if len(row) == k * len(qi):  # every query has k: the least of their k-th
+                        floors[name] = float(sim[k - 1::k].min())
         for name in list(open_blocks):
             yield flush(name)
 
@@ -164,32 +180,54 @@ def silhouette(df: DataFrame, f: str = "f", label: str = "label") -> DataFrame:
 
 # ---- covariance alignment -----------------------------------------------------------------------
 
+#: Columns of a Gram matrix that travel together, and the bytes of matrices a task holds before it hands them on.
+GRAM_COLUMNS = 128
+GRAM_BYTES = 64 << 20
+
+
 def covariance_rows(df: DataFrame, keys: list[str], f: str = "f") -> DataFrame:
-    """Sample covariance as rows (keys, i, cov array).
+    """Sample covariance as rows (keys, i, cov array); NULL entries for a key of one row.
 
-    Tasks add centred outer products in NumPy and emit d rows each; Summarizer adds those on the JVM.
+    One pass: tasks add products of rows less one common vector, a row of the data, and hand them on in pieces of GRAM_COLUMNS
+    columns keyed by (key, row, first column), with the sums of the rows; Spark adds those. The covariance is the products less those of
+    the sums, divided by n - 1. No mean has to be known before, and a task holds GRAM_BYTES of matrices or one of them.
     """
-    st = vector_stats(df, keys, f)
-    means = {tuple(r[k] for k in keys): np.asarray(r["mean"]) for r in st.select(*keys, "mean").collect()}  # one vector per key
+    keys = list(keys)
     kinds = dict(df.dtypes)
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "i int, part array<double>"])
+    one = df.select(f).first()
+    if one is None:
+        return df.select(*keys, F.lit(0).alias("i"), F.array().cast("array<double>").alias("cov")).where("false")
+    common = np.asarray(one[f], dtype=np.float64)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "i int, at int, n bigint, part array<double>"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict = {}
+
+        def hand_on():
+            for key, (n, sums, gram) in acc.items():
+                rows = np.concatenate([sums[None], gram])  # row -1 holds the sums
+                for at in range(0, len(sums), GRAM_COLUMNS):
+                    yield pd.DataFrame({**{k: [v] * len(rows) for k, v in zip(keys, key)}, "i": np.arange(-1, len(gram)), "at": at, "n": n, "part": list(rows[:, at:at + GRAM_COLUMNS])})
+            acc.clear()
+
         for pdf in batches:
             for key, rows in (pdf.groupby(keys, sort=False) if keys else [((), pdf)]):
-                x = matrix(rows[f]) - means[tuple(key)]
-                acc[tuple(key)] = acc.get(tuple(key), 0.0) + x.T @ x
-        for key, g in acc.items():
-            yield pd.DataFrame({**{k: [v] * len(g) for k, v in zip(keys, key)}, "i": np.arange(len(g)), "part": list(g)})
-
-    total = (df.select(*keys, f).mapInPandas(run, schema).groupBy(*keys, "i")
-             .agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("_g")))
-    if keys:
-        total = total.join(st.select(*keys, "n"), keys)
-    else:
-        total = total.withColumn("n", st.select("n").scalar())
-    return total.select(*keys, "i", F.transform("_g", lambda v: v / (F.col("n") - 1)).alias("cov"))
+                x = matrix(rows[f]) - common
+                n, sums, gram = acc.get(tuple(key), (0, 0.0, 0.0))
+                acc[tuple(key)] = n + len(x), sums + x.sum(axis=0), gram + x.T @ x
+                if len(acc) * common.nbytes * len(common) > GRAM_BYTES:
+                    yield from hand_on()
+        yield from hand_on()
+
+    added = Summarizer.sum(array_to_vector("part"))
+    total = cut_lineage(df.select(*keys, f).mapInPandas(run, schema).groupBy(*keys, "i", "at").agg(F.sum("n").alias("n"), vector_to_array(added).alias("part")))
+    whole = lambda rows, by: rows.groupBy(*by).agg(F.first("n").alias("n"), F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"])).alias("row"))
+    sums = whole(total.where("i < 0"), keys).select(*keys, F.col("row").alias("_s"))
+    rows = whole(total.where("i >= 0"), [*keys, "i"])
+    rows = rows.join(sums, keys) if keys else rows.withColumn("_s", sums.scalar())
+    own = F.element_at("_s", F.col("i") + 1)
+    return rows.select(*keys, "i", F.zip_with("row", "_s", lambda g, s: F.try_divide(g - own * s / F.col("n"), (F.col("n") - 1).cast("double"))).alias("cov"))
 
 
 @dataclass(frozen=True)

@@ -1,23 +1,26 @@
-"""Distance joins, raster sampling and spatial folds, without cross joins.
+"""Distance joins and spatial folds, without cross joins.
 
 Points live in cubes of a 3-D grid on the unit sphere, so poles and the date line need no special
 case: a great-circle distance d is a chord 2 sin(d / 2R), and two points closer than that are in
-neighbouring cubes of that edge. Right-side points are packed into blocks of at most BLOCK rows; a
-join emits (left row, block), never point pairs.
+neighbouring cubes of that edge. Occupied cubes decide for all their rows where they can, and split where they
+cannot; right-side points are packed into blocks of about BLOCK rows, and a join emits (left row, block), never point pairs.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilescope.functions.scalars import SPHERE_RADIUS_M, haversine, in_holdout, is_finite, sector, sector_role
+from tilescope.functions.scalars import SPHERE_RADIUS_M, haversine, in_holdout, sector, sector_role
 from tilescope.session import cut_lineage
 
 BLOCK = 1024
+#: Blocks of a group's points that a row may have to meet before cells are split once more, and how often they may be.
+FEW, LEVELS = 3, 12
 CROWD = 512
 
 
@@ -48,27 +51,52 @@ def _chord(distance_m: float, radius: float) -> float:
     return max(2.0 * math.sin(min(distance_m / radius, math.pi) / 2.0) * (1 + 1e-9), 1e-12)
 
 
+def _cover(left: DataFrame, right: DataFrame, group: str, edge: float) -> tuple[list[tuple[float, DataFrame]], float, DataFrame]:
+    """Cells of ``left`` settled as a whole, (cell edge, (cube, group)) for each level, and what is left: (edge, (cube, group, b, n)).
+
+    Occupied cells meet occupied cells, rows do not take part. A pair of cells whose farthest corners are nearer
+    than ``edge`` settles the left cell for the group; one whose nearest corners are not is dropped; the others are
+    split into cells of half the edge, as long as some left cell still has more than FEW blocks of points to look at.
+    """
+    cell = edge
+    pairs = (left.select(_cube(cell).alias("_home")).distinct().withColumn("b", F.explode(_around("_home")))
+             .join(right.groupBy(group, _cube(cell).alias("b")).agg(F.count(F.lit(1)).alias("n")), "b").select(F.col("_home").alias("cube"), group, "b", "n"))
+    settled = []
+    for level in range(LEVELS):
+        apart = [F.abs(F.col(f"cube.{c}") - F.col(f"b.{c}")).cast("double") for c in "xyz"]
+        far, near = (sum((F.greatest(o + step, F.lit(0.0)) * F.greatest(o + step, F.lit(0.0)) for o in apart), F.lit(0.0)) * cell**2 for step in (1, -1))
+        judged = cut_lineage(pairs.withColumn("_in", far < edge**2 * (1 - 1e-9)).where(near < edge**2 * (1 + 1e-9)))
+        sure = judged.where("_in").select("cube", group).distinct()
+        settled.append((cell, sure))
+        open_pairs = judged.join(sure, ["cube", group], "left_anti").drop("_in")
+        most = open_pairs.groupBy("cube", group).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= FEW * BLOCK or level == LEVELS - 1:
+            return settled, cell, open_pairs
+        cell /= 2
+        half = lambda c: F.struct(*[F.floor(F.col(f"{c}.{x}") / 2).cast("int").alias(x) for x in "xyz"])
+        mine = left.select(_cube(cell).alias("_a")).distinct().withColumn("cube", half("_a"))
+        other = right.groupBy(group, _cube(cell).alias("_b")).agg(F.count(F.lit(1)).alias("n")).withColumn("b", half("_b"))
+        pairs = open_pairs.drop("n").join(mine, "cube").join(other, [group, "b"]).select(F.col("_a").alias("cube"), group, F.col("_b").alias("b"), "n")
+
+
 def near_groups(left: DataFrame, right: DataFrame, group: str, distance_m: float,
                 radius: float = SPHERE_RADIUS_M) -> DataFrame:
     """(tile_id, group) for every right group with a point strictly nearer than ``distance_m``.
 
-    A left row in the same fine cube as a group's point is settled by an equi-join on distinct
-    cubes, so crowded places never compare points; only the rest looks at blocks, and stops at the
-    first hit inside a block.
+    Cells decide first, at the coarsest level that can (``_cover``); only rows of cells at a group's rim meet its
+    points, those of their cell's open partners, packed into blocks: a row is joined once for each block, and
+    stops at the first hit inside one.
     """
     edge = _chord(distance_m, radius)
-    fine = edge / math.sqrt(3.0) * (1 - 1e-6)
     l = left.select("tile_id", "lat", "lon")
-    r = right.select(group, "lat", "lon").withColumn("_row", F.monotonically_increasing_id())
-    sure = (l.withColumn("cube", _cube(fine)).join(
-        r.withColumn("cube", _cube(fine)).select("cube", group).distinct(), "cube").select("tile_id", group))
-    coarse = r.withColumn("cube", _cube(edge))
-    looking = l.withColumn("_home", _cube(edge)).withColumn("cube", F.explode(_around("_home"))).drop("_home")
-    open_pairs = looking.join(coarse.select("cube", group).distinct(), "cube").join(
-        sure, ["tile_id", group], "left_anti")
+    r = right.select(group, "lat", "lon")
+    settled, cell, open_pairs = _cover(l, r, group, edge)
+    sure = [l.withColumn("cube", _cube(size)).join(cubes, "cube").select("tile_id", group) for size, cubes in settled]
+    points = open_pairs.select("cube", group, "b").join(r.withColumn("b", _cube(cell)), [group, "b"]).drop("b").distinct()
+    blocks = _blocks(points.withColumn("_row", F.lit(0)), ["cube", group])
     hit = F.exists("block", lambda p: haversine(F.col("lat"), F.col("lon"), p["lat"], p["lon"], radius) < distance_m)
-    found = open_pairs.join(_blocks(coarse, ["cube", group]), ["cube", group]).where(hit).select("tile_id", group)
-    return sure.unionByName(found).distinct()
+    found = l.withColumn("cube", _cube(cell)).join(blocks, "cube").where(hit).select("tile_id", group)
+    return reduce(DataFrame.unionByName, [found, *sure]).distinct()
 
 
 def within(left: DataFrame, right: DataFrame, distance_m: float, radius: float = SPHERE_RADIUS_M) -> DataFrame:
@@ -166,65 +194,6 @@ def apply_buffers(points: DataFrame, role: str, gap_m: float, radius: float = SP
     return rows.withColumn("reason", reason).drop("near")
 
 
-# ---- rasters -----------------------------------------------------------------------------------
-
-def sample_bilinear(points: DataFrame, raster: DataFrame, lon0: float, lat0: float, dlon: Column, dlat: Column,
-                    width: Column, height: Column, bands: int) -> DataFrame:
-    """(tile_id, band, value) where every positive-weight neighbour is valid in every band.
-
-    Pixel-centre convention, both longitude candidates, near-integers snap, no renormalising.
-    ``raster`` is (r, c, band, v, valid).
-    """
-    lon360 = F.pmod("lon", F.lit(360.0))
-    inside = lambda x: (x >= lon0) & (x <= F.lit(lon0) + dlon * width)
-    x = F.when(inside(lon360), lon360).when(inside(lon360 - 360.0), lon360 - 360.0)
-    snap = lambda v: F.when(F.abs(v - F.rint(v)) <= 1e-9, F.rint(v)).otherwise(v)
-    p = points.where(is_finite("lat") & is_finite("lon") & F.col("lat").between(-90.0, 90.0))
-    p = p.select("tile_id", snap((x - lon0) / dlon - 0.5).alias("_c"), snap((lat0 - F.col("lat")) / dlat - 0.5).alias("_r"))
-    p = p.where((F.col("_r") >= 0) & (F.col("_r") <= height - 1) & (F.col("_c") >= 0) & (F.col("_c") <= width - 1))
-    r0, c0 = F.floor("_r"), F.floor("_c")
-    dr, dc = F.col("_r") - r0, F.col("_c") - c0
-    corner = lambda r, c, w: F.struct(r.alias("r"), c.alias("c"), w.alias("w"))
-    four = F.array(corner(r0, c0, (1 - dr) * (1 - dc)), corner(r0, c0 + 1, (1 - dr) * dc),
-                   corner(r0 + 1, c0, dr * (1 - dc)), corner(r0 + 1, c0 + 1, dr * dc))
-    near = p.select("tile_id", F.filter(four, lambda s: s["w"] > 0).alias("_n"))
-    near = near.select("tile_id", (F.size("_n") * bands).alias("_need"), F.inline("_n"))
-    cells = raster.where("valid").select("r", "c", F.struct("band", "v").alias("_bv"))
-    j = near.join(cells, ["r", "c"])
-    band = F.array(*[F.struct(F.lit(b).alias("band"), F.sum(F.when(F.col("_bv.band") == b, F.col("w") * F.col("_bv.v"))).alias("value"))
-                     for b in range(bands)])
-    out = j.groupBy("tile_id").agg(F.count(F.lit(1)).alias("_got"), F.first("_need").alias("_need"), band.alias("_b"))
-    return out.where("_got = _need").select("tile_id", F.inline("_b"))
-
-
-def zonal_mode(tiles: DataFrame, labels: DataFrame, half: int, k: int, height: Column, width: Column) -> DataFrame:
-    """Modal class of the clamped window around each (row, col) centre; -1 and 0.0 when nothing is valid.
-
-    The label raster is packed into square blocks at least one window wide, so a window meets at
-    most nine of them; counts come out as K-element arrays, never as exploded cells.
-    """
-    side = max(2 * half, 8)
-    blocks = labels.where(F.col("code").between(0, k - 1)).groupBy(
-        F.floor(F.col("r") / side).alias("br"), F.floor(F.col("c") / side).alias("bc")).agg(
-        F.collect_list(F.struct("r", "c", "code")).alias("cells"))
-    win = tiles.select("tile_id", F.greatest(F.col("row") - half, F.lit(0)).alias("r0"),
-                       F.least(F.col("row") + half, height).alias("r1"),
-                       F.greatest(F.col("col") - half, F.lit(0)).alias("c0"),
-                       F.least(F.col("col") + half, width).alias("c1"))
-    span = lambda a, b: F.when(F.col(b) > F.col(a), F.sequence(F.floor(F.col(a) / side), F.floor((F.col(b) - 1) / side)))
-    meets = win.withColumn("br", F.explode(span("r0", "r1"))).withColumn("bc", F.explode(span("c0", "c1")))
-    inside = F.filter("cells", lambda s: (s["r"] >= F.col("r0")) & (s["r"] < F.col("r1")) &
-                      (s["c"] >= F.col("c0")) & (s["c"] < F.col("c1")))
-    hit = meets.join(blocks, ["br", "bc"]).select("tile_id", F.transform(inside, lambda s: s["code"]).alias("codes"))
-    count = lambda c: F.sum(F.size(F.filter("codes", lambda v: v == c)))
-    sums = hit.groupBy("tile_id").agg(F.array(*[count(c) for c in range(k)]).alias("n"))
-    total = F.aggregate("n", F.lit(0).cast("bigint"), lambda s, x: s + x)
-    out = tiles.select("tile_id").join(sums, "tile_id", "left").withColumn("_t", F.coalesce(total, F.lit(0)))
-    return out.select("tile_id", F.when(F.col("_t") > 0, F.array_position("n", F.array_max("n")) - 1).otherwise(-1)
-                      .cast("int").alias("label"),
-                      F.when(F.col("_t") > 0, F.round(F.try_divide(F.array_max("n"), F.col("_t")), 4)).otherwise(0.0).alias("confidence"))
-
-
 # ---- balanced block folds ---------------------------------------------------------------------------
 
 MAX_BLOCKS = 100_000

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilescope.operators.ordering import hash_rank
+from tilescope.operators.ordering import hash_first, hash_rank
 from tilescope.operators.quality import assert_empty, check_coverage
 from tilescope.session import small_side
 
@@ -59,15 +59,15 @@ def replacement_draw(eligible: DataFrame, boundary: DataFrame, draws: int, label
                      key: str = "tile_id") -> DataFrame:
     """Per draw, as many eligible IDs of each class as the boundary set adds: (draw, key, label).
 
-    Ranks are in seeded md5 order, cut into even md5 buckets, so a dominant class stays spread out.
+    Those first in the draw's seeded md5 order, by ``hash_first``: no draw ranks the rows it does not take.
     """
     need = boundary.groupBy(label).agg(F.count(F.lit(1)).alias("_need"))
     have = eligible.groupBy(label).agg(F.count(F.lit(1)).alias("_have"))
     short = need.join(have, label, "left").where(F.coalesce("_have", F.lit(0)) < F.col("_need"))
     assert_empty(short, "too few eligible rows in a class")  # K rows; a lazy check could be optimised away
     pool = eligible.select(key, label).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    ranked = hash_rank(pool, ["draw", label], F.col("draw").cast("string"), [key])
-    return ranked.join(small_side(need.select(label, "_need")), label).where("rank <= _need").select("draw", key, label)
+    quota = need.select(label, F.col("_need").alias("_quota"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    return hash_first(pool, ["draw", label], quota, F.col("draw").cast("string"), [key]).select("draw", key, label)
 
 
 def leave_one_group_out(df: DataFrame, group: str, product: str, groups: list, val_share: float,

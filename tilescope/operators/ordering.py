@@ -1,58 +1,36 @@
 """Ordered computations that keep no group in one task: running totals, exact quantiles, seeded ranks.
 
-A plain window over a key sorts that key's whole group in one task. Here each key is first cut
-into order-preserving buckets, bucket totals give offsets, and windows run inside buckets only.
+A plain window over a key sorts that key's whole group in one task. Here rows are dealt to range
+partitions by key and order, so that a key's rows lie in consecutive partitions, however many it
+has; totals per key and partition give offsets, and windows run inside partitions only.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilescope.functions.scalars import seeded_hash
 from tilescope.session import cut_lineage, small_side
 
-_STEP = 32
-ROWS_PER_BUCKET = 200_000
+
+def ranged(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
+    """``df`` sorted into range partitions by ``keys``, then ``order``, evaluated once and kept; ``_b`` numbers the partitions.
+
+    Rows equal in all of these share a partition; no other rows have to. Results must not depend on where the cuts lie.
+    """
+    return cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_b", F.spark_partition_id()))
 
 
 def bucketed(df: DataFrame, keys: list[str], order: str, sums: list[str],
              descending: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows with ``_b``, one row per (keys, _b) with totals ``_t_*`` and exclusive offsets ``_o_*``).
 
-    The counted rows say how many buckets each key is cut into, as if all rows were one key's. Cut
-    points are approximate quantiles, checkpointed so that every branch and any re-run task use the
-    same ones; results do not depend on where the cuts lie. Offsets (keys x buckets rows) are
-    checkpointed too, as several branches read them.
+    A key has a row for each partition it touches, all keys together as many as there are keys and partitions.
     """
-    n = max(2, math.ceil(df.count() / ROWS_PER_BUCKET))
-    cuts = small_side(
-        df.groupBy(*keys).agg(F.sort_array(F.array_distinct(F.percentile_approx(
-            order, [i / n for i in range(1, n)], F.lit(max(10_000, 10 * n))))).alias("_cuts"))
-        .withColumn("_coarse", F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("_cuts"), F.lit(1)), F.lit(_STEP)),
-            lambda i: F.try_element_at("_cuts", i))))
-    if keys:
-        rows = df.join(cuts, keys)
-    else:
-        one = cuts.first()
-        if one is None or one["_cuts"] is None:
-            rows = df.withColumn("_cuts", F.array(F.lit(0.0))).withColumn("_coarse", F.array(F.lit(0.0)))
-        else:
-            rows = (df.withColumn("_cuts", F.array(*[F.lit(v) for v in one["_cuts"]]))
-                    .withColumn("_coarse", F.array(*[F.lit(v) for v in one["_coarse"]])))
-    value = F.col(order)
-    group = F.size(F.filter("_coarse", lambda s: s < value))
-    first = F.greatest(group - 1, F.lit(0)) * _STEP
-    inside = F.size(F.filter(F.slice("_cuts", first + 1, F.lit(_STEP)), lambda s: s < value))
-    # never NULL, so joins on it add no filter that would evaluate it twice
-    rows = rows.withColumn("_b", F.coalesce(first + inside, F.lit(0))).drop("_cuts", "_coarse")
-    by = [*keys, "_b"]
-    totals = rows.groupBy(*by).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    edge = F.col("_b").desc() if descending else F.col("_b").asc()
-    before = Window.partitionBy(*keys).orderBy(edge).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged(df, keys, F.desc(order) if descending else F.asc(order))
+    totals = rows.groupBy(*keys, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = totals.select("*", *[
         F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums], *[
@@ -120,57 +98,82 @@ def values_near_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[f
     return both.select(*keys, "q", "mark", F.explode("_vs").alias(value))
 
 
-def hash_rank(df: DataFrame, keys: list[str], seed, ids: list[str], out: str = "rank",
-              digits: int = 3) -> DataFrame:
-    """1-based rank in seeded md5 order within keys; md5 prefixes are even buckets for any key."""
-    h = df.withColumn("_h", seeded_hash(seed, *ids)).withColumn(
-        "_b", F.substring("_h", 1, digits))
+def hash_rank(df: DataFrame, keys: list[str], seed, ids: list[str], out: str = "rank") -> DataFrame:
+    """1-based rank in seeded md5 order within keys, over range partitions of that order."""
+    rows = ranged(df.withColumn("_h", seeded_hash(seed, *ids)), keys, "_h", *ids)
     by = [*keys, "_b"]
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (h.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = (rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
                .select(*by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o")))
     inside = Window.partitionBy(*by).orderBy("_h", *ids)
-    return (h.join(offsets, by)
+    return (rows.join(offsets, by)
             .withColumn(out, (F.row_number().over(inside) + F.col("_o")).cast("bigint"))
             .drop("_h", "_b", "_o"))
 
 
-def hash_sample(df: DataFrame, n: int, seed, ids: list[str], keys: list[str] = ()) -> DataFrame:
-    """Fixed-size sample without replacement, per key when keys are given.
+#: Hash digits counted at a time, and the rows of a key that may be ranked at once.
+DIGITS = 3
+RANKED = 10_000
+
+
+def hash_first(df: DataFrame, keys: list[str], quota: DataFrame, seed, ids: list[str]) -> DataFrame:
+    """Of each key's rows, those with the ``_quota`` smallest seeded hashes; ``quota`` has a row per key (one, without keys).
 
-    The global form is a top-n. The keyed form first counts md5 prefixes per key and keeps only the
-    prefixes that can hold the first ``n`` hashes, exactly; what is left plans as a group limit before
-    the shuffle, so a hot key sorts and sends little more than ``n`` rows.
+    The hash at which a key's quota is reached is found from counts of its leading digits; where more than
+    RANKED rows share them, the next digits of those rows are counted, until few do. Rows above it go, and rows
+    below it stay, without being shuffled or ranked; only the few at it are ranked. A group's size does not matter.
     """
-    h = df.withColumn("_h", seeded_hash(seed, *ids))
-    if not keys:
-        return h.orderBy("_h", *ids).limit(n).drop("_h")
-    h = h.withColumn("_p", F.substring("_h", 1, 3))
-    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (h.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"))
-           .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-           .where(F.col("_before") < n).groupBy(*keys).agg(F.max("_p").alias("_cut")))
-    h = h.join(small_side(cut), list(keys)).where(F.col("_p") <= F.col("_cut")).drop("_p", "_cut")
+    rows = df.withColumn("_h", seeded_hash(seed, *ids))
+
+    def beside(cuts: DataFrame) -> DataFrame:
+        if keys:
+            return rows.join(small_side(cuts), keys)
+        one = cuts.first()
+        return rows.withColumns({c: F.lit(v) for c, v in one.asDict().items()}) if one else rows.where("false").withColumns({c: F.lit(None).cast(t) for c, t in cuts.dtypes})
+
+    cuts = quota.select(*keys, F.col("_quota").cast("bigint").alias("_quota"), F.lit("").alias("_cut"), F.lit(0).cast("bigint").alias("_below"))
+    for digits in range(DIGITS, 33, DIGITS):
+        counts = (beside(cuts).where(F.startswith("_h", F.col("_cut"))).groupBy(*keys, "_quota", "_below", F.substring("_h", 1, digits).alias("_cut"))
+                  .agg(F.count(F.lit(1)).alias("_n")))
+        earlier = Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+        reached = (counts.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+                   .where(F.col("_below") < F.col("_quota")).groupBy(*keys).agg(F.max_by(F.struct("_quota", "_cut", "_below", "_n"), "_cut").alias("_m")))
+        found = cut_lineage(reached.select(*keys, "_m.*"))
+        cuts = found.drop("_n")
+        if (found.agg(F.max("_n")).first()[0] or 0) <= RANKED:
+            break
+    near = cut_lineage(beside(cuts).where(F.substring("_h", F.lit(1), F.length("_cut")) <= F.col("_cut")))
+    at = F.startswith("_h", F.col("_cut"))
     w = Window.partitionBy(*keys).orderBy("_h", *ids)
-    return (h.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-            .select(*df.columns))
+    ranked = near.where(at).withColumn("_r", F.row_number().over(w) + F.col("_below")).where(F.col("_r") <= F.col("_quota"))
+    return near.where(~at).select(*df.columns).unionByName(ranked.select(*df.columns))
+
+
+def hash_sample(df: DataFrame, n: int, seed, ids: list[str], keys: list[str] = ()) -> DataFrame:
+    """Fixed-size sample without replacement, per key when keys are given: the ``n`` smallest seeded hashes.
+
+    A small one of all rows is a top-n; others go by ``hash_first``.
+    """
+    if not keys and n <= RANKED:
+        return df.withColumn("_h", seeded_hash(seed, *ids)).orderBy("_h", *ids).limit(n).drop("_h")
+    quota = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    return hash_first(df, list(keys), quota.withColumn("_quota", F.lit(n)), seed, ids)
 
 
 def with_previous(df: DataFrame, keys: list[str], order: str, cols: list[str],
                   descending: bool = False) -> DataFrame:
     """Add ``prev``: a struct of the preceding row's ``cols`` in key order, NULL on the first row.
 
-    Lag runs inside buckets; only each bucket's last row crosses bucket edges.
+    Lag runs inside partitions; only each partition's last row crosses their edges.
     """
-    rows, _ = bucketed(df.withColumn("_one", F.lit(1)), keys, order, ["_one"], descending)
+    edge = F.col(order).desc() if descending else F.col(order).asc()
+    rows = ranged(df, keys, edge)
     by = [*keys, "_b"]
     what = F.struct(*cols)
-    edge = F.col(order).desc() if descending else F.col(order).asc()
     last = F.min_by(what, order) if descending else F.max_by(what, order)
-    step = F.col("_b").desc() if descending else F.col("_b").asc()
     lasts = rows.groupBy(*by).agg(last.alias("_last"))
     lasts = lasts.select(*by, F.lag("_last").over(
-        Window.partitionBy(*keys).orderBy(step)).alias("_before"))
+        Window.partitionBy(*keys).orderBy("_b")).alias("_before"))
     inside = F.lag(what).over(Window.partitionBy(*by).orderBy(edge))
     return (rows.join(lasts, by).withColumn("prev", F.coalesce(inside, F.col("_before")))
-            .drop("_b", "_one", "_before"))
+            .drop("_b", "_before"))

@@ -193,31 +193,73 @@ def check_monotone(df: DataFrame, key: list[str], base: str, masked: str, known:
 #: Characters that end a token in operational text: white space, quotes, brackets and list separators.
 TOKEN_ENDS = "[ \\t\\n\\r\\f\"'`()\\[\\]{}<>,;=|]+"
 
+#: Marks that continue a name like a letter or digit does, so that a slash behind one belongs to it.
+NAME_MARKS = "_./~%+-"
+_NAME_CHAR = f"[\\p{{L}}\\p{{N}}{NAME_MARKS}]"
 
-URL = r"(?U)\b[A-Za-z][A-Za-z0-9+.-]*://[^\s<>\"'`]+"
-_NUMBER = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?"
-FRACTION = rf"(?U)(?<![\w./]){_NUMBER}\s*/\s*{_NUMBER}(?=$|\s|[,;)\]}}])"
-UNIX_PATH = r"(?U)(?<![\w./~%+-])/\S"
-DRIVE = r"(?U)(?<!\w)[A-Za-z]:\\"
-_IN_TOKEN = r"[^ \t\n\r\f\"'`()\[\]{}<>,;=|"
-HOST = rf"{_IN_TOKEN}]@{_IN_TOKEN}:]+:"
+
+def _any_joint(pieces: Column, found) -> Column:
+    """True if ``found(before, after, i, last)`` holds for pieces i - 1 and i of a text taken apart at a mark."""
+    last = F.size(pieces) - 1
+    return (last > 0) & F.exists(F.sequence(F.lit(0), last), lambda i: (i > 0) & found(F.get(pieces, i - 1), F.get(pieces, i), i, last))
+
+
+def _end(s: Column, back: int = 1) -> Column:
+    """The last character, or the one ``back`` places from the end; empty if there is none."""
+    return F.when(F.length(s) >= back, F.substring(s, -back, 1)).otherwise("")
+
+
+def _without_addresses(pieces: Column) -> Column:
+    """The text taken apart at ``://``, with a space for each address: its scheme and what follows up to white space, a quote or an angle bracket."""
+    def bare(piece, i):
+        rest = F.when(i == 0, piece).otherwise(F.coalesce(F.get(F.split(piece, "[\\s\"'`<>]", 2), F.lit(1)), F.lit("")))
+        return F.when(i == F.size(pieces) - 1, rest).otherwise(F.regexp_replace(rest, "[A-Za-z0-9+.-]+$", ""))
+    return F.array_join(F.transform(pieces, bare), " ")
+
+
+def _starts_path(before: Column, after: Column, i: Column, last: Column) -> Column:
+    """A slash is a path's first if no name ends before it and no white space follows, unless it divides two numbers.
+
+    It divides them if the last word before is a number, and not itself what another slash divides by, and so is the first word after.
+    """
+    free = F.when(before == "", i == 1).otherwise(~_end(before).rlike(_NAME_CHAR))
+    goes_on = F.when(after == "", i < last).otherwise(~F.substring(after, 1, 1).rlike("\\s"))
+    words = F.split(F.rtrim(before), "\\s+")
+    divided = F.try_element_at(words, F.lit(-1)).try_cast("double").isNotNull() & ((i == 1) | (F.size(words) > 1))
+    divisor = F.get(F.split(after, "[\\s,;)\\]}]", 2), F.lit(0)).try_cast("double").isNotNull()
+    return free & goes_on & ~(divided & divisor)
 
 
 def find_private(df: DataFrame, key: list[str], cols: list[str] | None = None) -> DataFrame:
     """(key, column, kind) for text columns that show an absolute path (``unix``), a drive path or user@host: (``drive_or_host``).
 
-    URLs are cut out first, then fractions of two numbers. Any character but a word's, ``. / ~ % + -`` may
-    stand before the slash, and any but white space after it. A drive is a letter that ends no word, a colon
-    and a backslash.
+    The text is taken apart at each mark, a slash, ``:`` with a backslash, or ``@``, and what stands before and after
+    decides. Addresses with a scheme are cut out first. Any character that cannot end a name may stand before a path's slash.
+    A drive is a letter that ends no word; user and host are not empty and hold no white space, quotes, brackets or list separators.
     """
     cols = cols or [f.name for f in df.schema.fields
                     if isinstance(f.dataType, T.StringType) and f.name not in key]
-    def shown(c):
-        bare = F.regexp_replace(F.coalesce(F.col(c), F.lit("")), URL, " ")
-        paths = F.regexp_replace(bare, FRACTION, " ")
-        kinds = F.array(F.when(paths.rlike(UNIX_PATH), F.lit("unix")), F.when(bare.rlike(DRIVE) | bare.rlike(HOST), F.lit("drive_or_host")))
-        return F.transform(F.array_compact(kinds), lambda k: F.struct(F.lit(c).alias("column"), k.alias("kind")))
-    return df.select(*key, F.inline(F.flatten(F.array(*[shown(c) for c in cols]))))
+    token = TOKEN_ENDS.rstrip("+")
+
+    def drive(before, after, i, last):
+        return _end(before).rlike("[A-Za-z]") & ~_end(before, 2).rlike("[\\p{L}\\p{N}_]")
+
+    def host(before, after, i, last):
+        name = F.get(F.split(after, token[:-1] + ":]", 2), F.lit(0))
+        return (before != "") & ~_end(before).rlike(token) & (name != "") & (F.substring(after, F.length(name) + 1, F.lit(1)) == ":")
+
+    # a step for each taking apart: a lambda that takes a text apart itself would do so for every piece
+    texts = [F.when(F.col(c).rlike("[/\\\\@]"), F.col(c)).otherwise("") for c in cols]
+    n = range(len(cols))
+    rows = df.select(*key, *[F.split(t, "://").alias(f"_u{k}") for k, t in zip(n, texts)])
+    rows = rows.select(*key, *[_without_addresses(F.col(f"_u{k}")).alias(f"_t{k}") for k in n])
+    rows = rows.select(*key, *[F.split(f"_t{k}", mark).alias(f"_{name}{k}") for k in n for name, mark in (("slash", "/"), ("drive", ":\\\\"), ("at", "@"))])
+
+    def shown(k, c):
+        kinds = F.array(F.when(_any_joint(F.col(f"_slash{k}"), _starts_path), F.lit("unix")),
+                        F.when(_any_joint(F.col(f"_drive{k}"), drive) | _any_joint(F.col(f"_at{k}"), host), F.lit("drive_or_host")))
+        return F.transform(F.array_compact(kinds), lambda kind: F.struct(F.lit(c).alias("column"), kind.alias("kind")))
+    return rows.select(*key, F.inline(F.flatten(F.array(*[shown(k, c) for k, c in enumerate(cols)]))))
 
 
 def check_geometry(df: DataFrame, key: str, ring: str = "ring") -> DataFrame:

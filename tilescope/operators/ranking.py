@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tilescope.functions.scalars import ratio
 from tilescope.operators.metrics import strict_avg, strict_sd
-from tilescope.operators.ordering import exact_quantiles, hash_rank, running_totals, values_near_quantiles
+from tilescope.operators.ordering import exact_quantiles, hash_first, hash_sample, running_totals, values_near_quantiles
 from tilescope.session import small_side
 
 
@@ -166,17 +166,16 @@ def quantile_picks(df: DataFrame, keys: list[str], value: str, item: str, qs: li
 def subsample_train(df: DataFrame, n: int, seed, ids: list[str], label: str | None = None) -> DataFrame:
     """Uniform, or class-stratified by largest remainder, training subset of size ``n``."""
     if label is None:
-        return hash_rank(df, [], seed, ids).where(F.col("rank") <= n).drop("rank")
+        return hash_sample(df, n, seed, ids)
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.select(F.sum("_n")).scalar()
     share = counts.withColumn("_s", F.try_divide(F.lit(n) * F.col("_n"), total.cast("double"))).withColumn(
         "_base", F.floor("_s"))
     spare = F.lit(n) - share.select(F.sum("_base")).scalar()
     by_rest = Window.orderBy(F.desc(F.col("_s") - F.col("_base")), label)  # one row per class
-    quota = small_side(share.withColumn("_extra", (F.row_number().over(by_rest) <= spare).cast("bigint")).select(
-        label, F.least(F.col("_base") + F.col("_extra"), F.col("_n")).alias("_quota")))
-    return (hash_rank(df, [label], seed, ids).join(quota, label)
-            .where(F.col("rank") <= F.col("_quota")).drop("rank", "_quota"))
+    quota = share.withColumn("_extra", (F.row_number().over(by_rest) <= spare).cast("bigint")).select(
+        label, F.least(F.col("_base") + F.col("_extra"), F.col("_n")).alias("_quota"))
+    return hash_first(df, [label], quota, seed, ids)
 
 
 def column_winners(summary: DataFrame, metric: str, value: str, digits: int = 2) -> DataFrame:

@@ -128,16 +128,6 @@ def metric_centres(rings: DataFrame, footprint_m: float, radius: float = SPHERE_
         "ring", "k", "lat", (F.col("_step") / 2 + F.col("k") * F.col("_step")).alias("lon"))
 
 
-def tile_raster(cells: DataFrame, size: int, height: Column, width: Column,
-                min_valid: float | None = None) -> DataFrame:
-    """Cut (r, c, v) cells into size x size tiles; partial edges drop out. A group holds one tile."""
-    whole = (F.col("r") < F.floor(height / size) * size) & (F.col("c") < F.floor(width / size) * size)
-    tiles = cells.where(whole).groupBy(F.floor(F.col("r") / size).alias("tr"), F.floor(F.col("c") / size).alias("tc")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("r", "c", "v"))), lambda s: s["v"]).alias("px"))
-    tiles = tiles.withColumn("valid_fraction", F.size(valid_pixels("px")) / F.lit(size * size))
-    return tiles if min_valid is None else tiles.where(F.col("valid_fraction") >= min_valid)
-
-
 def label_by_site(df: DataFrame, sites: DataFrame, key: str = "site") -> DataFrame:
     """Constant class per site; a row of an unknown site raises inside the job."""
     known = sites.select(key, F.struct(*[c for c in sites.columns if c != key]).alias("_site"))

@@ -127,9 +127,11 @@ def _(spark, sf):
     return one("biased").unionByName(one("unbiased"))
 
 
-@query("e06_median_bandwidth", KERNEL + f" SELECT {R('gamma')} FROM g")
+@query("e06_median_bandwidth", f"""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f FROM embeddings),
+p AS (SELECT pow(list_distance(a.f, b.f), 2) AS d2 FROM s a JOIN s b ON a.vec_id < b.vec_id)
+SELECT {R('1 / median(d2)', 'gamma')} FROM p WHERE d2 > 0""")
 def _(spark, sf):
-    return keyed(G.median_gamma(features(spark, sf), 0, "vec_id"), [], (), ["gamma"])
+    return keyed(G.median_gamma(features(spark, sf), 0, "vec_id", max_rows=None), [], (), ["gamma"])
 
 
 @query("e07_mmd_repeated", f"""WITH n AS (SELECT least(2000, min(c)) AS n FROM (SELECT count(*) AS c FROM embeddings GROUP BY vec_id % 2)),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilescope.functions import scalars as S
+from tilescope.session import new_scratch_path
 
 K = 6
 
@@ -199,3 +200,10 @@ def ranked_documents(spark, sf) -> DataFrame:
 
 RANKED = """ranked AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def written_runs(spark, runs) -> DataFrame:
+    """Raster runs (band, r, c0, v) written as a raster's Parquet files are, and read again."""
+    path = new_scratch_path(spark, "raster")
+    runs.select("band", "r", "c0", "v").write.parquet(path)
+    return spark.read.parquet(path)

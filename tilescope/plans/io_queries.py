@@ -18,6 +18,7 @@ from tilescope.functions.scalars import round6
 from tilescope.operators import embedding as E
 from tilescope.operators import quality as Q
 from tilescope.operators import tiles as T
+from tilescope.operators.rasters import cells_of
 from tilescope.plans.fixtures import (CELLS, COORD, ELEM, PIX, PRED, coordinates, features, fold_role, grids, predictions,
                                       table, tiles)
 from tilescope.plans.ranking_queries import CURVE, score_curve
@@ -144,8 +145,8 @@ def _(spark, sf):
     path = new_scratch_path(spark, "raster")
     v = F.transform("f", lambda x, i: F.when(i % 9 == 4, -99.0).otherwise(x.cast("double")))
     features(spark, sf).select(F.lit(0).alias("band"), F.col("vec_id").alias("r"), F.lit(0).cast("bigint").alias("c0"), v.alias("v")).write.parquet(path)
-    cells = readers.read_raster(spark, path, nodata=-99.0)
-    return cells.select("r", bi("c").alias("c"), bi("band").alias("band"), round6("v").alias("v"), "valid")
+    cells = cells_of(readers.read_raster(spark, path, side=16, nodata=-99.0), side=16)
+    return cells.select("r", "c", "band", round6("v").alias("v"), "valid")
 
 
 # a record is one run of 64 turns, so no record grows with its conversation

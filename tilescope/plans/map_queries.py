@@ -9,9 +9,10 @@ from tilescope.functions.scalars import as_bigint as bi
 from tilescope.operators import census as C
 from tilescope.operators import geo as G
 from tilescope.operators import quality as Q
+from tilescope.operators import rasters as X
 from tilescope.operators import tiles as T
 from tilescope.plans.fixtures import (CELLS, CENSUS, COORD, ELEM, MEMBERS, K, coordinates, features, fold_role, grids,
-                                      members, sql_haversine, table)
+                                      members, sql_haversine, table, written_runs)
 from tilescope.plans.registry import query
 from tilescope.plans.shape import B, R, keyed
 
@@ -206,16 +207,17 @@ hit AS (SELECT nb.tile_id, w, v FROM nb LEFT JOIN elem ON vec_id = rr AND elem.i
 
 
 def raster(spark, sf):
-    long = features(spark, sf).select(F.col("vec_id").alias("r"), F.posexplode(S.as_doubles("f")).alias("c", "v0"))
-    bands = F.array(F.struct(F.lit(0).alias("band"), F.col("v0").alias("v")), F.struct(F.lit(1).alias("band"), (F.col("v0") * 2 + 1).alias("v")))
-    return long.select("r", "c", (F.col("v0") > -0.2).alias("valid"), F.inline(bands))
+    shown = lambda band: F.transform(S.as_doubles("f"), lambda v: F.when(v > -0.2, v * 2 + 1 if band else v).otherwise(float("nan")))
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), shown(b).alias("v")) for b in (0, 1)])
+    return written_runs(spark, features(spark, sf).select(F.col("vec_id").alias("r"), F.lit(0).cast("bigint").alias("c0"), F.inline(bands)))
 
 
 @query("j10_bilinear_samples", RASTER + f""" SELECT tile_id, b AS band, {R('CASE b WHEN 0 THEN sum(w * v) ELSE sum(w * (v * 2 + 1)) END', 'value')}
 FROM hit CROSS JOIN range(2) t(b) GROUP BY tile_id, b HAVING count(v) = count(*)""")
 def _(spark, sf):
     height = F.lit(float(table(spark, sf, "embeddings").count()))
-    s = G.sample_bilinear(coordinates(spark, sf), raster(spark, sf), 0.0, 90.0, F.lit(5.625), F.lit(180.0) / height, F.lit(64), height, 2)
+    blocks = X.block_runs(raster(spark, sf), bands=2, side=16)
+    s = X.sample_bilinear(coordinates(spark, sf), blocks, 0.0, 90.0, F.lit(5.625), F.lit(180.0) / height, F.lit(64), height, 2, side=16)
     return keyed(s, ["tile_id", "band"], (), ["value"])
 
 
@@ -227,8 +229,8 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY n DESC, code)
 
 @query("j11_zonal_mode", ZONES + """ SELECT w.tile_id, coalesce(code, -1) AS label, coalesce(round(n / t, 4), 0) + 0.0 AS confidence FROM w LEFT JOIN rk ON rk.tile_id = w.tile_id AND rn = 1""")
 def _(spark, sf):
-    height = F.lit(table(spark, sf, "embeddings").count())
-    code = (F.pmod(F.floor(F.abs("v") * 1000), F.lit(8)) - 1).cast("int")
-    labels = features(spark, sf).select(F.col("vec_id").alias("r"), F.posexplode(S.as_doubles("f")).alias("c", "v")).withColumn("code", code)
+    height = table(spark, sf, "embeddings").count()
+    codes = F.transform(S.as_doubles("f"), lambda v: (F.pmod(F.floor(F.abs(v) * 1000), F.lit(8)) - 1).cast("double"))
+    labels = written_runs(spark, features(spark, sf).select(F.col("vec_id").alias("r"), F.lit(0).cast("bigint").alias("c0"), F.lit(0).alias("band"), codes.alias("v")))
     t = coordinates(spark, sf).withColumn("row", F.floor((90 - F.col("lat")) * height / 180.0)).withColumn("col", F.floor(F.col("lon") * 64 / 360.0))
-    return keyed(G.zonal_mode(t, labels, 3, K, height, F.lit(64)), ["tile_id", "label"], (), ["confidence"])
+    return keyed(X.zonal_mode(t, X.block_runs(labels, side=16), 3, K, height, 64, side=16), ["tile_id", "label"], (), ["confidence"])

@@ -10,10 +10,11 @@ from tilescope.functions import scalars as S
 from tilescope.functions.scalars import as_bigint as bi
 from tilescope.functions.scalars import round6
 from tilescope.operators import pixels as N
+from tilescope.operators import rasters
 from tilescope.operators import textures as X
 from tilescope.operators import tiles as T
 from tilescope.operators.embedding import vector_stats
-from tilescope.plans.fixtures import COORD, ELEM, PIX, coordinates, features, grids, table, tiles
+from tilescope.plans.fixtures import COORD, ELEM, PIX, coordinates, features, grids, table, tiles, written_runs
 from tilescope.plans.registry import query
 from tilescope.plans.shape import R, keyed
 
@@ -159,9 +160,9 @@ t AS (SELECT vec_id // 8 AS tr, i // 8 AS tc, count(*) AS n, sum((v > 0)::INT) /
 
 
 def cut_tiles(spark, sf, min_valid=None):
-    cells = features(spark, sf).select(F.col("vec_id").alias("r"), F.posexplode(S.as_doubles("f")).alias("c", "v"))
+    runs = features(spark, sf).select(F.lit(0).alias("band"), F.col("vec_id").alias("r"), F.lit(0).cast("bigint").alias("c0"), S.as_doubles("f").alias("v"))
     height = F.lit(table(spark, sf, "embeddings").count())
-    return T.tile_raster(cells, 8, height, F.lit(64), min_valid)
+    return rasters.cut_tiles(rasters.block_runs(written_runs(spark, runs), side=16), 8, height, F.lit(64), min_valid, side=16)
 
 
 def with_ramp(t):

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilescope.operators.rasters import SIDE, block_runs
+
 TILE_FIELDS = ("tile_id string, tile_sha256 string, center_lat double, center_lon double, valid_fraction double, "
                "mean_display_dn double, std_display_dn double, label int, label_confidence double, "
                "mean_incidence_angle double, split string")
@@ -188,11 +190,12 @@ def read_key_values(spark: SparkSession, path: str) -> DataFrame:
     return parse_key_values(docs, "source", "value")
 
 
-def read_raster(spark: SparkSession, path: str, nodata: float | None = None) -> DataFrame:
-    """Cells (r, c, band, v, valid) of a Parquet table of raster runs (band, r, c0, v array)."""
+def read_raster(spark: SparkSession, path: str, bands: int = 1, side: int = SIDE, nodata: float | None = None, rows: tuple[int, int] | None = None) -> DataFrame:
+    """Blocks (``operators.rasters``) of a Parquet table of raster runs (band, r, c0, v array).
+
+    ``rows`` reads the block rows of raster rows from the first to before the second; the scan skips the others.
+    """
     runs = spark.read.schema("band int, r bigint, c0 bigint, v array<double>").parquet(path)
-    cells = runs.select("band", "r", F.col("c0"), F.posexplode("v").alias("_i", "v"))
-    ok = ~F.isnan("v") & (F.abs("v") != float("inf"))
-    if nodata is not None:
-        ok = ok & (F.col("v") != nodata)
-    return cells.select("r", (F.col("c0") + F.col("_i")).alias("c"), "band", "v", F.coalesce(ok, F.lit(False)).alias("valid"))
+    if rows is not None:
+        runs = runs.where((F.col("r") >= rows[0] // side * side) & (F.col("r") < -(-rows[1] // side) * side))
+    return block_runs(runs, bands, side, nodata)
