@@ -162,13 +162,35 @@ def test_moment_range_defaults(spark):
 
 
 def test_quantile_map_clamps_and_passes_unknown_groups(spark):
-    src = spark.createDataFrame([(float(v), 0) for v in range(11)], "v double, label int")
-    tgt = src.withColumn("v", F.col("v") * 10)
+    src = spark.createDataFrame([([float(v) for v in range(k, 11, 2)], 0) for k in (0, 1)], "v array<double>, label int")
+    tgt = src.withColumn("v", F.transform("v", lambda v: v * 10))
     df = spark.createDataFrame([([-5.0, 2.5, 99.0], 0), ([1.0], 1)], "px array<double>, label int")
     qmap = N.fit_quantile_map_by_class(src, tgt, "v", "label", 11)
     got = [r.y for r in df.select(N.apply_quantile_map(F.col("px"), qmap, F.col("label")).alias("y")).collect()]
     assert got == [[0.0, 25.0, 100.0], [1.0]]
-    assert N.fit_quantile_map_by_class(src.limit(9), tgt, "v", "label", 11).pairs == {}
+    assert N.fit_quantile_map_by_class(src.where("size(v) = 5"), tgt, "v", "label", 11).pairs == {}
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_array_quantiles_by_radix(spark, kind):
+    rng = np.random.default_rng(3)
+    data = [(["a", "b", None][i % 3], rng.normal(size=int(rng.integers(0, 40))) * 10.0 ** rng.integers(-3, 4)) for i in range(40)]
+    data = [(k, v.astype(np.float32 if kind == "float" else np.float64)) for k, v in data]
+    data += [("a", np.array([0.0, -0.0, np.nan, np.inf, -np.inf, 5.0, 5.0])), ("empty", np.array([np.nan])), ("one", np.array([2.5]))]
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in data], f"k string, px array<{kind}>").repartition(3)
+    df = df.unionByName(spark.createDataFrame([("a", None)], f"k string, px array<{kind}>"))
+    qs = [0.0, 0.013, 0.5, 0.9, 1.0]
+    got = {(r.k, r.q): (r.value, r.n) for r in N.array_quantiles(df.where("k is not null"), ["k"], "px", qs).collect()}
+    assert {k for k, _ in got} == {"a", "b", "one"}
+    for k in ("a", "b", "one"):
+        v = np.concatenate([x for c, x in data if c == k]).astype(np.float64)
+        v = v[np.isfinite(v)]
+        for q in qs:
+            assert got[k, q] == (pytest.approx(np.quantile(v, q), rel=1e-12, abs=1e-12), len(v))
+    every = np.concatenate([x for _, x in data]).astype(np.float64)
+    every = every[np.isfinite(every)]
+    assert [r.value for r in N.array_quantiles(df, [], "px", qs).orderBy("q").collect()] == pytest.approx(list(np.quantile(every, qs)))
+    assert N.array_quantiles(df.where("k = 'empty'"), ["k"], "px", qs).count() == 0 == N.array_quantiles(df.where("false"), [], "px", qs).count()
 
 
 @pytest.mark.parametrize("value,bad", [("0", False), ("5", False), ("-1", True), ("6", True), ("1.5", True), ("true", True), ("", True), (None, True), ("99999999999", True)])

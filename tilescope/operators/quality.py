@@ -103,15 +103,10 @@ def require_gate(headers: DataFrame, key: str, required: dict[str, Column]) -> D
         F.raise_error(F.concat(F.lit("catalog refused: "), F.col(key).cast("string"))).cast("boolean")))
 
 
-def hash_contents(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
-    raw = F.col(content).cast("binary")
-    return files.select(name, F.length(raw).alias("bytes"), F.sha2(raw, 256).alias("sha256"))
-
-
 def check_hashes(actual: DataFrame, expected: DataFrame, name: str = "path") -> DataFrame:
     """Files missing, unexpected, or with another size or digest."""
-    a = actual.select(name, F.struct("bytes", "sha256").alias("a"))
-    e = expected.select(name, F.struct(F.col("bytes").cast("int").alias("bytes"), "sha256").alias("e"))
+    a = actual.select(name, F.struct(F.col("bytes").cast("bigint").alias("bytes"), "sha256").alias("a"))
+    e = expected.select(name, F.struct(F.col("bytes").cast("bigint").alias("bytes"), "sha256").alias("e"))
     return (a.join(e, name, "full_outer")
             .withColumn("status", F.when(F.col("a").isNull(), "missing")
                         .when(F.col("e").isNull(), "unexpected")

@@ -11,6 +11,8 @@ from tilescope.plans.fixtures import COORD, MEMBERS, K, coordinates, features, f
 from tilescope.plans.ranking_queries import CURVE, score_curve
 from tilescope.plans.registry import query
 from tilescope.plans.shape import B, R, keyed
+from tilescope.session import new_scratch_path
+from tilescope.sources.files import hash_files, write_files
 
 
 @query("q01_unique_key", """SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, count(*) AS n FROM lineitem
@@ -105,26 +107,35 @@ def _(spark, sf):
                                            "unverified": F.col("verified"), "unlabeled": F.col("labelled")})
 
 
-@query("q09_file_hashes", """SELECT page_id, CASE WHEN page_id % 10 = 1 THEN 'digest' ELSE 'size' END AS status
- FROM pages WHERE page_id % 10 IN (1, 2)
-UNION ALL SELECT -1 - page_id, 'missing' FROM pages WHERE page_id % 10 = 4
-UNION ALL SELECT page_id, 'unexpected' FROM pages WHERE page_id % 10 = 4""")
+# a file holds the pages of 64 consecutive ids
+FILES = """WITH f AS (SELECT page_id // 64 AS k, string_agg(html, chr(10) ORDER BY page_id) AS t FROM pages GROUP BY ALL)"""
+
+
+def page_files(spark, sf):
+    p = table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / 64).alias("k")).agg(F.array_sort(F.collect_list(F.struct("page_id", "html"))).alias("p"))
+    return p.select("k", F.array_join(F.transform("p", lambda r: r["html"]), "\n").alias("t"))
+
+
+@query("q09_file_hashes", FILES + """ SELECT concat('pages/', k, '.html') AS path, CASE k % 5 WHEN 1 THEN 'digest' WHEN 2 THEN 'size' WHEN 3 THEN 'missing' END AS status FROM f WHERE k % 5 IN (1, 2, 3)
+UNION ALL SELECT concat('pages/', k, '.more.html'), 'unexpected' FROM f WHERE k % 5 = 3""")
 def _(spark, sf):
-    files = table(spark, sf, "pages").select("page_id", F.col("html").alias("content"))
-    actual = Q.hash_contents(files, "page_id")
-    # the expectation is a copy with planted faults: a wrong digest, a wrong size, a renamed file
-    m = F.col("page_id") % 10
-    expected = actual.select(
-        F.when(m == 4, -1 - F.col("page_id")).otherwise(F.col("page_id")).alias("page_id"),
-        F.when(m == 2, F.col("bytes") + 1).otherwise(F.col("bytes")).alias("bytes"),
-        F.when(m == 1, F.lit("0")).otherwise(F.col("sha256")).alias("sha256"))
-    return Q.check_hashes(actual, expected, "page_id")
-
-
-@query("q09_content_digest", """SELECT page_id, octet_length(encode(html)) AS bytes, sha256(html) AS sha256 FROM pages""")
+    # files with planted faults against a manifest of what they should be: a changed byte, a byte too many, another name
+    path, m = new_scratch_path(spark, "files"), F.col("k") % 5
+    files = page_files(spark, sf)
+    name = lambda end: F.concat(F.lit("pages/"), F.col("k").cast("string"), F.lit(end))
+    changed = F.when(m == 1, F.concat(F.lit("#"), F.substring("t", 2, 2**30))).when(m == 2, F.concat("t", F.lit("#"))).otherwise(F.col("t"))
+    write_files(files.select(F.when(m == 3, F.concat(F.col("k").cast("string"), F.lit(".more.html"))).otherwise(F.concat(F.col("k").cast("string"), F.lit(".html"))).alias("name"),
+                             changed.alias("content")), f"{path}/pages")
+    raw = F.col("t").cast("binary")
+    manifest = files.select(name(".html").alias("path"), F.length(raw).alias("bytes"), F.sha2(raw, 256).alias("sha256"))
+    return Q.check_hashes(hash_files(spark, path, "*.html"), manifest)
+
+
+@query("q09_content_digest", FILES + " SELECT concat(k, '.html') AS path, octet_length(encode(t)) AS bytes, sha256(t) AS sha256 FROM f")
 def _(spark, sf):
-    files = table(spark, sf, "pages").select("page_id", F.col("html").alias("content"))
-    return Q.hash_contents(files, "page_id").withColumn("bytes", bi("bytes"))
+    path = new_scratch_path(spark, "files")
+    write_files(page_files(spark, sf).select(F.concat(F.col("k").cast("string"), F.lit(".html")).alias("name"), F.col("t").alias("content")), path)
+    return hash_files(spark, path)
 
 
 @query("q10_id_digest", """WITH a AS (SELECT o_orderstatus AS status, o_custkey % 20 AS grp, o_orderkey AS id,

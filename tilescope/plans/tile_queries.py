@@ -347,9 +347,9 @@ SIDES = f"""WITH {PIX}, src AS (SELECT v, label % 3 AS g FROM pix WHERE tile_id
 
 
 def sides(spark, sf):
-    px = tiles(spark, sf).select("tile_id", (F.col("label") % 3).alias("g"), F.explode("px").alias("v"))
+    px = tiles(spark, sf).select("tile_id", (F.col("label") % 3).alias("g"), S.as_doubles("px").alias("v"))
     odd = F.pmod("tile_id", F.lit(2)) == 1
-    return px.where(~odd), px.where(odd).withColumn("v", F.col("v") * F.col("v") / 100)
+    return px.where(~odd), px.where(odd).withColumn("v", F.transform("v", lambda v: v * v / 100))
 
 
 QMAP = SIDES + """, qm AS (SELECT i AS k, s, t FROM (SELECT unnest(range(101)) AS i, unnest((SELECT quantile_cont(v, list_transform(range(101), lambda x: x / 100.0)) FROM src)) AS s,
@@ -386,9 +386,9 @@ m AS (SELECT tile_id, pow(10, CASE WHEN d >= (SELECT max(s) FROM qm) THEN (SELEC
 SELECT tile_id, {R('sum(y)', 'total')}, {R('max(y)', 'highest')} FROM m GROUP BY tile_id""")
 def _(spark, sf):
     t = tiles(spark, sf).select("tile_id", F.transform("px", lambda v: F.abs(v.cast("double")) + 1).alias("px"))
-    px = t.select("tile_id", F.explode("px").alias("v")).withColumn("v", S.to_db("v"))
+    px = t.select("tile_id", F.transform("px", lambda v: S.to_db(v)).alias("v"))
     odd = F.pmod("tile_id", F.lit(2)) == 1
-    qmap = N.fit_quantile_map(px.where(~odd), px.where(odd).withColumn("v", F.col("v") + 2), "v", 101)
+    qmap = N.fit_quantile_map(px.where(~odd), px.where(odd).withColumn("v", F.transform("v", lambda v: v + 2)), "v", 101)
     y = t.withColumn("y", N.remap_tile("px", qmap))
     return keyed(y.select("tile_id", T.array_sum("y").alias("total"), F.array_max("y").alias("highest")), ["tile_id"], (), ["total", "highest"])
 

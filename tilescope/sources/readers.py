@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilescope.operators.rasters import SIDE, block_runs
+from tilescope.sources.files import read_contents
 
 TILE_FIELDS = ("tile_id string, tile_sha256 string, center_lat double, center_lon double, valid_fraction double, "
                "mean_display_dn double, std_display_dn double, label int, label_confidence double, "
@@ -75,20 +76,23 @@ def encode_tiles(tiles: DataFrame) -> DataFrame:
         run, "tile_id string, content binary")
 
 
-def tile_files(spark: SparkSession, path: str) -> DataFrame:
+def tile_paths(spark: SparkSession, path: str) -> DataFrame:
+    """(tile_id, path) of the tile files; names only, no content is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("tile_id"), "content")
+    return files.select(F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("tile_id"), "path")
 
 
 def read_tiles(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
-    """Decoded tiles; ``ids`` (tile_id) selects files before any is decoded."""
-    files = tile_files(spark, path)
-    return decode_tiles(files if ids is None else files.join(ids.select("tile_id"), "tile_id", "left_semi"))
+    """Decoded tiles; ``ids`` (tile_id) selects names, and only the files of those are opened."""
+    if ids is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
+        return decode_tiles(files.select(F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("tile_id"), "content"))
+    return decode_tiles(read_contents(tile_paths(spark, path).join(ids.select("tile_id"), "tile_id", "left_semi")))
 
 
 def missing_tiles(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     """Wanted IDs without a file; lists names only, no content is read."""
-    return ids.select("tile_id").join(tile_files(spark, path).select("tile_id"), "tile_id", "left_anti")
+    return ids.select("tile_id").join(tile_paths(spark, path).select("tile_id"), "tile_id", "left_anti")
 
 
 FEATURE_SCHEMA = "tile_id string, label int, f array<float>"
