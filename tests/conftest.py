@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
     session = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4")
-               .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+               .config("spark.ui.enabled", "false").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").config("spark.driver.memory", "8g")
                .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session

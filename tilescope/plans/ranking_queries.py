@@ -86,9 +86,9 @@ def _(spark, sf):
     return keyed(ovr(spark, sf), ["member", "class"], ["n", "positives"], ["ap"])
 
 
-# members 0 to 3 are two arms with two seeds each, regions are thirds of the tiles
-ARMS = f"""WITH {MEMBERS}, s AS (SELECT tile_id % 3 AS fold, member // 2 AS arm, member % 2 AS seed, cls, round(p, 9) AS score, (label = cls)::INT AS y
- FROM prob WHERE member < 4),
+# the five members are two arms, of two and of three seeds; regions are thirds of the tiles
+ARMS = f"""WITH {MEMBERS}, s AS (SELECT tile_id % 3 AS fold, least(member // 2, 1) AS arm, member - 2 * least(member // 2, 1) AS seed, cls, round(p, 9) AS score, (label = cls)::INT AS y
+ FROM prob),
 g AS (SELECT fold, arm, seed, cls, score, count(*) AS size, sum(y) AS hits FROM s GROUP BY ALL),
 curve AS (SELECT *, sum(size) OVER w AS retrieved, sum(hits) OVER w AS tp, sum(hits) OVER (PARTITION BY fold, arm, seed, cls) AS positives
  FROM g WINDOW w AS (PARTITION BY fold, arm, seed, cls ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
@@ -97,8 +97,9 @@ ap AS (SELECT * FROM one UNION ALL SELECT fold, arm, seed, -1, CASE WHEN count(a
 
 
 def arms(spark, sf):
-    m = members(spark, sf).where("member < 4").withColumn("prob", F.transform("prob", lambda p: F.round(p, 9)))
-    m = m.withColumn("fold", F.pmod("tile_id", F.lit(3))).withColumn("arm", F.floor(F.col("member") / 2)).withColumn("seed", F.pmod("member", F.lit(2)))
+    m = members(spark, sf).withColumn("prob", F.transform("prob", lambda p: F.round(p, 9)))
+    arm = F.least(F.floor(F.col("member") / 2), F.lit(1)).cast("bigint")
+    m = m.withColumn("fold", F.pmod("tile_id", F.lit(3))).withColumn("arm", arm).withColumn("seed", F.col("member") - 2 * F.col("arm"))
     return X.ovr_average_precision(m, ["fold", "arm", "seed"])
 
 
@@ -110,10 +111,11 @@ def _(spark, sf):
     return keyed(X.ap_summary(arms(spark, sf), ["arm"]), ["arm", "class", "fold"], (), ["mean", "sd"])
 
 
-@query("r05_ap_contrasts", ARMS + f""", p AS (SELECT a.cls, a.fold, a.ap - b.ap AS d, a.ap AS x, b.ap AS y
- FROM ap a JOIN ap b ON a.arm = 1 AND b.arm = 0 AND a.fold = b.fold AND a.seed = b.seed AND a.cls = b.cls)
-SELECT {B('cls', 'class')}, {B('fold')}, count(*) AS pairs, round(CASE WHEN count(d) = count(*) THEN avg(d) END, 6) + 0.0 AS paired,
- round(CASE WHEN count(x) = count(*) THEN avg(x) END - CASE WHEN count(y) = count(*) THEN avg(y) END, 6) + 0.0 AS unpaired FROM p GROUP BY cls, fold""")
+@query("r05_ap_contrasts", ARMS + f""", d AS (SELECT a.cls, a.fold, count(*) AS pairs, CASE WHEN count(a.ap - b.ap) = count(*) THEN avg(a.ap - b.ap) END AS paired
+ FROM ap a JOIN ap b ON a.arm = 1 AND b.arm = 0 AND a.fold = b.fold AND a.seed = b.seed AND a.cls = b.cls GROUP BY ALL),
+u AS (SELECT cls, fold, arm, CASE WHEN count(ap) = count(*) THEN avg(ap) END AS v FROM ap GROUP BY ALL)
+SELECT d.cls::BIGINT AS class, d.fold::BIGINT AS fold, pairs, {R('paired')}, {R('x.v - y.v', 'unpaired')}
+FROM d JOIN u x ON x.arm = 1 AND d.cls = x.cls AND d.fold = x.fold JOIN u y ON y.arm = 0 AND d.cls = y.cls AND d.fold = y.fold""")
 def _(spark, sf):
     return keyed(X.ap_contrasts(arms(spark, sf), "arm", 1, 0), ["class", "fold"], ["pairs"], ["paired", "unpaired"])
 

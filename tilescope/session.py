@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_LEAVING: set[str] = set()
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -55,11 +56,20 @@ def new_scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: one evaluation, read back the same after an executor is lost."""
+    """Reliable checkpoint: one evaluation, read back the same after an executor is lost.
+
+    The application's checkpoint folder is removed when it ends; with ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    Spark removes each checkpoint as soon as nothing refers to it.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_root(spark))
+    folder = context.getCheckpointDir()
+    if folder not in _LEAVING:  # goes with the application, whoever named it
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+        _LEAVING.add(folder)
     return df.checkpoint(eager=True)
 
 
