@@ -268,6 +268,73 @@ def test_ordinal_fit_orders_grades():
     assert (np.diff(cuts) > 0).all() and weights[0] > 0 > weights[2] and abs(weights[1]) < 0.3 * weights[0]
 
 
+def test_ordinal_fit_is_at_the_optimum():
+    """The likelihood written out row by row: its slope at the fit is zero in every direction, and no other point tried is better."""
+    rng = np.random.default_rng(17)
+    x = rng.integers(0, 4, (300, 4)).astype(float)
+    grades = np.digitize(x @ [0.8, -0.4, 0.0, 0.3] + rng.logistic(size=300), [0.0, 1.0, 2.0])
+    rows = [(np.flatnonzero(r).tolist(), r[r > 0].tolist()) for r in x]
+
+    def value(w, cuts):
+        total = 0.0
+        for (at, v), g in zip(rows, grades):
+            score = sum(w[i] * k for i, k in zip(at, v))
+            upto = [0.0, *(1 / (1 + np.exp(score - c)) for c in cuts), 1.0]
+            total += np.log(upto[g + 1] - upto[g])
+        return total / len(rows) - toxicity.L2 / 2 * float(w @ w)
+
+    w, cuts = toxicity.fit_ordinal(rows, grades, 4, 4)
+    best = value(w, cuts)
+    for k in range(7):
+        step = np.zeros(7)
+        step[k] = 1e-4
+        slope = (value(w + step[:4], cuts + step[4:]) - value(w - step[:4], cuts - step[4:])) / 2e-4
+        assert abs(slope) < 2e-3
+    for _ in range(40):
+        move = rng.normal(size=7) * 0.3
+        if (np.diff(cuts + move[4:]) > 0).all():
+            assert value(w + move[:4], cuts + move[4:]) < best + 1e-9
+    model = toxicity.OrdinalModel(["a", "b", "c", "d"], w, cuts)
+    score = w[0] * np.log1p(2) + w[1] * np.log1p(1)
+    assert np.allclose(np.cumsum(model.grades("A b a z"))[:3], 1 / (1 + np.exp(score - cuts)))
+
+
+def test_rules_grow_and_prune_as_rows_say(spark):
+    rng = np.random.default_rng(19)
+    names = ("n_words", "symbol_share", "upper_share")
+    x = np.round(rng.random((400, 3)), 2)
+    bad = ((x[:, 0] > 0.5) & (x[:, 1] < 0.6)) ^ (rng.random(400) < 0.1)
+    cuts = {n: [0.2, 0.4, 0.6, 0.8] for n in names}
+    data = [(bool(b), *map(float, r), *(int(sum(v > c for c in cuts[n])) for n, v in zip(names, r))) for b, r in zip(bad, x)]
+    df = spark.createDataFrame(data, ["bad", *names, *(f"bin_{n}" for n in names)])
+    side = lambda i, above, cut: x[:, i] > cut if above else x[:, i] <= cut
+    conditions, covered = [], np.ones(400, bool)
+    while (covered & ~bad).any():
+        p0, n0 = (covered & bad).sum(), (covered & ~bad).sum()
+        gain, best = 1e-9, None
+        for i, n in enumerate(names):
+            for cut in cuts[n]:
+                for above in (False, True):
+                    p, q = (covered & side(i, above, cut) & bad).sum(), (covered & side(i, above, cut) & ~bad).sum()
+                    own = p * (np.log2(p / (p + q)) - np.log2(p0 / (p0 + n0))) if p else 0.0
+                    if own > gain + 1e-12:
+                        gain, best = own, (i, above, cut)
+        if best is None:
+            break
+        conditions.append(best)
+        covered &= side(*best)
+    rule = quality._grow(df, cuts)
+    assert rule.conditions == tuple((names[i], a, c) for i, a, c in conditions) and len(conditions) >= 2
+    scores = []
+    for k in range(1, len(conditions) + 1):
+        inside = np.all([side(*c) for c in conditions[:k]], axis=0)
+        p, q = int((inside & bad).sum()), int((inside & ~bad).sum())
+        scores.append(((p - q) / max(p + q, 1), -k, p, q))
+    want = max(scores)
+    pruned, p, q = quality._prune(df, rule)
+    assert (len(pruned.conditions), p, q) == (-want[1], want[2], want[3])
+
+
 @pytest.fixture(scope="module")
 def model():
     with open(pieces.MODEL, "rb") as f:
@@ -304,6 +371,23 @@ def test_n_best_against_enumeration(model):
         assert model.decode(np.array(other, "<i4").tobytes()) == text[1:]
 
 
+def test_a_long_line_without_spaces(model):
+    rng = np.random.default_rng(13)
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz漢"), 200_000))
+    score, ids, found = model.encode(text, 4)
+    assert model.decode(ids) == text and len(found) == 3 and all(s <= score for s, _ in found)
+    assert np.isclose(model.forward(" " + text)[0][-1], score)
+
+
+def test_parts_of_many_texts_as_alone(model):
+    parts = {" hello", " theanes", "漢字", " über", " aaaaaaa", "\n", "  two", " x漢y"}
+    together = model.best_of(parts)
+    model.find_alternatives(parts, 4)
+    for part in parts:
+        assert together[part] == model.best(part)
+        assert model.alternatives[part, 4] == model.n_best(part, 4)
+
+
 def test_pieces_odd(odd, empty):
     got = rows(pieces.piece_report(odd))
     assert len(got) == odd.count() and all(r["exact"] for r in got) and pieces.piece_report(empty).count() == 0
