@@ -28,7 +28,7 @@ from tilescope.session import new_scratch_path
 from tilescope.sources import readers, writers
 from tilescope.sources.files import write_files
 
-CHUNK = 1000
+CHUNK = 25_000
 
 
 def chunked(df, size=CHUNK):
