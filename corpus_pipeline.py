@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages from raw documents to pieces, each written and read again as Parquet.
 
 Language ID drops documents of no decided language; line dedup takes lines that many sites share out
-of the texts; near-dedup by five-word similarity keeps one document of each group; mixing repeats or drops documents
+of the texts; near-dedup by SimHash and exact five-word similarity keeps one document of each group; mixing repeats or drops documents
 by the sources' target weights, in training order; SentencePiece encodes what is left.
 """
 
@@ -34,6 +34,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts with a five-word similarity of 0.8 or more.
+
+    SimHash fingerprints of five words, linked under the masks of ``op9_simhash``, and bands of minima for the pairs beyond their
+    few bits say which texts are compared; every link is the exact similarity of two texts.
+    """
     ship_code(spark)
     return similar.drop_similar(docs)
 

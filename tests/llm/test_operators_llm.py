@@ -486,6 +486,19 @@ def test_near_dedup_stage_against_all_pairs(spark, odd, tile, monkeypatch):
     assert P.near_dedup(spark, odd, "").columns == odd.columns
 
 
+def test_near_dedup_stage_links_by_simhash(spark, monkeypatch):
+    import corpus_pipeline as P
+
+    monkeypatch.setattr(similar, "band_pairs", lambda texts: texts.sparkSession.createDataFrame([], "u string, v string").transform(lambda d: common.keep(d, "none")))
+    base = [f"w{k}" for k in np.random.default_rng(4).integers(0, 5000, 900)]
+    edited = [*base[:500], "edited", *base[501:]]
+    texts = [" ".join(base), " ".join(edited), " ".join(base).upper(), " ".join(base[:600]), "another text of a few words"]
+    fps = [simhash.majority([similar.shingles(t)]) & (1 << 64) - 1 for t in texts]
+    assert (fps[0] ^ fps[1]).bit_count() <= simhash.RADIUS < (fps[0] ^ fps[4]).bit_count()
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in P.near_dedup(spark, docs, "").collect()) == [0, 3, 4]
+
+
 def test_pipeline_encodes_with_alternatives(spark, sf):
     import corpus_pipeline as P
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,10 +33,17 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = ends[shingle - 1:].tolist() or [len(line)]
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n, PIECE):
-        hashes = np.fromiter((digest(line[s:e], SEED) for s, e in zip(starts[at:at + PIECE], ends[at:at + PIECE])), np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(line[s:e], SEED) for s, e in zip(starts[at:at + PIECE], ends[at:at + PIECE])), np.uint64)
+                    for at in range(0, n, PIECE))
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """Bits set in over half of the 64-bit hashes of all ``parts``, as a signed number; no hash gives zero."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 

@@ -1,4 +1,4 @@
-"""Near-duplicates by five-word similarity: MinHash bands for candidates, exact Jaccard for links."""
+"""Near-duplicates by five-word similarity: SimHash and MinHash bands for candidates, exact Jaccard for links."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilescope.llm import simhash
 from tilescope.llm.common import components, drop, keep, whole
 
 SHINGLE = 5
@@ -60,10 +61,11 @@ def minima(hashes: np.ndarray) -> bytes:
     return (low >> np.uint64(32)).astype("<u4").tobytes()
 
 
-@F.pandas_udf(T.StructType([T.StructField("sketch", T.BinaryType()), T.StructField("n_shingles", T.LongType())]))
+@F.pandas_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("n_shingles", T.LongType())]))
 def sketch(texts: pd.Series) -> pd.DataFrame:
+    """The SimHash fingerprint of the distinct shingles, their minima and their number."""
     sets = (shingles(t) for t in texts)
-    return pd.DataFrame([(minima(s), len(s)) for s in sets], columns=["sketch", "n_shingles"])
+    return pd.DataFrame([(simhash.majority([s]), minima(s), len(s)) for s in sets], columns=["fp", "sketch", "n_shingles"])
 
 
 def _estimated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,21 +153,45 @@ def _with_roots(links: DataFrame) -> DataFrame:
     return out
 
 
-def link_texts(docs: DataFrame, texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(node, component): the texts, by md5, that links of five-word Jaccard of 0.8 or more connect; a kept table.
+def fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """(u, v): texts connected as their SimHash fingerprints are by links of ``simhash.RADIUS`` bits; a kept table.
 
-    ``texts`` is a kept table (key, sketch, n_shingles) of the distinct texts of ``docs``. Texts that agree in a band
-    of minima meet in a bucket; those with an estimate of 0.5 or more there form clusters, disjoint, so
-    that each text is read once more; in a cluster all similarities that can reach 0.8 are computed from the texts. Buckets
-    and clusters too large for a task are cut into blocks of which every two meet, in clusters those of like sizes.
+    The covering masks and spanning forests of ``simhash``. Texts of one fingerprint are tied to the smallest of them.
     """
+    firsts = keep(texts.where(F.length("sketch") > 0).groupBy("fp").agg(F.min("key").alias("first")), "fingerprints")
+    same = texts.where(F.length("sketch") > 0).join(firsts, "fp").where("key <> first").select(F.col("key").alias("u"), F.col("first").alias("v"))
+    links = keep(simhash.link_fingerprints(firsts.select("fp")).distinct(), "links")
+    one, two = (firsts.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}")) for c in "uv")
+    found = keep(same.unionByName(links.join(one, "u").join(two, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))), "maybe")
+    for t in (firsts, links):
+        drop(t)
+    return found
+
+
+def band_pairs(texts: DataFrame) -> DataFrame:
+    """(u, v): a spanning forest of the texts that agree in a band of minima and in LEAST_ESTIMATE of all; a kept table."""
     bands = [F.xxhash64(F.lit(b), F.substring("sketch", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)]
     tables = texts.where(F.length("sketch") > 0).select("key", F.explode(F.array(*bands)).alias("band"))
     busy = keep(tables.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
                 .select("band", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "buckets")
     met = keep(tables.join(busy, "band"), "met")
-    maybe = keep(_meet(met.join(texts, "key"), ["band"], "sketch").mapInPandas(_estimated, "u string, v string").distinct(), "maybe")
-    clusters = _with_roots(maybe)
+    found = keep(_meet(met.join(texts, "key"), ["band"], "sketch").mapInPandas(_estimated, "u string, v string").distinct(), "maybe")
+    for t in (busy, met):
+        drop(t)
+    return found
+
+
+def link_texts(docs: DataFrame, texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(node, component): the texts, by md5, that links of five-word Jaccard of 0.8 or more connect; a kept table.
+
+    ``texts`` is a kept table (key, fp, sketch, n_shingles) of the distinct texts of ``docs``. Texts whose SimHash
+    fingerprints are linked meet, and so do texts that agree in a band of minima with an estimate of 0.5 or more: at 0.8 two
+    fingerprints differ in 10 of 64 bits, past the reach of the masks. Both form clusters, disjoint, so
+    that each text is read once more; in a cluster all similarities that can reach 0.8 are computed from the texts. Buckets
+    and clusters too large for a task are cut into blocks of which every two meet, in clusters those of like sizes.
+    """
+    near, maybe = fingerprint_pairs(texts), band_pairs(texts)
+    clusters = _with_roots(near.unionByName(maybe))
     text = F.col(f"`{text_col}`")
     # copies become one row in the task that reads them, so a text of which there are very many is no hot key
     own = docs.select(F.md5(text).alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"))
@@ -177,7 +203,7 @@ def link_texts(docs: DataFrame, texts: DataFrame, text_col: str = "text") -> Dat
     counts = classed.groupBy("cluster", "class").agg(F.sum(F.length("text")).alias("n")).select("cluster", "class", F.ceil((F.col("n") + 1) / CHARS).cast("int").alias("blocks"))
     links = keep(_meet(classed.drop("blocks").join(counts, ["cluster", "class"]), ["cluster", "class"], "text").mapInPandas(_exact, "u string, v string").distinct(), "links")
     out = _with_roots(links)
-    for t in (busy, met, maybe, clusters, read, links):
+    for t in (near, maybe, clusters, read, links):
         drop(t)
     return out
 
@@ -193,8 +219,8 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = F.coalesce(F.md5(text), F.lit(""))
     identity = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), key.alias("text"))
     rows = keep(docs.select(identity.alias("_identity"), key.alias("key"), sketch(text).alias("s")).select("_identity", "key", "s.*"), "sketches")
-    texts = keep(rows.groupBy("key").agg(F.min("_identity").alias("own"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")), "texts")
-    groups = link_texts(docs, texts.select("key", "sketch", "n_shingles"), text_col)
+    texts = keep(rows.groupBy("key").agg(F.min("_identity").alias("own"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")), "texts")
+    groups = link_texts(docs, texts.select("key", "fp", "sketch", "n_shingles"), text_col)
     root = F.when(F.length("sketch") == 0, F.lit("")).otherwise(F.coalesce("component", "key"))
     stays = keep(texts.join(groups, texts["key"] == groups["node"], "left").groupBy(root.alias("root")).agg(F.min("own").alias("first"))
                  .select(F.md5(F.to_json("first")).alias("_stays")), "stays")
