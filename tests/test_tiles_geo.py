@@ -332,3 +332,22 @@ def test_resize_reflects_without_the_edge():
     taps /= taps.sum()
     smooth = lambda i: sum(t * abs(i + o) for t, o in zip(taps, range(-2, 3)))  # reflected at 0
     assert np.allclose(small[0], (smooth(0) + smooth(1)) / 2) and np.allclose(small[32], 64.5)
+
+
+@pytest.mark.parametrize("kind", ["texture", "classical", "glcm"])
+def test_tile_features_come_in_blocks_of_bounded_size(spark, monkeypatch, kind):
+    rng = np.random.default_rng(2)
+    px = rng.normal(size=(301, 64))
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(px)], "tile_id bigint, px array<double>").coalesce(1)
+    sizes = spark.sparkContext.accumulator(0)
+    whole = X._KINDS[kind]
+
+    def compute(block):
+        assert len(block) * X.SIDE * X.SIDE <= X.BLOCK_PIXELS
+        sizes.add(len(block))
+        return whole(block)
+
+    monkeypatch.setitem(X._KINDS, kind, compute)
+    got = rows.select("tile_id", X.tile_features("px", 8, 8, kind).alias("f")).collect()
+    want = whole(px.reshape(-1, 8, 8))
+    assert sizes.value == 301 and all(np.allclose(r["f"], want[r["tile_id"]], rtol=1e-12, atol=1e-12) for r in got)

@@ -1,4 +1,4 @@
-"""Vectorised tile features: each Arrow batch becomes one (n, h, w) block and is processed at once.
+"""Vectorised tile features: tiles are processed as (n, h, w) blocks of a bounded number of pixels.
 
 Definitions are the published ones: symmetric grey-level co-occurrence, uniform local binary
 patterns, Gabor magnitude, histograms of oriented gradients with clipped block norms, Haar detail.
@@ -6,6 +6,8 @@ patterns, Gabor magnitude, histograms of oriented gradients with clipped block n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 GLCM_OFFSETS = ((0, 1), (1, 0), (0, 4), (4, 0))
 LEVELS = 16
+#: Side of the tiles that gradients and wavelets see, and pixels (of these or the tile's own) that a worker handles at once.
+SIDE = 64
+BLOCK_PIXELS = 1 << 19
 
 
 def _block(px: pd.Series, h: int, w: int) -> np.ndarray:
@@ -146,7 +151,7 @@ def _axis_weights(size: int, target: int) -> np.ndarray:
     return pick @ smooth
 
 
-def resize(unit: np.ndarray, target: int = 64) -> np.ndarray:
+def resize(unit: np.ndarray, target: int = SIDE) -> np.ndarray:
     rows, cols = _axis_weights(unit.shape[1], target), _axis_weights(unit.shape[2], target)
     return rows @ unit @ cols.T
 
@@ -201,11 +206,18 @@ _KINDS = {"intensity": intensity, "histogram": histogram, "glcm": glcm, "lbp": l
 
 
 def tile_features(px: str, h: int, w: int, kind: str) -> Column:
-    """Feature array per tile; ``kind`` is one of intensity, histogram, glcm, lbp, texture, classical."""
+    """Feature array per tile; ``kind`` is one of intensity, histogram, glcm, lbp, texture, classical.
+
+    Some kinds hold dozens of arrays as large as the resized block, so a batch is cut into blocks of BLOCK_PIXELS
+    whose features leave before the next block comes.
+    """
     compute = _KINDS[kind]
+    step = max(1, BLOCK_PIXELS // max(h * w, SIDE * SIDE))
 
     @F.pandas_udf("array<double>")
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series(list(compute(_block(values, h, w)))) if len(values) else pd.Series([], dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in batches:
+            for at in range(0, len(values), step):
+                yield pd.Series(list(compute(_block(values.iloc[at: at + step], h, w))), dtype=object)
 
     return run(F.col(px))
