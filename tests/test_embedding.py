@@ -80,6 +80,37 @@ def test_median_bandwidth_of_all_pairs(spark):
     assert G.median_gamma(table(spark, x[:1], [0]), 0, "vec_id", max_rows=None).first().gamma == 1.0
 
 
+@pytest.mark.parametrize("between,most", [((0.46, 0.54), 1 << 19), ((0.46, 0.54), 3), ((0.9, 0.95), 3)])
+def test_median_bandwidth_whatever_the_guess(spark, monkeypatch, between, most):
+    monkeypatch.setattr(B, "BLOCK", 7)
+    monkeypatch.setattr(G, "LAST_DISTANCES", most)
+    monkeypatch.setattr(G, "_guess", lambda df, id_col, f: tuple(np.quantile(d[d > 0], between)))
+    rng = np.random.default_rng(8)
+    for x in (rng.normal(size=(40, 3)), rng.integers(0, 2, (40, 3)), np.eye(3)[[0, 1, 2, 0]], [[0.0], [1.0], [3.0]], [[0.0], [1.0], [1e6]]):
+        x = np.asarray(x, float)
+        d = ((x[:, None] - x[None]) ** 2).sum(-1)[np.triu_indices(len(x), 1)]
+        seen, count = [], G._count_between
+        monkeypatch.setattr(G, "_count_between", lambda *a: seen.append(a) or count(*a))
+        got = G.median_gamma(table(spark, x, np.zeros(len(x))).repartition(3), 0, "vec_id", max_rows=None).first().gamma
+        monkeypatch.setattr(G, "_count_between", count)
+        assert got == pytest.approx(1 / np.median(d[d > 0]), rel=1e-9) and len(seen) <= 6
+        assert most == 3 or len(seen) == 1
+
+
+def test_blocks_meet_once_and_both_forms_share_the_kernel(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 5)
+    x, y, df = domains(spark, 0.3)
+    packed = B.pack(df, [], "vec_id", "label").localCheckpoint()
+    n = packed.count()
+    met = [(r.block_l, r.block_r) for r in B.half_pairs(packed).select("block_l", "block_r").collect()]
+    assert len({tuple(sorted(m)) for m in met}) == len(met) == n * (n + 1) // 2 > 100
+    sums = []
+    kernel = G.kernel_sums
+    monkeypatch.setattr(G, "kernel_sums", lambda *a: sums.append(1) or kernel(*a))
+    got = {r.form: r for r in G.mmd_rbf_forms(df, "domain", 0, 1, "vec_id").collect()}
+    assert sums == [1] and all(got[e].mmd2 == pytest.approx(brute_mmd(x, y, got[e].gamma, e == "unbiased"), abs=1e-12) for e in ("biased", "unbiased"))
+
+
 def test_kappa_and_absent_class(spark):
     pred = spark.createDataFrame([(0, 0), (0, 0), (0, 1), (1, 1), (1, 0)] * 2, "label int, pred int")
     counts = M.pair_counts(pred, [])
