@@ -111,6 +111,28 @@ def test_blocks_meet_once_and_both_forms_share_the_kernel(spark, monkeypatch):
     assert sums == [1] and all(got[e].mmd2 == pytest.approx(brute_mmd(x, y, got[e].gamma, e == "unbiased"), abs=1e-12) for e in ("biased", "unbiased"))
 
 
+def test_neighbour_blocks_travel_as_floats_to_few_cells(spark):
+    rng = np.random.default_rng(5)
+    df = table(spark, rng.normal(size=(300, 8)), np.zeros(300, int)).withColumn("f", F.col("f").cast("array<float>")).withColumn("fold", F.col("vec_id") % 5)
+    seeds = spark.sparkContext.broadcast(B.seed_rows(df, ["fold"], "vec_id"))
+    packed = B.pack_near(df, ["fold"], "vec_id", "label", seeds).localCheckpoint()
+    assert all(r.size == r.n * 8 * 4 for r in packed.select("n", F.length("mat").alias("size")).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        pairs = B.block_pairs(packed, packed, ["fold"], B.hottest_share(seeds))
+        assert pairs.count() == sum(n * n for (n,) in packed.groupBy("fold").count().select("count").collect())
+        cells = pairs.select("fold", "_gl", "_gr").agg(F.max("_gl"), F.max("_gr")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert B.hottest_share(seeds) == pytest.approx(0.2) and max(cells) < 5
+    train, test = df.where("vec_id % 3 > 0"), df.where("vec_id % 3 = 0")
+    f = {r.vec_id: np.asarray(r.f, float) for r in df.collect()}
+    unit = {k: v / (np.linalg.norm(v) + 1e-8) for k, v in f.items()}
+    for r in E.knn_join(test, train, 4, keys=["fold"]).groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("rank", "ref_id"))).alias("n")).collect():
+        refs = [k for k in f if k % 3 and k % 5 == r.vec_id % 5]
+        assert [x.ref_id for x in r.n] == sorted(refs, key=lambda k: (-round(float(unit[r.vec_id] @ unit[k]), 12), k))[:4]
+
+
 def test_kappa_and_absent_class(spark):
     pred = spark.createDataFrame([(0, 0), (0, 0), (0, 1), (1, 1), (1, 0)] * 2, "label int, pred int")
     counts = M.pair_counts(pred, [])
