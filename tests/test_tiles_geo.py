@@ -351,3 +351,13 @@ def test_tile_features_come_in_blocks_of_bounded_size(spark, monkeypatch, kind):
     got = rows.select("tile_id", X.tile_features("px", 8, 8, kind).alias("f")).collect()
     want = whole(px.reshape(-1, 8, 8))
     assert sizes.value == 301 and all(np.allclose(r["f"], want[r["tile_id"]], rtol=1e-12, atol=1e-12) for r in got)
+
+
+def test_cohort_scores_shuffle_each_side_once(spark):
+    from tilescope.plans import catalogue
+
+    out = catalogue.QUERIES["j04_scores_by_cohort"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(tile_id") <= 3
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert sum(r["rows"] for r in out.where("cohort = 'all'").collect()) == n

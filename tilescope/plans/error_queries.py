@@ -271,7 +271,7 @@ def _(spark, sf):
 FROM (SELECT model, label, pred, unnest(['all', CASE WHEN frac = 1 THEN 'complete' ELSE 'partial' END]) AS cohort FROM pred) GROUP BY ALL""")
 def _(spark, sf):
     # the five-column ID can repeat in synthetic data, so sides are reduced to one row per ID first
-    p = predictions(spark, sf)
+    p = predictions(spark, sf).repartition("tile_id")  # each side is reduced and joined where its rows are
     pred = p.groupBy("tile_id", "model", "pred").agg(F.count(F.lit(1)).alias("w"))
     truth = p.select("tile_id", "label").distinct()
     cohorts = p.select("tile_id", F.explode(F.array(F.lit("all"), F.when(F.col("frac") == 1, "complete").otherwise("partial"))).alias("cohort")).distinct()
