@@ -133,6 +133,24 @@ def test_neighbour_blocks_travel_as_floats_to_few_cells(spark):
         assert [x.ref_id for x in r.n] == sorted(refs, key=lambda k: (-round(float(unit[r.vec_id] @ unit[k]), 12), k))[:4]
 
 
+def test_neighbour_shuffle_grows_with_the_rows(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        few = B.grid(spark, 0.2, (100_000, 300_000))
+        assert few == B.grid(spark, 0.2, (1_000, 3_000)) and few[0] * few[1] <= 6 and few[1] > few[0]
+        assert 1 / few[0] >= 0.5  # a reference block travels twice at most
+        df = table(spark, np.random.default_rng(9).normal(size=(90, 4)), np.zeros(90, int)).withColumn("fold", F.col("vec_id") % 5)
+        seeds = spark.sparkContext.broadcast(B.seed_rows(df, ["fold"], "vec_id"))
+        packed = B.pack_near(df, ["fold"], "vec_id", "label", seeds).localCheckpoint()
+        pairs = B.block_pairs(packed, packed, ["fold"], 0.2, (90, 90))
+        assert pairs.count() == sum(n * n for (n,) in packed.groupBy("fold").count().select("count").collect())
+        assert "SortMergeJoin" in pairs._jdf.queryExecution().executedPlan().toString()  # whatever the size: a query block meets all its blocks at once
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    left, right = B.grid(spark, 1.0, (2_000_000, 9_000_000))
+    assert 2_000_000 / left <= B.CELL_ROWS and 9_000_000 / right <= B.CELL_ROWS
+
+
 def test_kappa_and_absent_class(spark):
     pred = spark.createDataFrame([(0, 0), (0, 0), (0, 1), (1, 1), (1, 0)] * 2, "label int, pred int")
     counts = M.pair_counts(pred, [])
