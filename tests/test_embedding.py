@@ -111,6 +111,30 @@ def test_blocks_meet_once_and_both_forms_share_the_kernel(spark, monkeypatch):
     assert sums == [1] and all(got[e].mmd2 == pytest.approx(brute_mmd(x, y, got[e].gamma, e == "unbiased"), abs=1e-12) for e in ("biased", "unbiased"))
 
 
+def test_kernel_is_one_product_a_tile_and_packs_travel_as_floats(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 5)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(60, 3)).astype(np.float32)
+    x[7] = x[31]
+    for spread in (1.0, 1e5):  # two far clouds of near rows: products alone would lose their distances
+        z = x.astype(np.float64)
+        z[:30] += 0 if spread == 1 else spread
+        z = z.astype(np.float32).astype(np.float64)
+        df = table(spark, z, np.arange(60) % 2).withColumn("f", F.col("f").cast("array<float>")).repartition(3)
+        assert all(r.size == r.n * 3 * 4 for r in B.pack(df, [], "vec_id", "label", times=2).select("n", F.length("mat").alias("size")).collect())
+        kern = np.exp(-0.4 * ((z[:, None] - z[None]) ** 2).sum(-1))
+        got = {(r.group_a, r.group_b): r.total for r in G.kernel_sums(df, spark.range(1).select(F.lit(0.4).alias("g")), "label", "vec_id").collect()}
+        assert all(got[i, j] == pytest.approx(kern[i::2, j::2].sum(), rel=1e-11) for i in (0, 1) for j in (0, 1))
+    a, b = G._exponent_factors(x.astype(float), x.astype(float), 0.4)
+    assert np.allclose(a @ b.T, -0.4 * ((x[:, None] - x[None]) ** 2).sum(-1), atol=1e-6) and G._exponent_factors(z, z, 0.4) is None
+    packed = B.pack(df, [], "vec_id", "label").localCheckpoint()
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    try:
+        assert B.half_pairs(packed).rdd.getNumPartitions() == 30  # not put together for being few bytes
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_neighbour_blocks_travel_as_floats_to_few_cells(spark):
     rng = np.random.default_rng(5)
     df = table(spark, rng.normal(size=(300, 8)), np.zeros(300, int)).withColumn("f", F.col("f").cast("array<float>")).withColumn("fold", F.col("vec_id") % 5)
