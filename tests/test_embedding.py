@@ -157,6 +157,28 @@ def test_neighbour_blocks_travel_as_floats_to_few_cells(spark):
         assert [x.ref_id for x in r.n] == sorted(refs, key=lambda k: (-round(float(unit[r.vec_id] @ unit[k]), 12), k))[:4]
 
 
+def test_grid_scales_and_weighs_a_fold_once_for_all_penalties(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 3, 240)
+    df = table(spark, rng.normal(size=(240, 4)) + y[:, None] * [1, 0, -1, 2], y).withColumn("fold", F.lit(0)).withColumn(
+        "role", F.when(F.col("vec_id") % 4 == 0, "test").when(F.col("vec_id") % 4 == 1, "val").otherwise("train"))
+    train, test = (df.where(F.col("role") == r) for r in ("train", "test"))
+    want = {}
+    for scaled in (False, True):
+        a, b = (E.standardize(d, train) if scaled else d for d in (train, test))
+        for c in (0.1, 1.0):
+            model = L.fit_logistic(a, 3, c, max_iter=50, tol=1e-5)
+            m, g = L.evaluate_probe(L.score_linear(b, model), [], 3).first(), L.loss_gradient(a, model, 3, c).first()
+            want[scaled, c] = (m.n, m.balanced_accuracy, m.kappa, g.loss)
+    calls, weights = [], L._with_weights
+    monkeypatch.setattr(L, "standardize", lambda *a: calls.append("scaled") or E.standardize(*a))
+    monkeypatch.setattr(L, "_with_weights", lambda t, *a: calls.append("weighed" if "_w" not in t.columns else "kept") or weights(t, *a))
+    got = L.fit_grid(df, 3, [0], [False, True], [0.1, 1.0], max_iter=50).collect()
+    assert [(r.scaled, r.penalty) for r in got] == [(False, 0.1), (False, 1.0), (True, 0.1), (True, 1.0)]
+    assert all((r.n, r.balanced_accuracy, r.kappa, r.loss) == pytest.approx(want[r.scaled, r.penalty], rel=1e-9) for r in got)
+    assert calls.count("scaled") == 1 and calls.count("weighed") == 2
+
+
 def test_neighbour_shuffle_grows_with_the_rows(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "200")
     try:
