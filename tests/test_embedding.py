@@ -197,6 +197,27 @@ def test_neighbour_shuffle_grows_with_the_rows(spark):
     assert 2_000_000 / left <= B.CELL_ROWS and 9_000_000 / right <= B.CELL_ROWS
 
 
+def test_neighbours_travel_in_packs_and_single_precision_loses_none(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 20)
+    monkeypatch.setattr(B, "PACKS", 2, raising=False)
+    rng = np.random.default_rng(12)
+    x, q = rng.normal(size=(600, 16)), rng.normal(size=(100, 16))
+    x[300:] = x[:300] + 1e-9 * rng.normal(size=(300, 16))  # nearer than single precision tells apart
+    q[0] = 0.0  # ties with all
+    packs, pairs = [], E.block_pairs
+    monkeypatch.setattr(E, "block_pairs", lambda left, right, *a: packs.append((left.count(), right.count())) or pairs(left, right, *a))
+    count = [spark.sparkContext.accumulator(0) for _ in range(2)]
+    got = E.knn_join(table(spark, q, np.zeros(100), 5000), table(spark, x, np.arange(600)), 7, skipped=count).collect()
+    unit = lambda a: a / (np.linalg.norm(a, axis=1, keepdims=True) + 1e-8)
+    sims = np.round(unit(q) @ unit(x).T, 12)
+    for i in range(100):
+        want = sorted(range(600), key=lambda j: (-sims[i, j], j))[:7]
+        found = sorted((r for r in got if r.vec_id == 5000 + i), key=lambda r: r["rank"])
+        assert [r.ref_id for r in found] == want and [r.sim for r in found] == pytest.approx([sims[i, j] for j in want], abs=2e-12)
+    left, right = packs[0]
+    assert 0 < 4 * left * right <= count[0].value  # fewer pairs travel than blocks meet
+
+
 def test_kappa_and_absent_class(spark):
     pred = spark.createDataFrame([(0, 0), (0, 0), (0, 1), (1, 1), (1, 0)] * 2, "label int, pred int")
     counts = M.pair_counts(pred, [])
