@@ -218,6 +218,17 @@ def test_neighbours_travel_in_packs_and_single_precision_loses_none(spark, monke
     assert 0 < 4 * left * right <= count[0].value  # fewer pairs travel than blocks meet
 
 
+def test_neighbours_beside_vectors_without_a_direction(spark):
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(60, 5)), rng.normal(size=(9, 5))
+    x[[4, 20], 2] = np.nan, np.inf
+    got = E.knn_join(table(spark, q, np.zeros(9), 5000), table(spark, x, np.arange(60)), 12).collect()
+    unit = lambda a: a / (np.linalg.norm(a, axis=1, keepdims=True) + 1e-8)
+    for i in range(9):
+        sims = {j: round(float(unit(q)[i] @ unit(x[j: j + 1])[0]), 12) for j in range(60) if np.isfinite(x[j]).all()}
+        assert [r.ref_id for r in sorted((r for r in got if r.vec_id == 5000 + i), key=lambda r: r["rank"])] == sorted(sims, key=lambda j: (-sims[j], j))[:12]
+
+
 def test_kappa_and_absent_class(spark):
     pred = spark.createDataFrame([(0, 0), (0, 0), (0, 1), (1, 1), (1, 0)] * 2, "label int, pred int")
     counts = M.pair_counts(pred, [])
