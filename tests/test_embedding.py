@@ -1,5 +1,7 @@
 """Neighbours, alignment, kernels and fits against brute force on small inputs."""
 
+import io
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -363,6 +365,60 @@ def test_sgd_probe_learns_from_bounded_rows(spark, rows):
     assert len(m) == 2 and all(r.balanced_accuracy > 0.85 for r in m)
 
 
+def plain_sgd(x, y, w, k, seed, lr, epochs, batch):
+    """The reference's loop over all rows in order of their ids, held in memory."""
+    n, d = x.shape
+    theta = np.random.default_rng(seed).uniform(-1 / np.sqrt(d), 1 / np.sqrt(d), (k, d + 1))
+    speed, x = 0.0, np.hstack([x, np.ones((n, 1))])
+    for epoch in range(epochs):
+        order = np.random.default_rng([seed, epoch]).permutation(n)
+        for at in range(0, n, batch):
+            i = order[at: at + batch]
+            z = x[i] @ theta.T
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p = p / p.sum(axis=1, keepdims=True) - np.eye(k)[y[i]]
+            speed = 0.9 * speed + (p * w[i, None]).T @ x[i] / w[i].sum()
+            theta = theta - lr * 0.5 * (1 + np.cos(np.pi * epoch / epochs)) * speed
+    return theta
+
+
+def test_sgd_probe_fits_on_every_row(spark):
+    n = 110_000
+    df = spark.range(n).select(F.col("id").alias("vec_id"), F.pmod("id", F.lit(3)).cast("int").alias("label"), F.lit(0).alias("fold"), F.array(
+        *[F.sin(F.col("id") * a) + (F.pmod("id", F.lit(3)) == c).cast("double") for c, a in enumerate((0.7, 1.3))]).alias("f"))
+    got = L.fit_sgd_probe(df.repartition(5, "f"), ["fold"], 3, 2, [4], "vec_id", epochs=2).first()
+    i = np.arange(n)
+    x = np.column_stack([np.sin(i * a) + (i % 3 == c) for c, a in enumerate((0.7, 1.3))])
+    want = plain_sgd(x, i % 3, np.ones(n), 3, 4, 0.01, 2, 256)
+    assert np.column_stack([got.coef, got.intercept]) == pytest.approx(want, abs=1e-9)
+
+
+def test_sgd_rows_are_shuffled_by_piles():
+    row = np.dtype([("x", np.float32, (2,)), ("y", np.int64), ("w", np.float64)])
+    rows = np.zeros(1003, row)
+    rows["y"] = np.arange(1003)
+    places = []
+    for seed in range(200):
+        kept = io.BytesIO(rows.tobytes())
+        parts = list(L._minibatches(L._piles(kept, row, 1003, 100, np.random.default_rng(seed)), 16))
+        assert [len(p) for p in parts] == [16] * 62 + [11]
+        order = np.concatenate([p["y"] for p in parts])
+        assert sorted(order) == list(range(1003))
+        places.append(np.argsort(order))
+    mean = np.mean(places, axis=0)  # every row may come anywhere: 501 on average, 20 its standard error
+    assert abs(mean - 501).max() < 120 and np.std(places) == pytest.approx(1003 / np.sqrt(12), rel=0.02)
+
+
+def test_sgd_probe_learns_from_piles(spark, monkeypatch):
+    monkeypatch.setattr(L, "PILE_BYTES", 20 * 40)  # 20 of 90 rows
+    df = classes(spark).withColumn("fold", F.lit(0))
+    p = L.fit_sgd_probe(df, ["fold"], 3, 3, [0, 1], "vec_id", lr=0.1, epochs=6, batch=16)
+    again = L.fit_sgd_probe(df.repartition(7), ["fold"], 3, 3, [0, 1], "vec_id", lr=0.1, epochs=6, batch=16)
+    assert sorted(p.collect()) == sorted(again.collect())
+    m = L.evaluate_probe(L.score_probes(df, p, ["fold"]), ["seed"], 3).collect()
+    assert len(m) == 2 and all(r.balanced_accuracy > 0.85 for r in m)
+
+
 def test_baselines(spark):
     train = table(spark, np.zeros((5, 1)), [2, 1, 1, 2, 0]).withColumn("k", F.lit(1))
     test = table(spark, np.zeros((400, 1)), [0] * 400, 100).withColumn("k", F.lit(1))
