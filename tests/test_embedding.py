@@ -11,6 +11,7 @@ from tilescope.operators import domain_gap as G
 from tilescope.operators import embedding as E
 from tilescope.operators import fit as L
 from tilescope.operators import metrics as M
+from tilescope.plans import evaluate as V
 
 
 def table(spark, x, labels, start=0):
@@ -419,6 +420,22 @@ def test_sgd_probe_learns_from_piles(spark, monkeypatch):
     assert len(m) == 2 and all(r.balanced_accuracy > 0.85 for r in m)
 
 
+def test_within_evaluation_fits_on_every_training_row(spark, monkeypatch):
+    n, tests = 105_000, 40  # the first 40 ids test
+    label = F.when(F.col("id") % 4 == 0, 0).otherwise(F.col("id") % 3).cast("int")
+    df = spark.range(n).select(F.col("id").alias("vec_id"), label.alias("label"), F.lit(0).alias("fold"), F.when(F.col("id") < tests, "test").otherwise("train").alias("role"), F.array(
+        *[F.sin(F.col("id") * a) + (label == c).cast("double") for c, a in enumerate((0.7, 1.3))]).alias("f"))
+    seen, score = [], L.score_probes
+    monkeypatch.setattr(L, "score_probes", lambda test, probes, *rest: (seen.append(probes), score(test, probes, *rest))[1])
+    V.within_eval(df, 5, 3, 2, [4], epochs=1)
+    got = seen[0].first()
+    i = np.arange(tests, n)
+    y = np.where(i % 4 == 0, 0, i % 3)
+    x = np.column_stack([np.sin(i * a) + (y == c) for c, a in enumerate((0.7, 1.3))])
+    want = plain_sgd(x, y, (len(y) / (3 * np.bincount(y)))[y], 3, 4, 0.01, 1, 256)
+    assert np.column_stack([got.coef, got.intercept]) == pytest.approx(want, abs=1e-9)
+
+
 def test_baselines(spark):
     train = table(spark, np.zeros((5, 1)), [2, 1, 1, 2, 0]).withColumn("k", F.lit(1))
     test = table(spark, np.zeros((400, 1)), [0] * 400, 100).withColumn("k", F.lit(1))
